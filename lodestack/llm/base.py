@@ -64,6 +64,15 @@ def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions, F.lit(True))
 
 
+#: A side of a join is broadcast only if it was counted to have at most so many narrow rows (16 bytes each).
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df``, marked for broadcast if a count finds at most BROADCAST_ROWS rows; else joins shuffle both sides."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column as text, modulo n; null for null."""
     return F.crc32(F.col(column).cast("string")) % n

@@ -48,6 +48,7 @@ class Codec:
         self.inner = Tokenizer.from_str(json.dumps({**bare, "model": {**spec["model"], "end_of_word_suffix": None}}))
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
+        self.lowers = "Lowercase" in json.dumps(spec["normalizer"])
         self.known: dict[str, tuple[int, str, str]] = {}
         self.piece = self.full.id_to_token
 
@@ -112,12 +113,22 @@ class Codec:
             if len(w) > self.long:
                 self._put(w, self._long(w))
 
+    def _plain(self, text: str) -> str:
+        """Lower case ahead of the tokenizer where that is the same, so fewer words differ: Latin-1 without special tokens."""
+        if not self.lowers or "<|" in text:
+            return text
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return text
+        return text.lower()
+
     def _put(self, word: str, ids: list[int]) -> None:
         self.known[word] = (len(ids), " ".join(map(str, ids)), " ".join(map(self.piece, ids)))
 
     def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
         """(number of tokens, decimal ids joined by spaces, decoded text) of each text."""
-        split = [[w for w in CUT.split(t) if w] if t else [] for t in texts]
+        split = [[w for w in CUT.split(self._plain(t)) if w] if t else [] for t in texts]
         if len(self.known) > REMEMBER:
             self.known.clear()
         at = 0

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import bpe, quality_rules, simhash
+from . import bpe, language_id, quality_lm, quality_rules, simhash, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
+        "op2_quality_lm": quality_lm.op2_quality_lm,
+        "op4_toxicity": toxicity.op4_toxicity,
         "op6_bpe": bpe.op6_bpe,
         "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op10_language_id": language_id.op10_language_id,
     }
 
 
