@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, language_id, quality_lm, quality_rules, simhash, toxicity
+from . import bpe, chat, language_id, quality_lm, quality_rules, simhash, topk, toxicity
 
 
 def queries() -> dict:
     return {
         "op1_simhash": simhash.op1_simhash,
         "op2_quality_lm": quality_lm.op2_quality_lm,
+        "op3_chat": chat.op3_chat,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_topk": topk.op5_topk,
         "op6_bpe": bpe.op6_bpe,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op10_language_id": language_id.op10_language_id,
@@ -17,4 +19,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op8_quality_rules": quality_rules.ORACLE}
+    return {"op3_chat": chat.ORACLE, "op5_topk": topk.ORACLE, "op8_quality_rules": quality_rules.ORACLE}
