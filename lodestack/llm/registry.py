@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, language_id, quality_lm, quality_rules, simhash, topk, toxicity
+from . import bpe, chat, language_id, mixing, quality_lm, quality_rules, simhash, topk, toxicity, warc
 
 
 def queries() -> dict:
@@ -13,10 +13,12 @@ def queries() -> dict:
         "op4_toxicity": toxicity.op4_toxicity,
         "op5_topk": topk.op5_topk,
         "op6_bpe": bpe.op6_bpe,
+        "op7_warc": warc.op7_warc,
         "op8_quality_rules": quality_rules.op8_quality_rules,
+        "op9_mixing": mixing.op9_mixing,
         "op10_language_id": language_id.op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": chat.ORACLE, "op5_topk": topk.ORACLE, "op8_quality_rules": quality_rules.ORACLE}
+    return {"op3_chat": chat.ORACLE, "op5_topk": topk.ORACLE, "op7_warc": warc.ORACLE, "op8_quality_rules": quality_rules.ORACLE}
