@@ -8,6 +8,7 @@ import os
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,7 +50,7 @@ class Codec:
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.lowers = "Lowercase" in json.dumps(spec["normalizer"])
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, tuple[int, str, str, bytes]] = {}
         self.piece = self.full.id_to_token
 
     # --- long unsplit text -------------------------------------------------------------------------------------
@@ -124,10 +125,10 @@ class Codec:
         return text.lower()
 
     def _put(self, word: str, ids: list[int]) -> None:
-        self.known[word] = (len(ids), " ".join(map(str, ids)), " ".join(map(self.piece, ids)))
+        self.known[word] = (len(ids), " ".join(map(str, ids)), " ".join(map(self.piece, ids)), np.array(ids, np.int32).tobytes())
 
-    def encode(self, texts: list[str | None]) -> Iterator[tuple[int, str, str]]:
-        """(number of tokens, decimal ids joined by spaces, decoded text) of each text."""
+    def encode(self, texts: list[str | None]) -> Iterator[list[tuple[int, str, str, bytes]]]:
+        """The words of each text, each with its number of tokens, ids in decimal, decoded text and ids as 32-bit numbers."""
         split = [[w for w in CUT.split(self._plain(t)) if w] if t else [] for t in texts]
         if len(self.known) > REMEMBER:
             self.known.clear()
@@ -141,8 +142,7 @@ class Codec:
             self._learn(new)
             get = self.known.__getitem__
             for words in split[at:upto]:
-                got = [x for x in map(get, words) if x[0]]
-                yield sum(x[0] for x in got), " ".join([x[1] for x in got]), " ".join([x[2] for x in got])
+                yield [x for x in map(get, words) if x[0]]
             at = upto
             if at < len(split) and len(self.known) > REMEMBER:
                 self.known.clear()
@@ -171,18 +171,22 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        sha = lambda words, i: hashlib.sha256(" ".join([w[i] for w in words]).encode()).hexdigest()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):  # bounds what is held decoded
                 b = batch.slice(at, 512)
                 n, ids, text = [], [], []
-                for k, i, d in c.encode(b.column(1).to_pylist()):
-                    n.append(k)
-                    ids.append(sha(i) if digests else [int(x) for x in i.split()])
-                    text.append(sha(d) if digests else d)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string() if digests else pa.list_(pa.int64())), pa.array(text, pa.string())], names)
-
-    out = "string" if digests else "array<long>"
+                for words in c.encode(b.column(1).to_pylist()):
+                    n.append(sum([w[0] for w in words]))
+                    ids.append(sha(words, 1) if digests else b"".join([w[3] for w in words]))
+                    text.append(sha(words, 2) if digests else " ".join([w[2] for w in words]))
+                if digests:
+                    tokens = pa.array(ids, pa.string())
+                else:
+                    tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), tokens, pa.array(text, pa.string())], names)
+
+    out = "string" if digests else "array<int>"
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, {names[2]} {out}, {names[3]} string")
 
 

@@ -159,7 +159,7 @@ def repeat_rows(docs: DataFrame, mix: Mix, text_col: str = "text", id_col: str =
     """``docs`` with every row as often as its rate says: the whole part, and once more by a hash of id and text where that falls under the fraction; at least once."""
     kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
     rows = docs.select(kept, _words(F.col(text_col)).alias("_w"), F.pmod(F.xxhash64(id_col, text_col), F.lit(1_000_000)).alias("_u"))
-    rows = rows.select("_row", "_u", mix.rate(mix.classifier.posterior(F.col("_w"))).alias("_r"))
+    rows = rows.select("_row", "_u", mix.classifier.posterior(F.col("_w")).alias("_p")).select("_row", "_u", mix.rate(F.col("_p")).alias("_r"))
     n = F.greatest(F.lit(1), F.floor(F.col("_r") + F.col("_u") / 1_000_000.0).cast("int"))
     return rows.select("_row", F.explode(F.array_repeat(F.lit(0), n)).alias("_copy")).select("_row.*")
 
