@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from . import other_queries, search_queries, text_queries
+
+MODULES = (text_queries, search_queries, other_queries)
+
 
 def queries() -> dict:
-    return {}
+    return dict(text_queries.Q)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(text_queries.SQL)
