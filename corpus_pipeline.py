@@ -15,6 +15,8 @@ TOXIC = 0.7
 
 def _whole(docs: DataFrame) -> DataFrame:
     """Rows as one struct beside their text, so that a stage's verdict needs no join to reach them."""
+    # such rows hold their text twice: fewer of them go to a worker at once
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
 
 

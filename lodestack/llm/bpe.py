@@ -17,11 +17,13 @@ from .base import need
 
 #: White space for every step of the tokenizer: a text may be cut there without changing any token.
 CUT = re.compile("[ \t\n\r]+")
+#: A word whose marks the tokenizer's pattern splits off, whatever else it does.
+ENDING = re.compile(r"([a-zß-öø-ÿ]{1,512})([.,;:!?]{1,8})")
 #: Words over this many characters are taken apart into pretokens; pretokens over LEAF are encoded in pieces.
 LONG = 4_096
 LEAF = 1_024
 #: Remembered words; the memory is dropped whole when full, so it stays bounded.
-REMEMBER = 300_000
+REMEMBER = 200_000
 
 
 class Codec:
@@ -33,7 +35,7 @@ class Codec:
     end-of-word mark, which only the last piece may carry.
     """
 
-    def __init__(self, path: str, leaf: int = LEAF, long: int = LONG) -> None:
+    def __init__(self, path: str, leaf: int = LEAF, long: int = LONG, texts: bool = True) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -50,9 +52,18 @@ class Codec:
         added = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.lowers = "Lowercase" in json.dumps(spec["normalizer"])
-        self.known: dict[str, tuple[int, str, str, bytes]] = {}
+        self.texts = texts
+        self.words_end = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" in self._pattern(spec)
+        self.known: dict[str, tuple] = {}
         self.piece = self.full.id_to_token
 
+    @staticmethod
+    def _pattern(spec: dict) -> str:
+        """The pattern that the file splits pretokens by, if it does nothing else first."""
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        pattern = steps[0].get("pattern") or {}
+        return pattern.get("Regex", "") if isinstance(pattern, dict) else ""
+
     # --- long unsplit text -------------------------------------------------------------------------------------
 
     def _ids(self, texts: list[str], last: bool) -> list[list[int]]:
@@ -107,12 +118,23 @@ class Codec:
     # --- texts ---------------------------------------------------------------------------------------------------
 
     def _learn(self, words: set[str]) -> None:
-        short = [w for w in words if len(w) <= self.long]
-        for w, e in zip(short, self.full.encode_batch(short, add_special_tokens=False), strict=True):
-            self._put(w, e.ids)
+        # letters and the marks after them are different pretokens: learned apart, a word needs the library once
+        apart = {w: m.groups() for w in words if (m := ENDING.fullmatch(w))} if self.words_end else {}
+        parts = {p for pair in apart.values() for p in pair if p not in self.known}
+        short = [w for w in {*words, *parts} if len(w) <= self.long and w not in apart]
+        # a run of plain letters is one pretoken as it stands, so the model alone can encode it
+        plain = lambda w: self.words_end and w.isascii() and w.isalpha() and w.islower()
+        for model, group in ((self.last, [w for w in short if plain(w)]), (self.full, [w for w in short if not plain(w)])):
+            for i in range(0, len(group), 4_096):  # the library's results are large
+                part = group[i : i + 4_096]
+                for w, e in zip(part, model.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                    self._put(w, e.ids)
         for w in words:
-            if len(w) > self.long:
+            if len(w) > self.long and w not in apart:
                 self._put(w, self._long(w))
+        for w, pair in apart.items():
+            a, b = (self.known[p] for p in pair)
+            self.known[w] = (a[0] + b[0], f"{a[1]} {b[1]}", f"{a[2]} {b[2]}") if self.texts else (a[0] + b[0], a[1] + b[1])
 
     def _plain(self, text: str) -> str:
         """Lower case ahead of the tokenizer where that is the same, so fewer words differ: Latin-1 without special tokens."""
@@ -125,10 +147,10 @@ class Codec:
         return text.lower()
 
     def _put(self, word: str, ids: list[int]) -> None:
-        self.known[word] = (len(ids), " ".join(map(str, ids)), " ".join(map(self.piece, ids)), np.array(ids, np.int32).tobytes())
+        self.known[word] = (len(ids), " ".join(map(str, ids)), " ".join(map(self.piece, ids))) if self.texts else (len(ids), np.array(ids, np.int32).tobytes())
 
-    def encode(self, texts: list[str | None]) -> Iterator[list[tuple[int, str, str, bytes]]]:
-        """The words of each text, each with its number of tokens, ids in decimal, decoded text and ids as 32-bit numbers."""
+    def encode(self, texts: list[str | None]) -> Iterator[list[tuple]]:
+        """The words of each text, each with its number of tokens and, with ``texts``, ids in decimal and the decoded text, else ids as 32-bit numbers."""
         split = [[w for w in CUT.split(self._plain(t)) if w] if t else [] for t in texts]
         if len(self.known) > REMEMBER:
             self.known.clear()
@@ -151,43 +173,46 @@ class Codec:
 _CODECS: dict[tuple, Codec] = {}
 
 
-def codec(path: str, leaf: int = LEAF, long: int = LONG) -> Codec:
+def codec(path: str, leaf: int = LEAF, long: int = LONG, texts: bool = True) -> Codec:
     """One codec per worker process and file."""
-    key = (path, leaf, long)
+    key = (path, leaf, long, texts)
     if key not in _CODECS:
         _CODECS[key] = Codec(*key)
     return _CODECS[key]
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", digests: bool = False) -> DataFrame:
-    """Encode every whole text: (id, n_tokens, ids, decoded), or with ``digests`` SHA-256 digests of the two texts.
+    """Encode every whole text: (id, n_tokens, ids), or with ``digests`` SHA-256 digests of the ids' text and of the decoded text.
 
     ``path`` is a tokenizers file that each worker can open. Null is the empty text: no tokens, empty texts.
     Decoding gives what the file's decoder gives; without one, tokens joined by a space. Ids may be null or repeat.
     """
     need(docs, id_col, text_col)
     kind = docs.schema[id_col].dataType.simpleString()
-    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["id", "n_tokens", "ids", "decoded"]
+    names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"] if digests else ["id", "n_tokens", "ids"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = codec(path)
+        c = codec(path, texts=digests)
         sha = lambda words, i: hashlib.sha256(" ".join([w[i] for w in words]).encode()).hexdigest()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):  # bounds what is held decoded
                 b = batch.slice(at, 512)
-                n, ids, text = [], [], []
+                n, out = [], [[], []]
                 for words in c.encode(b.column(1).to_pylist()):
                     n.append(sum([w[0] for w in words]))
-                    ids.append(sha(words, 1) if digests else b"".join([w[3] for w in words]))
-                    text.append(sha(words, 2) if digests else " ".join([w[2] for w in words]))
+                    if digests:
+                        out[0].append(sha(words, 1))
+                        out[1].append(sha(words, 2))
+                    else:
+                        out[0].append(b"".join([w[1] for w in words]))
                 if digests:
-                    tokens = pa.array(ids, pa.string())
+                    made = [pa.array(x, pa.string()) for x in out]
                 else:
-                    tokens = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(np.frombuffer(b"".join(ids), np.int32)))
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), tokens, pa.array(text, pa.string())], names)
+                    made = [pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)], pa.int32()), pa.array(np.frombuffer(b"".join(out[0]), np.int32)))]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), *made], names)
 
-    out = "string" if digests else "array<int>"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, {names[2]} {out}, {names[3]} string")
+    out = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, {out}")
 
 
 def decode(df: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
