@@ -40,7 +40,7 @@ class Classifier:
     def posterior(self, words: Column) -> Column:
         """Probabilities of the domains, in their order, from an array of words."""
         if len(self.domains) < 2:
-            return F.array(*[F.lit(1.0) for _ in self.domains])
+            return F.array(*[F.lit(1.0) for _ in self.domains]).cast("array<double>")
         zero = F.array(*[F.lit(float(c)) for c in self.constant])
         if self.words:
             table = F.create_map(*[x for w, row in zip(self.words, self.weights, strict=True) for x in (F.lit(w), F.array(*[F.lit(float(v)) for v in row]))])
