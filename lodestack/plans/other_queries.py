@@ -91,7 +91,7 @@ def clusters(spark, d) -> DataFrame:
     return _exact_clusters(spark, d)[1].select("canonical_id", "merged_ids", F.col("source_documents").cast("long").alias("source_documents"))
 
 
-@query("q_orphans", "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")
+@query("q_orphans", "SELECT c_custkey AS id, c_name AS name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_custkey <> 0)")
 def orphans(spark, d) -> DataFrame:
     senders = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
     return E.orphans(senders, table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").alias("correspondent"))).select("id", "name")
@@ -297,7 +297,7 @@ def stream_pending(spark, d) -> DataFrame:
     tags = F.when(kind == "click", "embed, metadata").when(kind == "view", "ocr,embed").when(kind == "error", " embed ").otherwise("")
     events = stream.select("event_id", K.seconds(F.col("ts")).alias("ts"), F.col("user_id").alias("doc_id"), T.route(T.tag_set(tags)).alias("stage"), F.when(F.col("event_id") % 4 == 3, "remove").otherwise("enqueue").alias("op"))
     out, check = new_folder(spark, "stream"), new_folder(spark, "streamlog")
-    SQ.run_once(SQ.stage_queue(events), out, check)
+    SQ.run_once(SQ.stage_queue(events, timers=False), out, check)
     return K.pending(SQ.latest(spark.read.schema(SQ.CHANGE).parquet(out)))
 
 

@@ -35,7 +35,13 @@ def with_current_tags(events: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 class StageQueue(StatefulProcessor):
-    """State of one (document, stage): status, attempts and due time; a suppression marker that times out by itself."""
+    """State of one (document, stage): status, attempts and due time, and until when a marker suppresses its events.
+
+    With ``timers`` due retries are released by themselves; without, ``queues.due`` releases them over the table.
+    """
+
+    def __init__(self, timers: bool = True) -> None:
+        self.timers = timers
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -61,7 +67,8 @@ class StageQueue(StatefulProcessor):
                     status, attempts, due = "failed", 0, None
                 else:
                     status, due = "delayed", e.ts + min(BASE * 2.0 ** (attempts - 1), LONGEST)
-                    self.handle.registerTimer(int(due * 1000))
+                    if self.timers:
+                        self.handle.registerTimer(int(due * 1000))
             else:
                 status, attempts, due = "none", 0, None
             out.append((key[0], key[1], status, attempts, due, added, e.ts))
@@ -79,10 +86,13 @@ class StageQueue(StatefulProcessor):
         pass
 
 
-def stage_queue(events: DataFrame) -> DataFrame:
-    """State changes of a stream (doc_id, stage, op, ts in seconds, event_id). Needs the RocksDB state store."""
+def stage_queue(events: DataFrame, timers: bool = True) -> DataFrame:
+    """State changes of a stream (doc_id, stage, op, ts in seconds, event_id). Needs the RocksDB state store.
+
+    A stream with timers runs on for as long as it isn't stopped, so the once mode goes without.
+    """
     keyed = events.select("doc_id", "stage", "op", F.col("ts").cast("double").alias("ts"), "event_id")
-    return keyed.groupBy("doc_id", "stage").transformWithStateInPandas(statefulProcessor=StageQueue(), outputStructType=CHANGE, outputMode="Update", timeMode="ProcessingTime")
+    return keyed.groupBy("doc_id", "stage").transformWithStateInPandas(statefulProcessor=StageQueue(timers), outputStructType=CHANGE, outputMode="Append", timeMode="ProcessingTime" if timers else "None")
 
 
 def use_rocksdb(spark: SparkSession) -> None:
