@@ -23,7 +23,7 @@ ENDING = re.compile(r"([a-zß-öø-ÿ]{1,512})([.,;:!?]{1,8})")
 LONG = 4_096
 LEAF = 1_024
 #: Remembered words; the memory is dropped whole when full, so it stays bounded.
-REMEMBER = 200_000
+REMEMBER = 500_000
 
 
 class Codec:
