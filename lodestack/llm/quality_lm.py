@@ -49,9 +49,9 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     seen = got.join(ids, got["id"] == ids["_t"], "left_semi")
     q = F.percentile_approx("h", F.lit(quantile), F.lit(10_000))
     by = seen.groupBy("lang").agg(q.alias("q")).select(F.col("lang").alias("_lang"), "q")
-    overall = seen.agg(q.alias("q_all"))
-    rows = got.join(F.broadcast(overall)).join(by, got["lang"].eqNullSafe(by["_lang"]), "left")
-    edge = F.coalesce("q", "q_all") + slack
+    overall = seen.agg(q.alias("q")).first()[0]
+    rows = got.join(by, got["lang"].eqNullSafe(by["_lang"]), "left")
+    edge = F.coalesce("q", F.lit(overall).cast("double")) + slack
     kept = F.col("h").isNotNull() & F.coalesce(F.col("h") <= edge, F.lit(True))
     return rows.select("id", "lang", "n_chars", F.exp("h").alias("perplexity"), F.exp(edge).alias("threshold"), kept.alias("kept"))
 
