@@ -2,55 +2,15 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-_FOLDERS: list[tuple[SparkSession, str]] = []
+from ..operators.components import connected_components
+from ..storage import materialize, new_folder, shared_dir
 
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a temporary one where that is unset."""
-    own = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not own:
-        own = "file://" + tempfile.mkdtemp(prefix="lodestack-")
-        spark.sparkContext.setCheckpointDir(own)
-    return own.rstrip("/")
-
-
-def new_folder(spark: SparkSession, name: str) -> str:
-    """A fresh path under the shared folder, removed through Hadoop's file system when the driver ends."""
-    path = f"{shared_dir(spark)}/lodestack-{name}-{uuid.uuid4().hex}"
-    if not _FOLDERS:
-        atexit.register(_clean)
-    _FOLDERS.append((spark, path))
-    return path
-
-
-def _clean() -> None:
-    for spark, path in _FOLDERS:
-        try:
-            jvm = spark.sparkContext._jvm
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-        except Exception:  # the session has ended: its owner clears the shared folder
-            return
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write ``df`` once as Parquet in the shared folder and read it back.
-
-    Unlike a cache, the table survives the loss of executors, and unlike checkpoint() it stays columnar,
-    so later scans prune columns.
-    """
-    spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+__all__ = ["all_of", "connected_components", "crc_mod", "materialize", "need", "new_folder", "shared_dir", "small"]
 
 
 def need(df: DataFrame, *columns: str) -> None:
@@ -76,43 +36,3 @@ def small(df: DataFrame) -> DataFrame:
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column as text, modulo n; null for null."""
     return F.crc32(F.col(column).cast("string")) % n
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """Components of an undirected graph by alternating large-star and small-star steps.
-
-    ``edges`` has two long columns ``a`` and ``b``. Returns (node, root), root being the smallest node of the
-    component; nodes without an edge to another node don't appear. Minima are pre-aggregated before the shuffle
-    and hubs are joined by joins that adaptive execution may split, so a hub with a third of all edges
-    doesn't meet in one task. Every round is a table in the shared folder. Rounds grow with the logarithm of the
-    longest path, not with the data.
-    """
-
-    def star(pairs: DataFrame, large: bool) -> DataFrame:
-        # pairs: (u, v) both ways for large, u > v for small
-        least = pairs.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        moved = pairs.join(least, "u")
-        if large:
-            return moved.where("v > u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        own = least.select(F.col("u").alias("a"), F.col("m").alias("b"))
-        return moved.select(F.col("v").alias("a"), F.col("m").alias("b")).unionByName(own)
-
-    def both(e: DataFrame) -> DataFrame:
-        return e.select(F.col("a").alias("u"), F.col("b").alias("v")).union(e.select("b", "a"))
-
-    def mark(e: DataFrame) -> tuple:
-        row = e.agg(F.count("*"), F.sum((F.xxhash64("a", "b") % 1_000_000_007).cast("decimal(38,0)"))).first()
-        return tuple(row)
-
-    now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = mark(now)
-    while seen[0]:
-        big = star(both(now), True)
-        big = big.where("a <> b").distinct()
-        small = star(big.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")), False)
-        now = materialize(small.where("a <> b").distinct(), "edges")
-        then, seen = seen, mark(now)
-        if then == seen:
-            break
-    roots = now.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
