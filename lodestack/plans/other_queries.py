@@ -62,17 +62,21 @@ def pair_decisions(spark, d) -> DataFrame:
     return E.decide(E.pair_features(E.candidate_pairs(rows), rows)).select("left", "right", "decision", "confidence", F.round("ratio", 6).alias("ratio"))
 
 
+#: Added to a supplier's key for its twin.
+TWIN = 10_000_000_000
+
+
 def _twins(spark, d) -> tuple[DataFrame, DataFrame]:
     """Suppliers, and the same names written otherwise, as senders with customers' orders as documents."""
-    s = table(spark, d, "supplier").where("s_suppkey <= 40")
+    s = table(spark, d, "supplier")
     senders = s.select(F.col("s_suppkey").alias("id"), F.concat(F.lit("Bank "), F.col("s_name")).alias("name"))
-    senders = senders.union(s.select(F.col("s_suppkey") + 1000, F.concat(F.lit("BANK "), F.upper("s_name"), F.lit(" Inc."))))
-    docs = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("t").alias("title"), (F.col("o_custkey") % 50 + F.when(F.col("o_orderkey") % 3 == 0, 1000).otherwise(0)).alias("correspondent"))
+    senders = senders.union(s.select(F.col("s_suppkey") + TWIN, F.concat(F.lit("BANK "), F.upper("s_name"), F.lit(" Inc."))))
+    docs = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), F.lit("t").alias("title"), (F.col("o_custkey") + F.when(F.col("o_orderkey") % 3 == 0, TWIN).otherwise(0)).alias("correspondent"))
     return senders, docs
 
 
-_TWINS = f"""s AS (SELECT s_suppkey AS id, 'Bank ' || s_name AS name FROM supplier WHERE s_suppkey <= 40 UNION ALL SELECT s_suppkey + 1000, 'BANK ' || upper(s_name) || ' Inc.' FROM supplier WHERE s_suppkey <= 40),
-  docs AS (SELECT o_orderkey AS id, o_custkey % 50 + CASE WHEN o_orderkey % 3 = 0 THEN 1000 ELSE 0 END AS c FROM orders),
+_TWINS = f"""s AS (SELECT s_suppkey AS id, 'Bank ' || s_name AS name FROM supplier UNION ALL SELECT s_suppkey + {TWIN}, 'BANK ' || upper(s_name) || ' Inc.' FROM supplier),
+  docs AS (SELECT o_orderkey AS id, o_custkey + CASE WHEN o_orderkey % 3 = 0 THEN {TWIN} ELSE 0 END AS c FROM orders),
   m AS (SELECT s.id, name, {_norm_sql('name', T.SENDER_SUFFIXES)} AS norm, count(docs.id) AS n, list(docs.id ORDER BY docs.id) FILTER (WHERE docs.id IS NOT NULL) AS ids FROM s LEFT JOIN docs ON docs.c = s.id AND docs.c <> 0 GROUP BY s.id, name),
   g AS (SELECT *, row_number() OVER (PARTITION BY norm ORDER BY n DESC, length(name) DESC, id) AS place, count(*) OVER (PARTITION BY norm) AS k FROM m),
   cl AS (SELECT max(CASE WHEN place = 1 THEN id END) AS canonical_id, list(id ORDER BY id) FILTER (WHERE place > 1) AS merged_ids, CAST(sum(CASE WHEN place > 1 THEN n ELSE 0 END) AS BIGINT) AS source_documents FROM g WHERE k > 1 GROUP BY norm)"""
@@ -185,14 +189,14 @@ def score_fuzzy(spark, d) -> DataFrame:
 
 @query(
     "q_eval_aggregate",
-    f"""WITH {_CORR}, {_DATES}, dd AS (SELECT l_orderkey AS doc_id, date_exact_match, date_partial_credit FROM z WHERE l_linenumber = 1), j AS (SELECT * FROM v LEFT JOIN dd USING (doc_id))
+    f"""WITH {_CORR}, {_DATES}, dd AS (SELECT l_orderkey AS doc_id, date_exact_match, date_partial_credit FROM z), j AS (SELECT * FROM v LEFT JOIN dd USING (doc_id))
         SELECT round(avg(corr_exact_match::INT), 6) AS correspondent_exact_accuracy, round(count(*) FILTER (WHERE corr_expected_null AND corr_predicted_null) / CAST(nullif(count(*) FILTER (WHERE corr_predicted_null), 0) AS DOUBLE), 6) AS null_precision,
           round(count(*) FILTER (WHERE corr_expected_null AND corr_predicted_null) / CAST(nullif(count(*) FILTER (WHERE corr_expected_null), 0) AS DOUBLE), 6) AS null_recall,
           round(avg(date_exact_match::INT), 6) AS date_exact_accuracy, round(avg(date_partial_credit), 6) AS date_partial_mean, count(*) AS n FROM j""",
 )
 def eval_aggregate(spark, d) -> DataFrame:
     s = S.score_date(F.col("e"), F.col("a"))
-    dates = _dates(spark, d).where("l_linenumber = 1").select(F.col("l_orderkey").alias("doc_id"), *[v.alias(k) for k, v in s.items()])
+    dates = _dates(spark, d).select(F.col("l_orderkey").alias("doc_id"), *[v.alias(k) for k, v in s.items()])
     rows = _senders(spark, d, False).join(dates, "doc_id", "left").withColumn("corr_fuzzy_score", F.lit(None).cast("double")).withColumn("title_contains_match", F.lit(None).cast("boolean"))
     got = S.aggregate_scores(rows)
     keep = ("correspondent_exact_accuracy", "null_precision", "null_recall", "date_exact_accuracy", "date_partial_mean")
