@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Column expressions and Arrow-batched functions."""

@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Dataflows over tables: retrieval, lookups, entities, chunks, queues, stages, models, evaluation."""

@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Registered queries and the SQL they are held against."""

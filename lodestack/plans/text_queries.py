@@ -86,20 +86,19 @@ def tag_names(spark, d) -> DataFrame:
     "SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_name IN (SELECT min(n_name) FROM nation))",
 )
 def name_resolve(spark, d) -> DataFrame:
-    nation = table(spark, d, "nation")
-    names = [nation.agg(F.min("n_name")).first()[0]]
-    ids = L_ids(nation, names)
-    rows = table(spark, d, "orders").join(table(spark, d, "customer").where(F.col("c_nationkey").isin(*ids)) if ids is not None else table(spark, d, "customer").limit(0), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
-    return rows.select("o_orderkey")
+    nation, customers = table(spark, d, "nation"), table(spark, d, "customer")
+    ids = _nation_ids(nation, [nation.agg(F.min("n_name")).first()[0]])
+    mine = customers.limit(0) if ids is None else customers.where(F.col("c_nationkey").isin(*ids))
+    return table(spark, d, "orders").join(mine, F.col("o_custkey") == F.col("c_custkey"), "left_semi").select("o_orderkey")
 
 
-def L_ids(nation: DataFrame, names: list[str]) -> list[int] | None:
+def _nation_ids(nation: DataFrame, names: list[str]) -> list[int] | None:
     return R.resolve_names(nation, "n_nationkey", "n_name", names)
 
 
 @query("q_name_resolve_missing", "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE (SELECT count(*) FROM nation WHERE n_name IN ('GERMANY', 'NOWHERE')) = 2)")
 def name_resolve_missing(spark, d) -> DataFrame:
-    ids = L_ids(table(spark, d, "nation"), ["GERMANY", "NOWHERE"])
+    ids = _nation_ids(table(spark, d, "nation"), ["GERMANY", "NOWHERE"])
     orders = table(spark, d, "orders").select("o_orderkey")
     return orders.limit(0) if ids is None else orders
 

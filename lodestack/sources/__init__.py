@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""Where rows come from: REST pages, tables, golden sets, settings."""

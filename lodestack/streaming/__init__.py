@@ -1 +1 @@
-"""See the package README section for what lives here."""
+"""The stage queues as a stateful stream."""
