@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import cosine, present, tokens
+from ..storage import materialize
 from .ranking import global_rank
 
 # Candidates by mode and for plain search, least pool and most candidates to rerank, share kept, fusion constant.
@@ -79,11 +80,12 @@ def _count(array: str, value: str) -> Column:
 def keyword(docs: DataFrame, query: Sequence[str], text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """BM25 of the documents with a query term: the id and ``bm25``. Statistics cover all documents.
 
-    Term counts are read off each row, so no token is shuffled: one aggregation gives the statistics,
-    one projection the scores.
+    Term counts are read off each row in one scan of the texts, so no token is shuffled; a narrow table
+    of counts then gives the statistics and the scores.
     """
     asked = list(dict.fromkeys(query))
     rows = docs.select("doc_id", terms(text).alias("t")).select("doc_id", F.size("t").alias("dl"), *[_count("t", q).alias(f"tf{i}") for i, q in enumerate(asked)])
+    rows = materialize(rows, "terms")
     stats = rows.agg(F.count("*"), F.avg("dl"), *[F.count_if(F.col(f"tf{i}") > 0) for i in range(len(asked))]).first()
     n, mean = stats[0], stats[1] or 1.0
     score = F.lit(0.0)
