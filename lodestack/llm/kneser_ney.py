@@ -20,13 +20,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .base import materialize
+from .base import materialize, new_folder
 
 START, END = "\x02", "\x03"
 #: Model rows in one broadcast shard: 12 bytes each.
 SHARD = 1 << 20
-#: Distinct words that a task holds before it passes on their n-grams, or forgets their scores.
-HOLD = 300_000
+#: Shards that a worker keeps in memory; of longer models it holds one at a time.
+RESIDENT = 12
+#: Distinct words that a task holds before it passes on their n-grams, and before it forgets their scores.
+COUNTED, HOLD = 100_000, 200_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -76,7 +78,7 @@ def count_ngrams(texts: DataFrame, order: int, classes: int = 1, lower: bool = T
         for b in batches:
             for text, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 counts[k].update(split_words(text, lower))
-                if sum(map(len, counts)) > HOLD:
+                if sum(map(len, counts)) > COUNTED:
                     yield grams(counts)
                     counts = [Counter() for _ in range(classes)]
         yield grams(counts)
@@ -186,11 +188,16 @@ def _table(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
 
 
 def share(spark: SparkSession, model: DataFrame) -> list:
-    """Broadcasts of the model's shards; the driver holds one shard at a time."""
+    """Broadcasts of the model's shards; the driver holds one shard at a time, and reads each from a folder of its own."""
     model = materialize(model, "model")
     n = max(1, -(-model.count() // (SHARD * 9 // 10)))
-    place = F.pmod(F.xxhash64("kind", "key"), F.lit(n))
-    return [spark.sparkContext.broadcast(_table(model.where(place == k).toArrow())) for k in range(n)]
+    if n > 1:
+        path = new_folder(spark, "shards")
+        model.withColumn("shard", F.pmod(F.xxhash64("kind", "key"), F.lit(n))).repartition("shard").write.partitionBy("shard").parquet(path)
+        model = spark.read.schema(f"{model.schema.toDDL()}, shard long").parquet(path)
+    else:
+        model = model.withColumn("shard", F.lit(0).cast("long"))
+    return [spark.sparkContext.broadcast(_table(model.where(F.col("shard") == k).toArrow())) for k in range(n)]
 
 
 @dataclass
@@ -213,6 +220,8 @@ class WordScorer:
         out = np.full(len(keys), np.nan, np.float32)
         for shard in self.shards:
             k, v = shard.value
+            if len(self.shards) > RESIDENT:
+                vars(shard).pop("_value", None)  # read again from the worker's copy when next needed
             if len(k):
                 at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
                 hit = k[at] == keys
@@ -248,8 +257,8 @@ class WordScorer:
         if len(self.known) > HOLD:
             self.known.clear()
         new = list({w for t in texts for w in t if w not in self.known})
-        for i in range(0, len(new), 50_000):
-            part = new[i : i + 50_000]
+        for i in range(0, len(new), 25_000):
+            part = new[i : i + 25_000]
             self.known.update(zip(part, self._score(part), strict=True))
         return self.known.__getitem__
 

@@ -11,8 +11,8 @@ from .kneser_ney import WordScorer, count_ngrams, language_model, score_texts, s
 ORDER = 5
 #: A text is kept up to this quantile of the log-perplexities of the trusted texts of its language.
 QUANTILE = 0.995
-#: Allowed above the quantile, in log-perplexity: a short text strays further than the trusted ones tell.
-SLACK = 0.15
+#: Allowed above the quantile, in log-perplexity, and more for short texts, over the root of their characters: they stray further.
+SLACK, SHORT = 0.15, 1.5
 
 
 def _fold(words: list[str], value) -> tuple[float, int]:
@@ -51,7 +51,7 @@ def classify(docs: DataFrame, trusted_ids: DataFrame, id_col: str = "doc_id", te
     by = seen.groupBy("lang").agg(q.alias("q")).select(F.col("lang").alias("_lang"), "q")
     overall = seen.agg(q.alias("q")).first()[0]
     rows = got.join(by, got["lang"].eqNullSafe(by["_lang"]), "left")
-    edge = F.coalesce("q", F.lit(overall).cast("double")) + slack
+    edge = F.coalesce("q", F.lit(overall).cast("double")) + slack + SHORT / F.sqrt(F.greatest("n_chars", F.lit(1)))
     kept = F.col("h").isNotNull() & F.coalesce(F.col("h") <= edge, F.lit(True))
     return rows.select("id", "lang", "n_chars", F.exp("h").alias("perplexity"), F.exp(edge).alias("threshold"), kept.alias("kept"))
 

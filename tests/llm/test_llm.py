@@ -163,7 +163,10 @@ def ngrams(word: str, order: int) -> list[str]:
     return [s[i : i + order] for i in range(len(word) + 1)]
 
 
-def test_language_model(spark):
+@pytest.mark.parametrize("shard", [1 << 20, 40])
+def test_language_model(spark, monkeypatch, shard):
+    monkeypatch.setattr(kneser_ney, "SHARD", shard)
+    monkeypatch.setattr(kneser_ney, "RESIDENT", 2)
     texts = [words(60) for _ in range(30)] + [None, ""]
     top = kneser_ney.count_ngrams(spark.createDataFrame([(t, 0) for t in texts], "text string, cls int").repartition(3), 3, lower=False)
     counts: dict[str, int] = {}
