@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm import bpe, mixing, quality_rules, simhash, toxicity
-from lodestack.llm.base import crc_mod, new_folder
+from lodestack.llm.base import crc_mod, materialize, new_folder
 
 #: Scores from here on are toxic.
 TOXIC = 0.7
@@ -36,12 +36,17 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near copies; of rows with one id, one. Rows with a null id stay only in groups without any id."""
-    groups = simhash.near_duplicates(docs)
-    first = groups.where(F.col("id").eqNullSafe(F.col("component"))).select("id").distinct()
-    kept = docs.join(first, docs["doc_id"].eqNullSafe(first["id"]), "left_semi")
-    w = Window.partitionBy("doc_id").orderBy(F.xxhash64("text"))
-    return kept.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
+    """One row of each group of near copies: that of the smallest id, of several the one whose hashes are least. Rows with a null id stay only in groups without any id; an id that has texts in several groups stays in each."""
+    # two hashes, 128 bits in all, tell rows of different ids or texts apart
+    rows = docs.withColumn("_a", F.xxhash64("doc_id", "text")).withColumn("_b", F.xxhash64(F.lit(1), "doc_id", "text"))
+    keyed = rows.select(F.struct("doc_id", "_a", "_b").alias("key"), "text")
+    fps = materialize(simhash.fingerprints(keyed, "key").select("id.*", "fp"), "fps")
+    groups = simhash.rooted(materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes"))
+    least = fps.join(groups.select("fp", "root", "component"), "fp").where(F.col("doc_id").eqNullSafe(F.col("component")))
+    first = least.groupBy("root").agg(F.min("_a").alias("_a"), F.min_by("_b", "_a").alias("_b")).select("_a", "_b")
+    w = Window.partitionBy("_a", "_b").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    kept = rows.join(first, ["_a", "_b"], "left_semi").withColumn("_n", F.row_number().over(w))
+    return kept.where("_n = 1").drop("_a", "_b", "_n")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

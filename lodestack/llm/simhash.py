@@ -168,6 +168,14 @@ def near_links(nodes: DataFrame, distance: int = 4, blocks: int = 7, cap: int =
     return found.where("not hot").select("a", "b").union(more.select("a", "b"))
 
 
+def rooted(nodes: DataFrame, distance: int = 4) -> DataFrame:
+    """``nodes`` (fp, least), fp distinct, with ``root``, the same for all fingerprints of a group, and ``component``, the smallest least of the group."""
+    roots = connected_components(near_links(nodes, distance))
+    known = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
+    least = known.groupBy("root").agg(F.min("least").alias("component"))
+    return known.join(least, "root")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", distance: int = 4, shingle: int = 4) -> DataFrame:
     """One row per input row: (id, fingerprint as 16 hex digits, component).
 
@@ -177,10 +185,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     fps = materialize(fingerprints(docs, id_col, text_col, shingle), "fps")
     nodes = materialize(fps.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
-    roots = connected_components(near_links(nodes, distance))
-    known = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
-    least = known.groupBy("root").agg(F.min("least").alias("component"))
-    where = known.join(least, "root").select("fp", "component")
+    where = rooted(nodes, distance).select("fp", "component")
     text = F.lower(F.lpad(F.hex("fp"), 16, "0"))
     return fps.join(where, "fp").select("id", text.alias("fingerprint"), "component")
 

@@ -535,3 +535,18 @@ def test_pipeline(spark, sf_dir):
     assert {r["doc_id"] for r in mixed.collect()} == set(comp)
     assert tokens.count() == mixed.count() and tokens.columns == ["doc_id", "n_tokens", "ids"]
     assert P.run(spark, sf_dir).count() == tokens.count()
+
+
+def test_near_copies_of_null_and_repeated_ids(spark, sf_dir):
+    import corpus_pipeline as P
+
+    a, b, c, d, e, f = (words(60) for _ in range(6))
+    # groups: three of null ids only, one with ids and a null, one id with texts of two groups, whole rows repeated
+    rows = [(None, a), (None, a), (None, b), (None, c), (None, d), (7, d), (9, d), (8, e), (8, e), (8, f), (3, f.upper())]
+    docs = spark.createDataFrame([(i, t, "en", "s", n) for n, (i, t) in enumerate(rows)], DOCS).repartition(3)
+    got = P.near_copies(spark, docs, sf_dir)
+    assert got.columns == docs.columns
+    key = lambda r: (r[0] is None, r[0] or 0, r[1])
+    assert sorted(((r["doc_id"], r["text"]) for r in got.collect()), key=key) == sorted([(None, a), (None, b), (None, c), (7, d), (8, e), (3, f.upper())], key=key)
+    more = spark.createDataFrame([(8, e, "en", "s", 1), (8, f, "en", "s", 2)], DOCS)
+    assert {r["text"] for r in P.near_copies(spark, more, sf_dir).collect()} == {e, f}
