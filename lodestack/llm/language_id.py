@@ -25,6 +25,10 @@ HOLD = 400_000
 #: Probability of a character that no piece covers, in every language.
 UNKNOWN = 1e-9
 BLANK = "▁"
+#: Longer words are learned from by logarithms of states: up to here UNKNOWN per character stays within floating point.
+PLAIN = 32
+#: Characters of long words whose pieces are held at once.
+CELLS = 100_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -167,12 +171,82 @@ def _forward_long(pieces: Pieces, table: np.ndarray, codes: np.ndarray) -> np.nd
     return np.log(np.maximum(recent[1], 1e-300)) + total
 
 
+def _pieces_at(pieces: Pieces, columns: np.ndarray, start: int, end: int) -> np.ndarray:
+    """(start, length - 1, row) of the piece that begins there, or -1; ``columns`` is positions x rows, 0 past the end."""
+    rows = columns.shape[1]
+    ids = np.full((end - start, pieces.longest, rows), -1, np.int32)
+    ahead = np.stack([columns[start + j : end + j].ravel() for j in range(pieces.longest)])
+    for n, at, own in pieces.walk(ahead, 0):
+        ids[at // rows, n - 1, at % rows] = own
+    return ids
+
+
+def _count_long(pieces: Pieces, table: np.ndarray, words: list[str], weights: np.ndarray, total: np.ndarray) -> None:
+    """Add the expected uses of pieces in words of any length of about the same size, shortest first, to ``total``.
+
+    States are held as logarithms; what a step reads is relative to the last state. Pieces are held for blocks of
+    CELLS characters, so beyond them memory is 16 bytes a character.
+    """
+    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
+    width, n_words, longest = int(size[-1]), len(words), pieces.longest
+    text = "".join([(BLANK + w).ljust(width, "\0") for w in words])
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4").reshape(n_words, width)
+    columns = np.zeros((width + longest, n_words), codes.dtype)
+    columns[:width] = codes.T
+    step = max(1, CELLS // n_words)
+    blocks = [(s, min(width, s + step)) for s in range(0, width, step)]
+    first = np.searchsorted(size, np.arange(width), "right")  # words that go on after each position
+    for k in range(table.shape[1]):
+        chance = np.append(table[:, k], 0.0)
+        # forward: ahead[n - 1] is the state n characters on, as far as it is known, over the state here
+        before, ahead = np.zeros((width + 1, n_words)), np.zeros((longest, n_words))
+        for s, e in blocks:
+            p = chance[_pieces_at(pieces, columns, s, e)]
+            for at in range(s, e):
+                f = first[at]
+                own = ahead[:, f:]
+                own += p[at - s, :, f:]
+                own[0] += UNKNOWN
+                now = own[0].copy()
+                before[at + 1, f:] = before[at, f:] + np.log(now)
+                own[:-1] = own[1:] / now
+                own[-1] = 0.0
+        all_ways = before[size, np.arange(n_words)]
+        # backward: ahead[n - 1] is the state n characters on over the next one
+        after, ahead = np.zeros((width + 1, n_words)), np.zeros((longest, n_words))
+        ahead[0] = 1.0
+        for s, e in reversed(blocks):
+            ids = _pieces_at(pieces, columns, s, e)
+            use = chance[ids]
+            for at in range(e - 1, s - 1, -1):
+                f = first[at]
+                own, part = ahead[:, f:], use[at - s, :, f:]
+                part *= own
+                now = part.sum(axis=0) + UNKNOWN
+                after[at, f:] = after[at + 1, f:] + np.log(now)
+                own[1:] = own[:-1] / now
+                own[0] = 1.0
+            where = np.nonzero(ids >= 0)
+            share = np.exp(before[s:e] + after[s + 1 : e + 1] - all_ways) * weights[:, k]
+            total[:, k] += np.bincount(ids[where], use[where] * share[where[0], where[2]], pieces.size)
+
+
 def expected_counts(pieces: Pieces, table: np.ndarray, words: list[str], weights: np.ndarray) -> np.ndarray:
-    """Expected uses of each piece by language; weights is words x languages counts. Words over 60 characters are left to the others."""
+    """Expected uses of each piece by language, over words of any length; weights is words x languages counts."""
     total = np.zeros_like(table)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    way = np.argsort(size, kind="stable")
+    at = int(np.searchsorted(size[way], PLAIN, "right"))
+    short, long = way[:at], way[at:]
+    at = 0
+    while at < len(long):
+        upto = at + 1
+        while upto < len(long) and (upto - at + 1) * size[long[upto]] <= CELLS and size[long[upto]] <= 1.25 * size[long[at]]:
+            upto += 1
+        _count_long(pieces, table, [words[i] for i in long[at:upto]], weights[long[at:upto]], total)
+        at = upto
+    words, weights = [words[i] for i in short], weights[short]
     for rows, codes in _grouped(words):
-        if codes.shape[1] > 61:
-            continue
         steps = list(pieces.found(codes))
         width, langs = codes.shape[1], table.shape[1]
         alpha = np.zeros((width + 1, len(rows), langs))

@@ -485,6 +485,42 @@ def test_forward():
     assert counts[i] == pytest.approx(slope, rel=1e-2)
 
 
+@pytest.mark.parametrize("cells", [100_000, 90])
+def test_counts_of_long_words(monkeypatch, cells):
+    """Against the gradient of the likelihood by definition, alone and grouped, with and without blocks of positions."""
+    monkeypatch.setattr(language_id, "CELLS", cells)
+    p = language_id.pieces_of(PIECES)
+    table = np.random.default_rng(0).random((p.size, 2)) + 0.01
+    table /= table.sum(axis=0)
+    asked = ["hello" * 9, "brighthell" * 5, "hellstone" * 25, "ⴰ" * 70 + "hell"]
+    i = p.names.index("hell")
+    moved = table.copy()
+    moved[i] *= 1.0001
+    slopes = [(brute_forward(p, moved, w) - brute_forward(p, table, w)) / np.log(1.0001) for w in asked[:2]]
+    for w, slope in zip(asked, slopes, strict=False):
+        assert language_id.expected_counts(p, table, [w], np.ones((1, 2)))[i] == pytest.approx(slope, rel=1e-2)
+    slope = (language_id.forward(p, moved, asked) - language_id.forward(p, table, asked)).sum(axis=0) / np.log(1.0001)
+    together = language_id.expected_counts(p, table, asked, np.ones((4, 2)))
+    assert together[i] == pytest.approx(slope, rel=1e-2)
+    alone = sum(language_id.expected_counts(p, table, [w], np.ones((1, 2))) for w in asked)
+    assert together == pytest.approx(alone, rel=1e-9)
+    monkeypatch.setattr(language_id, "PLAIN", 0)
+    short = ["hello", "internationalization", "漢字", "x"]
+    long = language_id.expected_counts(p, table, short, np.ones((4, 2)))
+    monkeypatch.setattr(language_id, "PLAIN", 32)
+    assert long == pytest.approx(language_id.expected_counts(p, table, short, np.ones((4, 2))), rel=1e-9)
+
+
+def test_unspaced_languages(spark):
+    common = [x for x in language_id.pieces_of(PIECES).names if len(x) == 1 and "\u4e00" <= x <= "\u9fff"][:120]
+    own = {"ja": common[:80], "zh": common[40:]}
+    rows = [(lang, "".join(rng.choice(own[lang]) for _ in range(rng.randrange(70, 300)))) for lang in ("zh", "ja") * 60]
+    langs, table = language_id.learn(spark.createDataFrame([(t, x) for x, t in rows[:80]], "text string, lang string"), PIECES)
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    got = {r["id"]: r["lang"] for r in language_id.identify(docs, langs, table, PIECES).collect()}
+    assert all(got[i] == rows[i][0] for i in range(80, 120))
+
+
 def test_language_id(spark, sf_dir, odd):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = language_id.op10_language_id(spark, sf_dir).join(docs.select("doc_id", "lang"), "doc_id").toPandas()
