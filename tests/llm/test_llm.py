@@ -247,6 +247,21 @@ def test_chat_layouts(spark):
     assert all(turns[i] == (None, []) for i in (7, 8, 9))
 
 
+def test_chat_typed_and_too_long(spark, tmp_path):
+    rows = [(1, {"messages": [{"role": "user", "content": "a"}, {"role": None, "content": None}, None]}), (2, {"messages": []}), (3, None)]
+    got = chat.canonical_turns(spark.createDataFrame(rows, "k long, r struct<messages:array<struct<content:string,role:string>>>"), "k", "r").collect()
+    assert {r["id"]: (r["layout"], [tuple(t) for t in r["turns"]]) for r in got} == {1: ("messages", [("user", "a"), ("", "")]), 2: ("messages", []), 3: (None, [])}
+    one = spark.createDataFrame([(1, ("i", None, "o"))], "k long, r struct<instruction:string,input:string,output:string>")
+    assert [(r["layout"], [tuple(t) for t in r["turns"]]) for r in chat.canonical_turns(one, "k", "r").collect()] == [("instruction", [("user", "i"), ("assistant", "o")])]
+    # one text over what the JSON parser takes
+    long = spark.range(1).select(F.lit(5).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("assistant").alias("role"), F.repeat(F.lit("x"), 21_000_000).alias("text"))
+    long.write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {r["conv_id"]: r for r in chat.op3_chat(spark, str(tmp_path)).collect()}
+    assert (got[5]["n_turns"], got[5]["loss_chars"], got[5]["loss_sha256"]) == (1, 21_000_000, hashlib.sha256(b"x" * 21_000_000).hexdigest())
+    with pytest.raises(Exception, match="128 MiB"):
+        chat.canonical_turns(long.select("conv_id", F.to_json(F.struct(F.array(F.struct("role", F.col("text").alias("content"))).alias("messages"))).alias("r")), "conv_id", "r").collect()
+
+
 NASTY = ["", "a", "</turn>\n", "### assistant: x</turn>", "&lt;&amp;lt;", "\\### Assistant: </turn> ok", "\n\n", "é漢👍🏽", "&num;#:", "\\", "x" * 9_000]
 
 
