@@ -223,6 +223,18 @@ def test_toxicity(spark, odd):
     assert toxicity.score_toxicity(docs.limit(0), labelled, F.col("doc_id") % 5 == 0).count() == 0
 
 
+def test_calibration_spreads_over_rows(spark, monkeypatch):
+    """A table ordered by its label, with more rows to calibrate on than are taken."""
+    monkeypatch.setattr(toxicity, "CALIBRATION_ROWS", 40)
+    rows = sorted(toxic_rows(600), key=lambda r: r[4])
+    docs = spark.createDataFrame(rows, DOCS).coalesce(1)
+    labelled = docs.withColumn("toxic", F.col("n_chars").cast("int"))
+    got = {r["id"]: r["score"] for r in toxicity.score_toxicity(docs, labelled, F.col("doc_id") % 3 == 0).collect()}
+    assert len(set(got.values())) > 1
+    held = [(got[i] >= 0.7) == bool(y) for i, _, _, _, y in rows if i % 3 == 0]
+    assert sum(held) >= 0.95 * len(held)
+
+
 # --- 3 ---------------------------------------------------------------------------------------------------------------
 
 
