@@ -1,95 +1,116 @@
-"""Interpolated modified Kneser-Ney models of the characters of words.
+"""Interpolated modified Kneser-Ney models of characters over sharded count tables.
 
-A word is read with order - 1 start marks before it and an end mark after it, so contexts never cross words and a
-text's log-likelihood is the sum over its words. That lets every task score each distinct word once.
-
-Counts are gathered from whole texts: each task sums its distinct words' n-grams, then Spark sums them by n-gram, so
-what is shuffled grows with the text and the result is sharded by n-gram. Lower orders, discounts and
-interpolation are joins and aggregations over these sharded counts. Scoring reads the model in shards of at most
-SHARD rows, each a broadcast of a known size; a longer model has more shards, not larger ones.
+Contexts run over white space, from the last characters of one word into the next. Counts come from whole texts: every
+task sums the n-grams of its blocks, Spark sums them by n-gram. Lower orders, discounts and interpolation are joins and
+aggregations over these tables, and so is scoring (see ``blocks``): the model is never collected and never broadcast as a whole.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import materialize, new_folder
+from .base import materialize
+from .blocks import blocks, fold, keys_of, settled, strings
 
+#: Fixed marks before and after a text; in texts they become another control character.
 START, END = "\x02", "\x03"
-#: Model rows in one broadcast shard: 12 bytes each.
-SHARD = 1 << 20
-#: Shards that a worker keeps in memory; of longer models it holds one at a time.
-RESIDENT = 12
-#: Distinct words that a task holds before it passes on their n-grams, and before it forgets their scores.
-COUNTED, HOLD = 100_000, 200_000
+#: Numbers of a table that windows are looked up in; beyond, a hash table is used. Characters that are worked on at once.
+DENSE, SLICE = 1 << 27, 1 << 17
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _codes(words: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Code points of the padded words, start of every n-gram, and the word that each n-gram belongs to."""
-    pad = START * (order - 1)
-    text = "".join([pad + w + END for w in words])
-    codes = np.frombuffer(text.encode("utf-32-le"), "<u4")
-    size = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    first = np.cumsum(size + order - 1) - (size + order - 1)
-    own = np.repeat(np.arange(len(words)), size)
-    inside = np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size)
-    return codes, first[own] + inside, own
-
-
-def _keys(codes: np.ndarray, starts: np.ndarray, n: int, kind: int) -> np.ndarray:
-    """64-bit keys of the n code points from each start; kind keeps tables of n-grams and contexts apart."""
-    h = np.full(len(starts), kind * 1_000_003 + n + 1, np.uint64)
-    for j in range(n):
-        h = (h ^ codes[starts + j].astype(np.uint64)) * _MUL
+def _rows(matrix: np.ndarray) -> np.ndarray:
+    """Hashes of the rows of a matrix of code points."""
+    h = np.full(len(matrix), matrix.shape[1] + 1, np.uint64)
+    for j in range(matrix.shape[1]):
+        h = (h ^ matrix[:, j]) * _MUL
         h ^= h >> np.uint64(29)
     return h
 
 
-def split_words(text: str | None, lower: bool) -> list[str]:
-    return ((text.lower() if lower else text).split()) if text else []
-
+@dataclass
+class Grams:
+    """The n-grams of a block: ``codes`` has a row of code points per different one, ``ids`` the one that begins at each
+    place of all texts behind each other, each text between START marks and END, ``first`` the place where each text begins.
 
-def count_ngrams(texts: DataFrame, order: int, classes: int = 1, lower: bool = True) -> DataFrame:
-    """(gram, c0, c1, ...) from rows (text, cls); texts of every length, null texts have no words."""
-    names = ["gram", *[f"c{k}" for k in range(classes)]]
+    Windows that begin in one text and end in the next are the ones that end in START; nothing is counted or scored for them.
+    """
 
-    def grams(counts: list[Counter]) -> pa.RecordBatch:
-        words = list(dict.fromkeys(w for c in counts for w in c))
-        if not words:
-            return pa.RecordBatch.from_arrays([pa.array([], pa.string())] + [pa.array([], pa.int64())] * classes, names)
-        codes, starts, own = _codes(words, order)
-        keys = _keys(codes, starts, order, 0)
-        _, at, back = np.unique(keys, return_index=True, return_inverse=True)
-        rows = codes[starts[at][:, None] + np.arange(order)]
-        text = rows.astype("<u4").tobytes().decode("utf-32-le")
-        sums = [np.bincount(back, np.fromiter((c[w] for w in words), np.float64, len(words))[own]).astype(np.int64) for c in counts]
-        return pa.RecordBatch.from_arrays([pa.array([text[i : i + order] for i in range(0, len(text), order)], pa.string()), *map(pa.array, sums)], names)
+    codes: np.ndarray
+    ids: np.ndarray
+    first: np.ndarray
+
+    @property
+    def real(self) -> np.ndarray:
+        return np.flatnonzero(self.codes[:, -1] != ord(START))
+
+
+def grams(texts: pa.Array, order: int) -> Grams:
+    """Windows are numbered by growing them: the numbers of two neighbours make the key of the longer one."""
+    back, parts, length = START * (order - 1), [], []
+    known = np.zeros(0x110000, bool)
+    for at in range(0, len(texts), 256):
+        some = [t or "" for t in texts.slice(at, 256).to_pylist()]
+        some = [t.replace(START, "\x01").replace(END, "\x01") if START in t or END in t else t for t in some]
+        codes = np.frombuffer("".join([back + t + END for t in some]).encode("utf-32-le"), "<u4")
+        known[codes] = True
+        parts.append(codes)
+        length += [len(t) + order for t in some]
+    alphabet = np.flatnonzero(known).astype(np.uint32)
+    place = np.zeros(0x110000, np.uint16 if len(alphabet) < 65_536 else np.uint32)
+    place[alphabet] = np.arange(len(alphabet))
+    parts = [place[p] for p in parts]
+    c = np.concatenate(parts) if parts else np.zeros(0, np.uint16)
+    del parts
+    ids, rows, k = c.astype(np.int32), np.arange(len(alphabet))[:, None], 1
+    while k < order:
+        # twice as long from two neighbours, or one character longer; later places are read before they change
+        by, right = (ids, rows) if 2 * k <= order else (c, np.arange(len(alphabet))[:, None])
+        m, n = max(0, len(c) - k - right.shape[1] + 1), max(1, len(right))
+        if len(rows) * n <= DENSE:
+            seen = np.zeros(len(rows) * n, bool)
+            for at in range(0, m, SLICE):
+                e = min(m, at + SLICE)
+                seen[ids[at:e] * n + by[at + k : e + k]] = True
+            number = np.cumsum(seen, dtype=np.int32) - 1
+            for at in range(0, m, SLICE):
+                e = min(m, at + SLICE)
+                ids[at:e] = number[ids[at:e] * n + by[at + k : e + k]]
+            new = np.flatnonzero(seen)
+        else:
+            number, new = pd.factorize(ids[:m].astype(np.int64) * n + by[k : m + k])
+            ids[:m] = number
+        ids = ids[:m]
+        rows = np.concatenate([rows[new // n], right[new % n]], axis=1)
+        k = rows.shape[1]
+    return Grams(alphabet[rows] if len(alphabet) else np.zeros((0, order), np.uint32), ids, np.r_[0, np.cumsum(length)[:-1]].astype(np.int64) if length else np.zeros(0, np.int64))
+
+
+def count_chars(texts: DataFrame, order: int) -> DataFrame:
+    """(gram, c) over all rows of ``text``, of every length; a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [Counter() for _ in range(classes)]
-        for b in batches:
-            for text, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                counts[k].update(split_words(text, lower))
-                if sum(map(len, counts)) > COUNTED:
-                    yield grams(counts)
-                    counts = [Counter() for _ in range(classes)]
-        yield grams(counts)
+        for _, b in blocks(batches):
+            g = grams(b.column(0), order)
+            real = g.real
+            got, n = strings(g.codes[real]), np.bincount(g.ids, minlength=len(g.codes))[real]
+            for i in range(0, len(got), 50_000):
+                yield pa.RecordBatch.from_arrays([got.slice(i, 50_000), pa.array(n[i : i + 50_000])], ["gram", "c"])
 
-    got = texts.select("text", F.col("cls").cast("int")).mapInArrow(run, "gram string, " + ", ".join(f"{n} long" for n in names[1:]))
-    return got.groupBy("gram").agg(*[F.sum(n).alias(n) for n in names[1:]])
+    return texts.select("text").mapInArrow(run, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
-def _discount(counts: DataFrame, col: str) -> list[float]:
+def _discount(counts: DataFrame) -> list[float]:
     """D1, D2, D3+ from the counts of counts; a level too small to tell gets 0.5, 1, 1.5."""
-    row = counts.agg(*[F.count_if(F.col(col) == i) for i in (1, 2, 3, 4)]).first()
+    row = counts.agg(*[F.count_if(F.col("c") == i) for i in (1, 2, 3, 4)]).first()
     n = [0, *map(int, row)]
     if not all(n[1:]):
         return [0.5, 1.0, 1.5]
@@ -101,180 +122,86 @@ def _off(c: Column, d: list[float]) -> Column:
     return F.when(c >= 3, d[2]).when(c == 2, d[1]).when(c == 1, d[0]).otherwise(0.0)
 
 
-def _context(counts: DataFrame, n: int, cols: list[str], discounts: dict[str, list[float]]) -> DataFrame:
-    """(ctx, total and backoff weight per count column)."""
-    by = counts.groupBy(F.substring("gram", 1, n - 1).alias("ctx"))
-    sums = by.agg(*[x for c in cols for x in (F.sum(c).alias(f"t_{c}"), F.sum(_off(F.col(c), discounts[c])).alias(f"o_{c}"))])
-    return sums.select("ctx", *[x for c in cols for x in (F.col(f"t_{c}"), F.when(F.col(f"t_{c}") > 0, F.col(f"o_{c}") / F.col(f"t_{c}")).otherwise(1.0).alias(f"g_{c}"))])
-
-
-def lower_levels(top: DataFrame, order: int) -> dict[int, DataFrame]:
-    """Levels 1 .. order - 1 with probabilities (gram, c, p): c is the number of distinct left extensions."""
-    counts = {}
-    above = top.select("gram")
-    for n in range(order - 1, 0, -1):
-        above = counts[n] = materialize(above.groupBy(F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("c")), f"kn{n}")
-    levels = {}
-    base = 1.0 / (counts[1].count() + 1)
-    for n in range(1, order):
-        levels[n] = materialize(_interpolate(counts[n], n, levels.get(n - 1), base), f"knp{n}")
-    return levels
-
-
-def _interpolate(counts: DataFrame, n: int, below: DataFrame | None, base: float) -> DataFrame:
-    ctx = _context(counts, n, ["c"], {"c": (d := _discount(counts, "c"))})
-    rows = counts.withColumn("ctx", F.substring("gram", 1, n - 1)).join(ctx, "ctx")
-    if below is None:
-        rows = rows.withColumn("q", F.lit(base))
-    else:
-        q = below.select(F.col("gram").alias("rest"), F.col("p").alias("q"))
-        rows = rows.withColumn("rest", F.substring("gram", 2, n - 1)).join(q, "rest")
-    return rows.select("gram", "c", "ctx", F.col("g_c").alias("gamma"), ((F.col("c") - _off(F.col("c"), d)) / F.col("t_c") + F.col("g_c") * F.col("q")).alias("p"))
-
-
-def language_model(top: DataFrame, order: int) -> tuple[DataFrame, float]:
-    """Rows (kind, n, key, value) of the whole model and the log-probability of an unseen character.
-
-    kind 0 is an n-gram with its log-probability, kind 1 a context with its log backoff weight.
-    """
-    levels = lower_levels(top, order)
-    base = 1.0 / (levels[1].count() + 1)
-    levels[order] = materialize(_interpolate(top.withColumnRenamed("c0", "c"), order, levels.get(order - 1), base), "knp")
-    parts = []
-    for n, level in levels.items():
-        parts.append(level.select(F.lit(0).alias("kind"), F.lit(n).alias("n"), F.col("gram").alias("key"), F.log("p").alias("value")))
-        parts.append(level.groupBy(F.col("ctx").alias("key")).agg(F.log(F.greatest(F.max("gamma"), F.lit(1e-6))).alias("value")).select(F.lit(1).alias("kind"), F.lit(n - 1).alias("n"), "key", "value"))
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.union(p)
-    return rows, float(np.log(base))
-
-
-def contrast_model(top: DataFrame, order: int) -> DataFrame:
-    """Rows (kind, n, key, value): log ratios of the two classes' probabilities of an n-gram, or of an unseen one after a context.
-
-    Each class has its own counts at the highest order and discounts of its own; both back off to the levels below,
-    whose counts they share, so an expression that neither class has seen weighs nothing by itself.
-    """
-    below = lower_levels(top, order)[order - 1].select(F.col("gram").alias("rest"), F.col("p").alias("q"))
-    d = {c: _discount(top, c) for c in ("c0", "c1")}
-    ctx = materialize(_context(top, order, ["c0", "c1"], d), "ctx")
-    rows = top.withColumn("ctx", F.substring("gram", 1, order - 1)).withColumn("rest", F.substring("gram", 2, order - 1)).join(ctx, "ctx").join(below, "rest")
-
-    def p(c: str) -> Column:
-        own = F.when(F.col(f"t_{c}") > 0, (F.col(c) - _off(F.col(c), d[c])) / F.col(f"t_{c}")).otherwise(0.0)
-        return own + F.col(f"g_{c}") * F.col("q")
-
-    grams = rows.select(F.lit(0).alias("kind"), F.lit(order).alias("n"), F.col("gram").alias("key"), F.log(p("c1") / p("c0")).alias("value"))
-    floor = lambda c: F.greatest(F.col(c), F.lit(1e-6))
-    gaps = ctx.select(F.lit(1).alias("kind"), F.lit(order - 1).alias("n"), F.col("ctx").alias("key"), F.log(floor("g_c1") / floor("g_c0")).alias("value"))
-    return grams.union(gaps)
-
-
-# --- scoring -------------------------------------------------------------------------------------------------------
-
-
-def _table(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    kinds, ns = rows["kind"].to_numpy(), rows["n"].to_numpy()
-    texts = np.array(rows["key"].to_pylist(), object)
-    keys = np.empty(len(kinds), np.uint64)
-    for kind in np.unique(kinds):
-        for n in np.unique(ns[kinds == kind]):
-            at = np.flatnonzero((kinds == kind) & (ns == n))
-            codes = np.frombuffer("".join(texts[at]).encode("utf-32-le"), "<u4")
-            keys[at] = _keys(codes, np.arange(len(at)) * n, int(n), int(kind))
-    way = np.argsort(keys)
-    return keys[way], rows["value"].to_numpy()[way].astype(np.float32)
-
-
-def share(spark: SparkSession, model: DataFrame) -> list:
-    """Broadcasts of the model's shards; the driver holds one shard at a time, and reads each from a folder of its own."""
-    model = materialize(model, "model")
-    n = max(1, -(-model.count() // (SHARD * 9 // 10)))
-    if n > 1:
-        path = new_folder(spark, "shards")
-        model.withColumn("shard", F.pmod(F.xxhash64("kind", "key"), F.lit(n))).repartition("shard").write.partitionBy("shard").parquet(path)
-        model = spark.read.schema(f"{model.schema.toDDL()}, shard long").parquet(path)
-    else:
-        model = model.withColumn("shard", F.lit(0).cast("long"))
-    return [spark.sparkContext.broadcast(_table(model.where(F.col("shard") == k).toArrow())) for k in range(n)]
-
-
 @dataclass
-class WordScorer:
-    """Sum of log values over the characters of each word, remembered within a worker.
+class CharModel:
+    """Probabilities ``levels[n]`` (gram, p) and backoff weights ``weights[n]`` (ctx, g) of contexts of n - 1 characters, tables all; ``base`` is the probability of a character never seen."""
 
-    With ``window``, also the largest sum over so many adjacent characters of the word, as a pair.
-    """
-
-    shards: list
     order: int
-    floor: float | None  # log-probability of an unseen character; None for contrasts, which then weigh nothing
-    window: int = 0
-    known: dict = field(default_factory=dict)
-
-    def __reduce__(self) -> tuple:
-        return WordScorer, (self.shards, self.order, self.floor, self.window)
-
-    def _values(self, keys: np.ndarray) -> np.ndarray:
-        out = np.full(len(keys), np.nan, np.float32)
-        for shard in self.shards:
-            k, v = shard.value
-            if len(self.shards) > RESIDENT:
-                vars(shard).pop("_value", None)  # read again from the worker's copy when next needed
-            if len(k):
-                at = np.minimum(np.searchsorted(k, keys), len(k) - 1)
-                hit = k[at] == keys
-                out[hit] = v[at[hit]]
-        return out
-
-    def _score(self, words: list[str]) -> list:
-        codes, starts, own = _codes(words, self.order)
-        value = np.zeros(len(starts))
-        left = np.arange(len(starts))
-        for n in range(self.order, 0, -1):
-            at = starts[left] + self.order - n
-            got = self._values(_keys(codes, at, n, 0))
-            hit = ~np.isnan(got)
-            value[left[hit]] += got[hit]
-            left, at = left[~hit], at[~hit]
-            if len(left):
-                value[left] += np.nan_to_num(self._values(_keys(codes, at, n - 1, 1)))
-            if not len(left) or self.floor is None:
-                break
-        if self.floor is not None:
-            value[left] += self.floor
-        total = np.bincount(own, value, len(words))
-        if not self.window:
-            return total.tolist()
-        first = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-        run = np.r_[0.0, np.cumsum(value)]
-        end = np.arange(1, len(value) + 1)
-        best = np.maximum.reduceat(run[end] - run[np.maximum(end - self.window, first[own])], first)
-        return list(zip(total.tolist(), best.tolist(), strict=True))
-
-    def learn(self, texts: list[list[str]]) -> Callable[[str], float]:
-        if len(self.known) > HOLD:
-            self.known.clear()
-        new = list({w for t in texts for w in t if w not in self.known})
-        for i in range(0, len(new), 25_000):
-            part = new[i : i + 25_000]
-            self.known.update(zip(part, self._score(part), strict=True))
-        return self.known.__getitem__
-
-
-def score_texts(rows: DataFrame, scorer: WordScorer, fold: Callable[[list[str], Callable[[str], float]], tuple], schema: str, lower: bool, block: int = 1_024) -> DataFrame:
-    """fold(words, value of a word) for each row (id, text): (id, *fold) with the types of ``schema``."""
-    kind = rows.schema["id"].dataType.simpleString()
-    names = ["id", *[c.split()[0] for c in schema.split(", ")]]
+    levels: dict[int, DataFrame]
+    weights: dict[int, DataFrame]
+    base: float
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, block):
-                b = batch.slice(at, block)
-                texts = [split_words(t, lower) for t in b.column(1).to_pylist()]
-                value = scorer.learn(texts)
-                got = [fold(t, value) for t in texts]
-                yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c) for c in zip(*got, strict=True)]], names)
-
-    return rows.select("id", "text").mapInArrow(run, f"id {kind}, {schema}")
+
+def char_model(top: DataFrame, order: int) -> CharModel:
+    """The model of counts (gram, c) of the highest order; a lower order counts distinct characters to the left."""
+    counts = {order: top.select("gram", "c")}
+    for n in range(order - 1, 0, -1):
+        counts[n] = materialize(counts[n + 1].groupBy(F.substring("gram", 2, n).alias("gram")).agg(F.count("*").alias("c")), f"kn{n}")
+    base = 1.0 / (counts[1].count() + 1)
+    levels: dict[int, DataFrame] = {}
+    weights: dict[int, DataFrame] = {}
+    for n in range(1, order + 1):
+        d = _discount(counts[n])
+        c, off = F.col("c"), _off(F.col("c"), d)
+        rows = counts[n].withColumn("ctx", F.substring("gram", 1, n - 1))
+        by = rows.groupBy("ctx").agg(F.sum("c").alias("t"), F.sum(off).alias("o"))
+        weights[n] = materialize(by.select("ctx", "t", (F.col("o") / F.col("t")).alias("g")), f"knw{n}")
+        rows = rows.join(weights[n], "ctx")
+        if n == 1:
+            rows = rows.withColumn("q", F.lit(base))
+        else:
+            rows = rows.withColumn("rest", F.substring("gram", 2, n - 1)).join(levels[n - 1].select(F.col("gram").alias("rest"), F.col("p").alias("q")), "rest")
+        levels[n] = materialize(rows.select("gram", ((c - off) / F.col("t") + F.col("g") * F.col("q")).alias("p")), f"knp{n}")
+    return CharModel(order, levels, {n: w.select("ctx", "g") for n, w in weights.items()}, base)
+
+
+def resolve(wanted: DataFrame, m: CharModel) -> DataFrame:
+    """(key, value): the log-probability of the last character of every distinct n-gram ``key``, by one join per level and backoff weight."""
+    rows = wanted
+    for n in range(m.order, 0, -1):
+        at = m.order - n + 1
+        level = m.levels[n].select(F.col("gram").alias(f"_g{n}"), F.log("p").alias(f"_v{n}"))
+        rows = rows.join(level, F.substring("key", at, n) == F.col(f"_g{n}"), "left").drop(f"_g{n}")
+        if n > 1:
+            weight = m.weights[n].select(F.col("ctx").alias(f"_c{n}"), F.log("g").alias(f"_b{n}"))
+            rows = rows.join(weight, F.substring("key", at, n - 1) == F.col(f"_c{n}"), "left").drop(f"_c{n}")
+    # nothing was ever seen: all of the lowest order's backoff
+    lowest = m.weights[1].select(F.log("g").alias("g")).first()
+    value = F.coalesce("_v1", F.lit((lowest[0] if lowest and lowest[0] is not None else 0.0) + math.log(m.base)))
+    for n in range(2, m.order + 1):
+        value = F.coalesce(F.col(f"_v{n}"), F.coalesce(f"_b{n}", F.lit(0.0)) + value)
+    return rows.select("key", value.cast("float").alias("value"))
+
+
+def log_likelihoods(rows: DataFrame, m: CharModel) -> DataFrame:
+    """(id, log_likelihood, n_chars) of rows (id, text); the end of a text counts as a character, and null is the empty text."""
+    order = m.order
+
+    def keys(texts: pa.Array) -> pa.Array:
+        g = grams(texts, order)
+        return strings(g.codes[g.real])
+
+    def score(b: pa.RecordBatch, key: pa.Array, value: np.ndarray) -> tuple:
+        g = grams(b.column(b.num_columns - 1), order)
+        known = _rows(np.frombuffer("".join(key.to_pylist()).encode("utf-32-le"), "<u4").reshape(-1, order))
+        way = np.argsort(known)
+        known, value = known[way], value[way]
+        real = g.real
+        own = _rows(g.codes[real])
+        at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+        if len(own) and not (len(known) and (known[at] == own).all()):
+            raise ValueError("a block came back without some of its n-grams: write the rows as a table first")
+        log_p = np.zeros(len(g.codes), np.float32)
+        log_p[real] = value[at]
+        ends = np.r_[g.first[1:], len(g.ids)]
+        total = np.zeros(len(g.first))
+        for s in range(0, len(g.ids), SLICE):  # texts may go on from slice to slice
+            e = min(len(g.ids), s + SLICE)
+            i, j = np.searchsorted(ends, s, "right"), np.searchsorted(g.first, e, "left")
+            total[i:j] += np.add.reduceat(log_p[g.ids[s:e]].astype(np.float64), np.maximum(g.first[i:j] - s, 0))
+        return total, np.diff(np.r_[g.first, len(g.ids) + order - 1]) - order + 1
+
+    rows = settled(rows.select("id", "text"))
+    dealt = keys_of(rows, keys).repartition("key")
+    values = dealt.join(resolve(dealt.select("key").distinct(), m), "key").select("block", "key", "value")
+    return fold(rows, lambda b: b, values, score, "log_likelihood double, n_chars long")

@@ -6,16 +6,18 @@ import hashlib
 import json
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from lodestack.llm import bpe, chat, kneser_ney, language_id, mixing, quality_lm, quality_rules, simhash, topk, toxicity, warc
+from lodestack.llm import blocks, bpe, chat, kneser_ney, language_id, mixing, quality_lm, quality_rules, simhash, topk, toxicity, warc
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -158,40 +160,65 @@ def brute_kn(counts: dict[str, int], order: int) -> tuple:
     return p
 
 
-def ngrams(word: str, order: int) -> list[str]:
-    s = kneser_ney.START * (order - 1) + word + kneser_ney.END
-    return [s[i : i + order] for i in range(len(word) + 1)]
+def ngrams(text: str | None, order: int) -> list[str]:
+    s = kneser_ney.START * (order - 1) + (text or "") + kneser_ney.END
+    return [s[i : i + order] for i in range(len(s) - order + 1)]
 
 
-@pytest.mark.parametrize("shard", [1 << 20, 40])
-def test_language_model(spark, monkeypatch, shard):
-    monkeypatch.setattr(kneser_ney, "SHARD", shard)
-    monkeypatch.setattr(kneser_ney, "RESIDENT", 2)
+@pytest.mark.parametrize("dense", [1 << 27, 10])
+def test_windows(monkeypatch, dense):
+    monkeypatch.setattr(kneser_ney, "DENSE", dense)
+    monkeypatch.setattr(kneser_ney, "SLICE", 7)
+    for order in (1, 2, 3, 5, 6):
+        texts = ["".join(rng.choice("ab é😀\n\x02") for _ in range(rng.choice((0, 1, 3, 9, 60)))) for _ in range(30)] + [None, ""]
+        g = kneser_ney.grams(pa.array(texts), order)
+        n = np.bincount(g.ids, minlength=len(g.codes))
+        want = Counter(x for t in texts for x in ngrams((t or "").replace("\x02", "\x01"), order))
+        assert {"".join(map(chr, g.codes[i])): int(n[i]) for i in g.real} == dict(want)
+    assert len(kneser_ney.grams(pa.array([], pa.string()), 3).real) == 0
+
+
+def test_language_model(spark, monkeypatch):
+    """Counts, probabilities and log-likelihoods of small blocks, against the definition; contexts cross words."""
+    monkeypatch.setattr(kneser_ney, "SLICE", 11)
     texts = [words(60) for _ in range(30)] + [None, ""]
-    top = kneser_ney.count_ngrams(spark.createDataFrame([(t, 0) for t in texts], "text string, cls int").repartition(3), 3, lower=False)
-    counts: dict[str, int] = {}
-    for t in texts:
-        for w in (t or "").split():
-            for g in ngrams(w, 3):
-                counts[g] = counts.get(g, 0) + 1
-    assert {r["gram"]: r["c0"] for r in top.collect()} == counts
-    model, floor = kneser_ney.language_model(top, 3)
-    scorer = kneser_ney.WordScorer(kneser_ney.share(spark, model), 3, floor)
+    top = kneser_ney.count_chars(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), 3)
+    counts = Counter(g for t in texts for g in ngrams(t, 3))
+    assert {r["gram"]: r["c"] for r in top.collect()} == dict(counts)
     p = brute_kn(counts, 3)
-    asked = ["the1", "river39", "zzz", "trqx", "é", "t"]
-    for w, got in zip(asked, scorer._score(asked), strict=True):
-        assert got == pytest.approx(sum(np.log(p(g)) for g in ngrams(w, 3)), abs=1e-3)
-    seen = [g for g in counts if g.startswith(kneser_ney.START + "t")][:1][0][:-1]
-    chars = {g[-1] for g in counts}
-    assert sum(p(seen + c) for c in chars) == pytest.approx(1.0, abs=0.05)
+    asked = ["the1 of2", "of2 the1", "river39", "zzz", "trqx é", "", None, words(50)]
+    rows = spark.createDataFrame(list(enumerate(asked)), "id long, text string").repartition(3)
+    got = {r["id"]: r for r in kneser_ney.log_likelihoods(rows, kneser_ney.char_model(top, 3)).collect()}
+    for i, t in enumerate(asked):
+        assert got[i]["log_likelihood"] == pytest.approx(sum(np.log(p(g)) for g in ngrams(t, 3)), abs=1e-2)
+        assert got[i]["n_chars"] == len(t or "") + 1
+    assert got[0]["log_likelihood"] != got[1]["log_likelihood"]
+    seen = next(g for g in counts if g.startswith(kneser_ney.START + "t"))[:-1]
+    assert sum(p(seen + c) for c in {g[-1] for g in counts}) == pytest.approx(1.0, abs=0.05)
+
+
+def test_blocks_of_any_size(monkeypatch):
+    rows = pa.RecordBatch.from_arrays([pa.array(range(40)), pa.array([words(rng.randrange(30)) if i % 7 else None for i in range(40)])], ["id", "text"])
+    for size in (1, 100, 1 << 20):
+        for cut in (40, 3):
+            got = list(blocks.blocks(iter([rows.slice(i, cut) for i in range(0, 40, cut)]), size))
+            assert [x for _, b in got for x in b.column(0).to_pylist()] == list(range(40))
+            assert len({label for label, _ in got}) == len(got)
+            assert got == list(blocks.blocks(iter([rows.slice(i, cut) for i in range(0, 40, cut)]), size))
 
 
 def test_quality_lm(spark, odd):
-    good = [(i, words(60), "en", "s", 0) for i in range(120)]
+    good = [(i, words(60), "en" if i % 2 else None, "s", 0) for i in range(160)]
     bad = [(500 + i, " ".join("#|&$!"[rng.randrange(5)] * 4 + str(rng.random()) for _ in range(40)), "en", "s", 0) for i in range(10)]
     docs = spark.createDataFrame(good + bad, DOCS)
-    got = {r["id"]: r for r in quality_lm.classify(docs, spark.createDataFrame([(i,) for i in range(80)], "id long")).collect()}
-    assert all(got[i]["kept"] for i in range(120)) and not any(got[500 + i]["kept"] for i in range(10))
+    got = {r["id"]: r for r in quality_lm.classify(docs, spark.createDataFrame([(i,) for i in range(140)], "id long"), quantile=0.9).collect()}
+    assert not any(got[500 + i]["kept"] for i in range(10))
+    for lang in ("en", None):
+        held = sorted(r["perplexity"] for r in got.values() if r["fold"] == "threshold" and r["lang"] == lang)
+        mine = [r for r in got.values() if r["lang"] == lang]
+        assert all(r["threshold"] == pytest.approx(held[int(np.ceil(0.9 * len(held))) - 1], rel=1e-4) for r in mine)
+        assert all(r["kept"] == (r["perplexity"] <= r["threshold"] * (1 + 1e-9)) for r in mine)
+    assert {r["fold"] for i, r in got.items() if i < 140} == {"model", "threshold"} and {r["fold"] for i, r in got.items() if i >= 140} == {None}
     rows = quality_lm.classify(odd.drop("id", "kept"), spark.createDataFrame([(4,), (99,)], "id long")).collect()
     assert len(rows) == odd.count() and {r["id"] for r in rows if r["perplexity"] is None} == {1, 2, 3}
     assert quality_lm.classify(odd.limit(0), spark.createDataFrame([], "id long")).count() == 0
@@ -204,11 +231,40 @@ def toxic_rows(n: int) -> list[tuple]:
         bad = i % 4 == 0
         if bad:
             for _ in range(3):
-                t[rng.randrange(len(t))] = "grox" + rng.choice("abcdefgh") + rng.choice("abcdefgh")
+                t[rng.randrange(len(t))] = "grox" + rng.choice("abcdefgh") + rng.choice("!, ").strip()
         out.append((i, " ".join(t), "en", "s", int(bad)))
     return out
 
 
+def test_toxicity_by_definition(spark):
+    """Counts, log ratios and the ratios of texts, recomputed."""
+    rows = toxic_rows(200)
+    labelled = spark.createDataFrame([(t, y) for _, t, _, _, y in rows] + [(None, 0), ("", 1)], "text string, cls int").repartition(3)
+    strip = lambda t: {w for w in (x.strip(toxicity.MARKS) for x in (t or "").lower().split()) if w}
+    counts = [Counter(w for _, t, _, _, y in rows if y == k for w in strip(t)) for k in (0, 1)]
+    table = toxicity.class_counts(labelled)
+    assert {r["key"]: (r["c0"], r["c1"]) for r in table.collect()} == {w: (counts[0][w], counts[1][w]) for w in {*counts[0], *counts[1]}}
+    off = lambda c: min(c, 2)
+    total, free = [sum(c.values()) for c in counts], [sum(map(off, c.values())) for c in counts]
+    g = max(f / t for f, t in zip(free, total, strict=True))
+
+    def value(w: str) -> float:
+        q = (counts[0][w] + counts[1][w]) / sum(total)
+        p = [(c[w] - off(c[w])) * (1 - g) / (t - f) + g * q for c, t, f in zip(counts, total, free, strict=True)]
+        return float(np.log(p[1] / p[0]))
+
+    model = toxicity.contrast(table)
+    got = {r["key"]: r["value"] for r in model.collect()}
+    assert got == pytest.approx({w: value(w) for w in {*counts[0], *counts[1]}})
+    strong = model.where(F.col("value") >= toxicity.EVIDENCE)
+    asked = [rows[0][1], rows[1][1], "Groxa, groxa GROXB! never", "", None]
+    made = {r["id"]: r["ratio"] for r in toxicity.ratios(spark.createDataFrame(list(enumerate(asked)), "id long, text string").repartition(2), strong).collect()}
+    for i, t in enumerate(asked):
+        v = [got.get(w, 0.0) for w in strip(t)]
+        assert made[i] == pytest.approx(sum(x for x in v if x >= toxicity.EVIDENCE) / (len(v) + toxicity.SHORT) ** 0.5, abs=1e-6)
+    assert made[2] > 0.5 and made[3] == made[4] == 0
+
+
 def test_toxicity(spark, odd):
     rows = toxic_rows(400)
     docs = spark.createDataFrame(rows, DOCS)
