@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm import bpe, mixing, quality_rules, simhash, toxicity
-from lodestack.llm.base import crc_mod, materialize, new_folder
+from lodestack.llm.base import crc_mod, materialize, new_folder, small
 
 #: Scores from here on are toxic.
 TOXIC = 0.7
@@ -15,8 +15,6 @@ TOXIC = 0.7
 
 def _whole(docs: DataFrame) -> DataFrame:
     """Rows as one struct beside their text, so that a stage's verdict needs no join to reach them."""
-    # such rows hold their text twice: fewer of them go to a worker at once
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text"))
 
 
@@ -27,18 +25,23 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rows.select(F.explode(F.when(F.col("kept"), F.array("id"))).alias("row")).select("row.*")
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with two hashes, 128 bits in all, that tell rows of different ids or texts apart; rows equal in both are judged alike."""
+    return docs.withColumn("_a", F.xxhash64("doc_id", "text")).withColumn("_b", F.xxhash64(F.lit(1), "doc_id", "text"))
+
+
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under TOXIC, by models of the labelled documents among those left."""
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    learned = toxicity.labelled_texts(docs, labels)
-    got = toxicity.score_toxicity(_whole(docs), learned, crc_mod("doc_id", 5) == 0, "row", "text")
-    return got.where(F.col("score") < TOXIC).select("id.*")
+    """Documents that score under TOXIC, by models of the labelled documents among those left; null and empty texts score as low as texts without a toxic word, repeated rows alike."""
+    learned = toxicity.labelled_texts(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = _keyed(docs)
+    got = toxicity.score_toxicity(rows.select(F.struct("_a", "_b").alias("key"), "text"), learned, crc_mod("doc_id", 5) == 0, "key", "text")
+    out = materialize(got.where(F.col("score") >= TOXIC).select("id.*").distinct(), "toxic")
+    return rows.join(small(out), ["_a", "_b"], "left_anti").drop("_a", "_b")
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: that of the smallest id, of several the one whose hashes are least. Rows with a null id stay only in groups without any id; an id that has texts in several groups stays in each."""
-    # two hashes, 128 bits in all, tell rows of different ids or texts apart
-    rows = docs.withColumn("_a", F.xxhash64("doc_id", "text")).withColumn("_b", F.xxhash64(F.lit(1), "doc_id", "text"))
+    rows = _keyed(docs)
     keyed = rows.select(F.struct("doc_id", "_a", "_b").alias("key"), "text")
     fps = materialize(simhash.fingerprints(keyed, "key").select("id.*", "fp"), "fps")
     groups = simhash.rooted(materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes"))
