@@ -230,8 +230,8 @@ def toxic_rows(n: int) -> list[tuple]:
         t = words(40).split()
         bad = i % 4 == 0
         if bad:
-            for _ in range(3):
-                t[rng.randrange(len(t))] = "grox" + rng.choice("abcdefgh") + rng.choice("!, ").strip()
+            for at, end in zip(rng.sample(range(len(t)), 3), rng.sample("abcdefgh", 3), strict=True):
+                t[at] = "grox" + end + rng.choice("!, ").strip()
         out.append((i, " ".join(t), "en", "s", int(bad)))
     return out
 
