@@ -1,4 +1,4 @@
-"""Exact top-k by inner product: sorted lists without random access, read to a depth, with bounds on every score."""
+"""Exact top-k by inner product: no-random-access aggregation over one list of values per vector component."""
 
 from __future__ import annotations
 
@@ -6,20 +6,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .base import need
 
-QUERY_BLOCK, BLOCK = 1_024, 8_192
-#: Depths, as shares of a block's lists, at which bounds are compared before the lists are read to the end.
-DEPTHS = (0.5, 0.875)
-#: Vector components are cut to this range after scaling.
-LIMIT = 2**31
+QUERY_BLOCK, BLOCK = 8_192, 8_192
+#: Bounds are compared after half of the lists and then after every so many.
+STEP = 4
 
 
 def _narrow(m: np.ndarray) -> np.ndarray:
-    top = int(np.abs(m).max(initial=0))
+    """Whole numbers in the smallest type that holds them; beyond a long nothing does."""
+    top = float(np.abs(m).max(initial=0))
+    if not top < 2.0**63:
+        raise OverflowError("floor(64 x) of a component is over a long")
     return m.astype(np.int8 if top < 128 else np.int16 if top < 2**15 else np.int64)
 
 
@@ -32,7 +33,7 @@ def _pack(keyed: bool):
             m = np.zeros((len(rows), wide))
             for i, r in enumerate(rows):  # shorter vectors count as padded with zeros
                 m[i, : len(r)] = r
-            m = _narrow(np.clip(np.floor(64.0 * m), -LIMIT, LIMIT).astype(np.int64))
+            m = _narrow(np.floor(64.0 * m))
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((q, pa.int64()), (len(rows), pa.int64()), (m.dtype.str, pa.string()), (np.array(ids, np.int64).tobytes(), pa.binary()), (m.tobytes(), pa.binary()))], ["q", "n", "kind", "ids", "matrix"])
 
         last, ids, rows = None, [], []
@@ -57,60 +58,58 @@ def _matrix(kind: str, n: int, raw: bytes, wide: int) -> np.ndarray:
     return np.pad(m, ((0, 0), (0, wide - m.shape[1]))) if m.shape[1] < wide else m
 
 
-def no_random_access(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, held: list, k: int, depths: tuple = DEPTHS) -> None:
-    """Bring ``held``, the best (scores, ids) of each query so far, up to date with the vectors of one block.
+def _exact(x: np.ndarray, q: np.ndarray) -> type:
+    """The fastest type in which all scores and bounds are exact."""
+    bound = max(1, x.shape[1]) * int(np.abs(x.astype(object)).max(initial=0)) * int(np.abs(q.astype(object)).max(initial=0))
+    return np.float32 if bound < 2**22 else np.float64 if bound < 2**51 else object
 
-    Every component has one list in each direction; a query reads the descending one where its own component is
-    positive and the ascending one where it is negative. After ``t`` reads of each list a score lies between
-    what is known plus the worst values of the lists and what is known plus the values last read. Objects whose
-    upper bound is under the k-th best lower bound can't qualify. Once few enough are left, or
-    the lists end, the final scores of those left are resolved.
+
+def no_random_access(x: np.ndarray, ids: np.ndarray, q: np.ndarray, qids: np.ndarray, held: list, k: int) -> int:
+    """Bring ``held``, the best (scores, ids) of each query so far, up to date with the vectors of one block; returns the values read.
+
+    Every component is a list over the vectors. A query reads lists one after the other, those first in which its
+    scores can differ most. A score lies between what is read plus the worst ends of the unread lists and what is read plus
+    their best ends. Vectors whose upper bound is under the k-th best lower bound, or under the k-th score of
+    earlier blocks, can't qualify and are read no further; what is left at the end has its final scores.
     """
-    n = len(x)
-    bound = int(np.abs(x.astype(np.int64)).max(initial=0)) * int(np.abs(q.astype(np.int64)).max(initial=0)) * max(1, x.shape[1])
-    kind = np.float32 if bound < 2**24 else np.float64 if bound < 2**53 else object
-    x, q = (m.astype(np.int64).astype(kind) for m in (x, q))
-    up, down = np.maximum(q, 0).T, np.minimum(q, 0).T
-    own = {v: i for i, v in enumerate(qids.tolist())}
-    mine = [(i, own[v]) for i, v in enumerate(ids.tolist()) if v in own]
-    floor = np.array([h[0][-1] if len(h[0]) >= k else -np.inf for h in held])
-    lists = np.sort(x, axis=0)
-    left = np.arange(n)
-    if kind is not object:
-        for depth in depths:
-            t = int(n * depth)
-            if t < 1 or n - t < k or len(left) <= 4 * k:
-                continue
-            high, low = lists[n - t], lists[t - 1]
-            part = x[left]
-            read_high, read_low = part >= high, part <= low
-            least = np.where(read_high, part, lists[0]) @ up + np.where(read_low, part, lists[-1]) @ down
-            most = np.where(read_high, part, high) @ up + np.where(read_low, part, low) @ down
-            place = {v: i for i, v in enumerate(left.tolist())}
-            for i, j in mine:
-                if i in place:
-                    least[place[i], j] = most[place[i], j] = -np.inf
-            kth = np.maximum(floor, np.partition(least, len(left) - k, axis=0)[len(left) - k]) if len(left) > k else floor
-            left = left[(most >= kth).any(axis=1)]
-    score = x[left] @ (up + down)
-    place = {v: i for i, v in enumerate(left.tolist())}
-    score = score.astype(np.float64) if kind is not object else score
-    for i, j in mine:
-        if i in place:
-            score[place[i], j] = -np.inf
-    names = ids[left]
-    if kind is not object and len(left) > k:
-        floor = np.maximum(floor, np.partition(score, len(left) - k, axis=0)[len(left) - k])
-    hit_q, hit_x = np.nonzero((score >= floor).T)
-    ends = np.searchsorted(hit_q, np.arange(len(qids) + 1))
-    for j in range(len(qids)):
-        at = hit_x[ends[j] : ends[j + 1]]
-        at = at[score[at, j] != -np.inf]
-        if len(at):
-            s = np.concatenate([held[j][0], score[at, j]])
-            v = np.concatenate([held[j][1], names[at]])
-            way = np.lexsort((v, -s.astype(np.float64)))[:k] if kind is not object else np.array(sorted(range(len(s)), key=lambda r: (-s[r], v[r]))[:k])
-            held[j] = s[way], v[way]
+    kind = _exact(x, q)
+    lists = np.ascontiguousarray(x.T.astype(kind) if kind is not object else x.T.astype(object))
+    q = q.astype(kind)
+    d, n = lists.shape
+    least, most = (lists.min(axis=1), lists.max(axis=1)) if n else (np.zeros(d, kind), np.zeros(d, kind))
+    own = {}
+    for i, v in enumerate(ids.tolist()):
+        own.setdefault(v, []).append(i)
+    checks = {d // 2, d, *range(d // 2, d, STEP)} - {0} or {d}
+    steps = sorted(checks)
+    read = 0
+    for j, w in enumerate(q):
+        way = np.argsort(-np.abs(w * (most - least)).astype(float), kind="stable")
+        a, b = w[way] * least[way], w[way] * most[way]
+        worst, best = (np.append(np.cumsum(np.where(a < b, x, y)[::-1])[::-1], 0) for x, y in ((a, b), (b, a)))
+        floor = held[j][0][-1] if len(held[j][0]) >= k else -np.inf
+        left, at = None, 0
+        score = np.zeros(n, kind)
+        score[own.get(int(qids[j]), [])] = -np.inf
+        for upto in steps:
+            o = way[at:upto]
+            score = score + w[o] @ (lists[o] if left is None else lists[np.ix_(o, left)])
+            read += len(o) * len(score)
+            at = upto
+            if len(score) > k:
+                floor = max(floor, np.partition(score, len(score) - k)[len(score) - k] + worst[at])
+            keep = np.flatnonzero(score + best[at] >= floor)
+            if 2 * len(keep) < len(score) or upto == d:
+                left, score = (keep if left is None else left[keep]), score[keep]
+                if not len(left):
+                    break
+        if left is None or not len(left):
+            continue
+        real = score != -np.inf
+        s, v = np.concatenate([held[j][0], score[real]]), np.concatenate([held[j][1], ids[left[real]]])
+        order = np.lexsort((v, -s)) if s.dtype != object else np.array(sorted(range(len(s)), key=lambda r: (-s[r], v[r])), np.int64)
+        held[j] = s[order[:k]], v[order[:k]]
+    return read
 
 
 def _search(k: int):
@@ -145,7 +144,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     Components become floor(64 x). Rows with a null id, a null vector or a null or non-finite component take no part, empty
     vectors neither; shorter vectors count as padded with zeros. Ties go to the smaller id. Rows that have the
     query's id are its own; of queries with one id the smallest vector is taken. Blocks of queries meet blocks
-    of vectors by an equi-join on (query block, salt), so every task holds one block of each and one list of k per query.
+    of vectors by an equi-join on (query block, salt), so every task holds one block of each and one list of k per query. A
+    scaled component or a score over a long raises.
     """
     need(vectors, id_col, vector_col)
     spark = vectors.sparkSession
@@ -162,15 +162,14 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, id_col: str = "ve
     q = q.select("q", *[F.col(c).alias(f"q_{c}") for c in ("n", "kind", "ids", "matrix")], F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
     x = clean(vectors).select(F.lit(0).cast("long").alias("q"), "id", "v").mapInArrow(_pack(False), schema).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
     x = x.drop("q").withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1)).cast("array<bigint>")))
-    met = x.join(q, ["q", "salt"]).repartition("q", "salt").sortWithinPartitions("q", "salt")
+    met = x.join(q, ["q", "salt"]).sortWithinPartitions("q", "salt")
     found = met.mapInArrow(_search(k), "query_id long, vec_id long, score long")
-    from pyspark.sql import Window
-
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op5_topk(spark, sf_dir: str) -> DataFrame:
+    """``top_k`` of the vectors whose id is divisible by 20, against all; nulls, ties and repeated rows as there."""
     rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     return top_k(rows, rows.where("vec_id % 20 = 0"))
 
