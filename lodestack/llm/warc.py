@@ -23,6 +23,8 @@ from .base import materialize, need, new_folder, small
 #: Lines of a block of the index, and bytes after which a task starts a new archive file.
 BLOCK_LINES = 3_000
 ROLL = 256 << 20
+#: Bytes that a reading task is given, about, and adjacent bytes of an archive that stay together.
+READ, STRETCH = 4 << 20, 1 << 20
 #: Fixed values of the format.
 VERSION, PROFILE = "WARC/1.1", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _NO_ID = -(1 << 63)
@@ -249,8 +251,8 @@ def lookup(archive: Archive, url: str) -> list[tuple[dict[str, str], bytes]]:
 def read(archive: Archive, wanted: DataFrame, payloads: bool = True) -> DataFrame:
     """Records of the (key, page_id) pairs of ``wanted``: page_id, url, record_type, refers_to, payload_digest, payload_bytes (and payload).
 
-    Pairs are sorted by key, so each task walks through few index blocks; the captures found are then dealt out by
-    archive file and read in the order of their offsets. Digests of responses are computed from the payload read
+    Pairs are sorted by key, so each task walks through few index blocks; the captures found are then dealt out in
+    stretches of archive files, as many tasks as their bytes demand, and read in the order of their offsets. Digests of responses are computed from the payload read
     and must agree with the header. Absent pairs give no row; a revisit has its original's digest and size and no payload.
     """
     folder, shards = archive.folder, archive.shards
@@ -285,12 +287,17 @@ def read(archive: Archive, wanted: DataFrame, payloads: bool = True) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], names)
 
     pairs = wanted.select("key", F.col("page_id").cast("long").alias("page_id")).distinct().repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id")
-    found = pairs.mapInArrow(find, "file string, offset long, length long").repartition("file").sortWithinPartitions("file", "offset")
+    found = materialize(pairs.mapInArrow(find, "file string, offset long, length long"), "found")
+    # dealt by the bytes behind them: stretches of an archive, so that a task reads about READ bytes and seeks forward only
+    total = found.agg(F.sum("length")).first()[0] or 0
+    stretch = F.floor(F.col("offset") / STRETCH)
+    found = found.repartition(max(1, -(-total // READ)), "file", stretch).sortWithinPartitions("file", "offset")
     out = found.mapInArrow(fetch, "page_id long, url string, record_type string, refers_to long, payload_digest string, payload_bytes long, payload binary")
     return out if payloads else out.drop("payload")
 
 
 def op7_warc(spark, sf_dir: str) -> DataFrame:
+    """``write`` and ``read`` of all pages, in full; nulls and repeated rows as there, a row of ``read`` per distinct (url, page_id)."""
     archive = write(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return read(archive, archive.captures.select("key", "page_id"), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
 
