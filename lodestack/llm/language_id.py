@@ -7,7 +7,6 @@ product over its words and each distinct word needs the forward algorithm once p
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .base import crc_mod, materialize, need
+from .blocks import blocks, split
 
 ROUNDS = 2
 #: Languages that one model may have: its table has vocabulary x languages numbers, which bounds what is broadcast.
@@ -32,8 +32,50 @@ CELLS = 100_000
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
+_ABSENT = -2
+
+
+def _matrix(words: list[str], width: int) -> np.ndarray:
+    """Code points of words, from 1 on, and 0 past their end."""
+    text = "".join([w.ljust(width, "\0") for w in words])
+    codes = np.frombuffer(text.encode("utf-32-le"), "<u4").reshape(len(words), width) + np.uint32(1)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    codes[np.arange(width) >= size[:, None]] = 0
+    return codes
+
+
+def _slots(h: np.ndarray, ids: np.ndarray) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Hash tables of hashes and their numbers: what finds its slot taken goes to the next table."""
+    tables = []
+    while len(h):
+        bits = max(2, int(4 * len(h)).bit_length())
+        keys, values = np.zeros(1 << bits, np.uint64), np.full(1 << bits, _ABSENT, np.int32)
+        slot = (h * (_MUL + np.uint64(2 * len(tables)))) >> np.uint64(64 - bits)
+        keys[slot], values[slot] = h, ids
+        tables.append((bits, keys, values))
+        out = keys[slot] != h
+        h, ids = h[out], ids[out]
+    return tables
+
+
+def _find(tables: list[tuple[int, np.ndarray, np.ndarray]], h: np.ndarray) -> np.ndarray:
+    """The number of every hash, or _ABSENT."""
+    out = np.full(len(h), _ABSENT, np.int32)
+    rest = np.arange(len(h))
+    for i, (bits, keys, values) in enumerate(tables):
+        mine = h[rest] if i else h
+        slot = (mine * (_MUL + np.uint64(2 * i))) >> np.uint64(64 - bits)
+        hit = (keys[slot] == mine) & (values[slot] > _ABSENT)
+        out[rest[hit]] = values[slot[hit]]
+        # an empty slot ends the search: nothing with this hash was ever turned away from it
+        rest = rest[~hit & (values[slot] > _ABSENT)]
+        if not len(rest):
+            break
+    return out
+
+
 class Pieces:
-    """The vocabulary as a trie by length: sorted hashes of all prefixes, with the piece that a prefix is, or -1."""
+    """The vocabulary as a trie by length: hashes of all prefixes, with the piece that a prefix is, or -1."""
 
     def __init__(self, path: str) -> None:
         import sentencepiece
@@ -48,16 +90,15 @@ class Pieces:
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
         for n in range(1, self.longest + 1):
             prefixes = sorted({p[:n] for p in names if len(p) >= n})
-            codes = np.frombuffer("".join(prefixes).encode("utf-32-le"), "<u4").reshape(len(prefixes), n)
+            codes = _matrix(prefixes, n)
             h = np.zeros(len(prefixes), np.uint64)
             for j in range(n):
                 h = self.mix(h, codes[:, j])
-            way = np.argsort(h)
-            self.levels.append((h[way], np.array([place.get(p, -1) for p in prefixes], np.int32)[way]))
+            self.levels.append(_slots(h, np.array([place.get(p, -1) for p in prefixes], np.int32)))
 
     @staticmethod
     def mix(h: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        h = (h ^ (codes.astype(np.uint64) + np.uint64(1))) * _MUL
+        h = (h ^ codes.astype(np.uint64)) * _MUL
         return h ^ (h >> np.uint64(29))
 
     def walk(self, columns: np.ndarray, start: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -66,13 +107,11 @@ class Pieces:
         h = np.zeros(len(rows), np.uint64)
         for n in range(1, min(self.longest, len(columns) - start) + 1):
             h = self.mix(h, columns[start + n - 1][rows])
-            keys, ids = self.levels[n - 1]
-            at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            on = keys[at] == h
-            rows, h, at = rows[on], h[on], at[on]
+            piece = _find(self.levels[n - 1], h)
+            on = piece > _ABSENT
+            rows, h, piece = rows[on], h[on], piece[on]
             if not len(rows):
                 return
-            piece = ids[at]
             is_piece = piece >= 0
             if is_piece.any():
                 yield n, rows[is_piece], piece[is_piece]
@@ -83,7 +122,7 @@ class Pieces:
                     return
 
     def found(self, codes: np.ndarray) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-        """(end, length, rows, piece) of every piece in the rows of a matrix of code points; shorter rows end in 0."""
+        """(end, length, rows, piece) of every piece in the rows of a matrix (see ``_matrix``)."""
         columns = np.ascontiguousarray(codes.T)
         for start in range(len(columns)):
             for n, rows, ids in self.walk(columns, start):
@@ -103,8 +142,7 @@ def _grouped(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         upto = max(upto, at + 1)
         rows = way[at:upto]
         width = size[rows[-1]]
-        text = "".join([(BLANK + words[r]).ljust(width, "\0") for r in rows])
-        yield rows, np.frombuffer(text.encode("utf-32-le"), "<u4").reshape(len(rows), width)
+        yield rows, _matrix([BLANK + words[r] for r in rows], width)
         at = upto
 
 
@@ -189,8 +227,7 @@ def _count_long(pieces: Pieces, table: np.ndarray, words: list[str], weights: np
     """
     size = np.fromiter(map(len, words), np.int64, len(words)) + 1
     width, n_words, longest = int(size[-1]), len(words), pieces.longest
-    text = "".join([(BLANK + w).ljust(width, "\0") for w in words])
-    codes = np.frombuffer(text.encode("utf-32-le"), "<u4").reshape(n_words, width)
+    codes = _matrix([BLANK + w for w in words], width)
     columns = np.zeros((width + longest, n_words), codes.dtype)
     columns[:width] = codes.T
     step = max(1, CELLS // n_words)
@@ -287,28 +324,25 @@ def pieces_of(path: str) -> Pieces:
 
 
 def word_counts(texts: DataFrame) -> DataFrame:
-    """(lang, word, n) over whole texts of rows (text, lang): summed by task first, then by word."""
+    """(lang, word, n) over whole texts of rows (text, lang): summed by block first, then by word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = {}
-
-        def out() -> pa.RecordBatch:
-            cols = [[k for k, c in counts.items() for _ in c], [w for c in counts.values() for w in c], [n for c in counts.values() for n in c.values()]]
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.string()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64())], ["lang", "word", "n"])
-
-        for b in batches:
-            for text, lang in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                counts.setdefault(lang, Counter()).update((text or "").lower().split())
-                if sum(map(len, counts.values())) > HOLD:
-                    yield out()
-                    counts = {}
-        yield out()
+        for _, b in blocks(batches):
+            words, ids, size = split(b.column(1), lower=True)
+            langs = b.column(0).dictionary_encode()
+            own = np.repeat(langs.indices.to_numpy(zero_copy_only=False), size)
+            for k, lang in enumerate(langs.dictionary.to_pylist()):
+                n = np.bincount(ids[own == k], minlength=len(words))
+                at = np.flatnonzero(n)
+                for i in range(0, len(at), 50_000):
+                    part = at[i : i + 50_000]
+                    yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), words.take(pa.array(part)).cast(pa.string()), pa.array(n[part])], ["lang", "word", "n"])
 
-    return texts.select("text", "lang").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return texts.select("lang", "text").mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def learn(texts: DataFrame, path: str, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    """Languages, sorted, and their piece probabilities, from all rows (text, lang) with a language."""
+    """Languages, sorted, and their piece probabilities, from all rows (text, lang) with a language; null texts have no words, repeated rows count each time, without rows there is no language."""
     counts = materialize(word_counts(texts.where("lang IS NOT NULL")), "words")
     langs = sorted(r[0] for r in counts.select("lang").distinct().limit(MAX_LANGS + 1).collect())
     if len(langs) > MAX_LANGS:
@@ -361,31 +395,30 @@ def identify(docs: DataFrame, langs: list[str], table: np.ndarray, path: str, id
         for batch in batches:
             for at in range(0, batch.num_rows, 1_024):
                 b = batch.slice(at, 1_024)
-                raw = b.column(1).to_pylist()
-                texts = [x.lower().split() if x and langs and letter.search(x) else None for x in raw]
+                some = [bool(langs and x and letter.search(x)) for x in b.column(1).to_pylist()]
+                vocabulary, ids, size = split(b.column(1), lower=True)
+                words = vocabulary.to_pylist()
                 if len(known) > HOLD:
                     known.clear()
                     rows[0] = rows[0][:0]
-                new = list({w for x in texts if x for w in x if w not in known})
+                new = [w for w in words if w not in known] if langs else []
                 if new:
                     known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
                     rows[0] = np.concatenate([rows[0], forward(p, t, new)])
-                pred, score = [], []
-                for x in texts:
-                    if x is None:
-                        pred.append("und")
-                        score.append(0.0)
-                        continue
-                    ll = rows[0][list(map(known.__getitem__, x))].sum(axis=0)
-                    best = int(ll.argmax())
-                    pred.append(langs[best])
-                    score.append(float(1.0 / np.exp(np.maximum(ll - ll[best], -700)).sum()))
+                own = rows[0][[known[w] for w in words]][ids] if langs else np.zeros((len(ids), 0))
+                doc = np.repeat(np.arange(len(size)), size)
+                ll = np.stack([np.bincount(doc, own[:, k], len(size)) for k in range(len(langs))], axis=1) if langs else np.zeros((len(size), 1))
+                best = ll.argmax(axis=1)
+                near = 1.0 / np.exp(np.maximum(ll - ll[np.arange(len(ll)), best][:, None], -700)).sum(axis=1)
+                pred = [langs[k] if x else "und" for k, x in zip(best, some, strict=True)]
+                score = np.where(some, near, 0.0)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(pred, pa.string()), pa.array(score, pa.float64())], ["id", "lang", "score"])
 
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, lang string, score double")
 
 
 def op10_language_id(spark, sf_dir: str) -> DataFrame:
+    """``learn`` and ``identify`` over all documents; nulls, ties and repeated rows as there, null ids are not held out and not learned from."""
     import public_tokenizers
 
     path = public_tokenizers.path("piece_bpe_32k.model")
