@@ -376,6 +376,32 @@ def test_topk(spark, monkeypatch):
     assert topk.top_k(df.limit(0), df.limit(0)).count() == 0
 
 
+def test_topk_of_large_components(spark):
+    """No component is cut: the scores of the issue's example, ties beyond 2**53, and an error over a long."""
+    rows = [(20, [0.5, 0.0]), (1, [1e8, 1.0]), (2, [4e7, 2.0]), (3, [2e8, 3.0]), (4, [2e8, 9.0]), (40, [3e6, 3e5])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in topk.top_k(df, df.where("vec_id % 20 = 0")).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == brute_top(rows, 20) and got[20][:2] == [(3, 32 * 64 * 200_000_000), (4, 32 * 64 * 200_000_000)]
+    for big in (1e17, 1e300):
+        over = spark.createDataFrame([(20, [big]), (1, [big])], "vec_id long, embedding array<double>")
+        with pytest.raises(Exception, match="long|overflow|Overflow|int"):
+            topk.top_k(over, over.where("vec_id = 20")).collect()
+
+
+def test_outsiders_are_not_read():
+    gen = np.random.default_rng(7)
+    x = np.floor(64 * gen.standard_normal((4_000, 64)) / 8).astype(np.int8)
+    q, held = x[:20], [(np.empty(0), np.empty(0, np.int64))] * 20
+    read = topk.no_random_access(x, np.arange(4_000), q, np.arange(20), held, 20)
+    assert 0.5 < read / (20 * x.size) < 0.95
+    scores = x.astype(int) @ q.astype(int).T
+    for j in range(20):
+        want = sorted((-int(scores[i, j]), i) for i in range(4_000) if i != j)[:20]
+        assert [(-int(s), int(i)) for s, i in zip(*held[j], strict=True)] == want
+
+
 @pytest.mark.parametrize("scale", [1.0, 1e4, 1e9])
 def test_no_random_access(scale):
     gen = np.random.default_rng(1)
@@ -454,13 +480,13 @@ def test_warc(spark, monkeypatch):
             first[b or ""] = min(first.get(b or "", i), i)
     import base64
 
-    for r in got:
-        if r["page_id"] in (None, 7):
-            continue
-        b = (pages[r["page_id"]][2] or "")
-        assert r["payload_bytes"] == len(b.encode()) and r["payload_digest"] == base64.b32encode(hashlib.sha1(b.encode()).digest()).decode()
-        assert (r["record_type"], r["refers_to"]) == (("response", None) if first[b] == r["page_id"] else ("revisit", first[b]))
-        assert r["payload"] == (b.encode() if r["record_type"] == "response" else None)
+    def row(i, u, b) -> tuple:
+        raw = (b or "").encode()
+        to = first[b or ""] if i != first[b or ""] else None
+        return i, payload(raw if to is None else None), len(raw), base64.b32encode(hashlib.sha1(raw).digest()).decode(), "response" if to is None else "revisit", to
+
+    payload = lambda raw: None if raw is None else hashlib.sha1(raw).hexdigest()
+    assert Counter((r["page_id"], payload(r["payload"]), r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == Counter(row(*p) for p in pages)
     hits = warc.lookup(archive, "http://h1.example.com/1")
     assert sorted(int(h["x-page"]) for h, _ in hits) == sorted(i for i, u, _ in pages if u == "http://h1.example.com/1")
     assert warc.lookup(archive, "http://absent.example.com/") == []
@@ -556,7 +582,7 @@ def test_forward():
     for w, row in zip(asked, got, strict=True):
         assert row == pytest.approx(brute_forward(p, table, w), rel=1e-9)
     long = "bright" * 30
-    codes = np.frombuffer((language_id.BLANK + long).encode("utf-32-le"), "<u4")
+    codes = language_id._matrix([language_id.BLANK + long], len(long) + 1)[0]
     assert language_id._forward_long(p, table, codes) == pytest.approx(brute_forward(p, table, long), rel=1e-9)
     assert np.isfinite(language_id.forward(p, table, ["q" * 5_000])).all()
     # expected counts are the gradient of the likelihood by the logarithm of a piece's probability
@@ -594,6 +620,22 @@ def test_counts_of_long_words(monkeypatch, cells):
     assert long == pytest.approx(language_id.expected_counts(p, table, short, np.ones((4, 2))), rel=1e-9)
 
 
+def test_nul_and_other_controls():
+    """A NUL is a character like others: it does not end a word."""
+    pieces = language_id.pieces_of(PIECES)
+    table = np.full((pieces.size, 2), 1.0 / pieces.size)
+    place = {p: i for i, p in enumerate(pieces.names)}
+    asked = ["hello", "hello\0\0\0", "\0", "a\0b", "x" * 450 + "\0" + "y" * 10]
+    for w, got in zip(asked, language_id.forward(pieces, table, asked), strict=True):
+        text = language_id.BLANK + w
+        logs = np.full(len(text) + 1, -np.inf)
+        logs[0] = 0.0
+        for e in range(1, len(text) + 1):
+            ways = [logs[e - 1] + np.log(language_id.UNKNOWN)] + [logs[e - n] - np.log(pieces.size) for n in range(1, min(e, pieces.longest) + 1) if text[e - n : e] in place]
+            logs[e] = np.logaddexp.reduce(ways)
+        assert got[0] == pytest.approx(logs[-1], abs=1e-6)
+
+
 def test_unspaced_languages(spark):
     common = [x for x in language_id.pieces_of(PIECES).names if len(x) == 1 and "\u4e00" <= x <= "\u9fff"][:120]
     own = {"ja": common[:80], "zh": common[40:]}
