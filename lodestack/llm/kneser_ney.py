@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +25,8 @@ from .blocks import blocks, fold, keys_of, settled, strings
 START, END = "\x02", "\x03"
 #: Numbers of a table that windows are looked up in; beyond, a hash table is used. Characters that are worked on at once.
 DENSE, SLICE = 1 << 27, 1 << 17
+#: Bytes of text whose windows are numbered at once: about 8 bytes a character are held for them.
+PIECE = 4 << 20
 _MUL = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -94,14 +97,38 @@ def grams(texts: pa.Array, order: int) -> Grams:
     return Grams(alphabet[rows] if len(alphabet) else np.zeros((0, order), np.uint32), ids, np.r_[0, np.cumsum(length)[:-1]].astype(np.int64) if length else np.zeros(0, np.int64))
 
 
+def pieces(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of runs of PIECE bytes, and one text more at most."""
+    wide = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.cumsum(wide)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at] - wide[at]) + PIECE, "left")) + 1)
+        yield at, texts.slice(at, end - at)
+        at = end
+
+
+def block_counts(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """Code points and counts of a block's distinct n-grams, piece by piece."""
+    codes, counts = [np.zeros((0, order), np.uint32)], [np.zeros(0, np.int64)]
+    for _, part in pieces(texts):
+        g = grams(part, order)
+        codes.append(g.codes[g.real])
+        counts.append(np.bincount(g.ids, minlength=len(g.codes))[g.real])
+    every, n = np.concatenate(codes), np.concatenate(counts)
+    number, known = pd.factorize(_rows(every))
+    first = np.zeros(len(known), np.int64)
+    first[number[::-1]] = np.arange(len(every))[::-1]
+    return every[first], np.bincount(number, n.astype(float), len(known)).astype(np.int64)
+
+
 def count_chars(texts: DataFrame, order: int) -> DataFrame:
     """(gram, c) over all rows of ``text``, of every length; a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, b in blocks(batches):
-            g = grams(b.column(0), order)
-            real = g.real
-            got, n = strings(g.codes[real]), np.bincount(g.ids, minlength=len(g.codes))[real]
+            codes, n = block_counts(b.column(0), order)
+            got = strings(codes)
             for i in range(0, len(got), 50_000):
                 yield pa.RecordBatch.from_arrays([got.slice(i, 50_000), pa.array(n[i : i + 50_000])], ["gram", "c"])
 
@@ -170,7 +197,7 @@ def resolve(wanted: DataFrame, m: CharModel) -> DataFrame:
     value = F.coalesce("_v1", F.lit((lowest[0] if lowest and lowest[0] is not None else 0.0) + math.log(m.base)))
     for n in range(2, m.order + 1):
         value = F.coalesce(F.col(f"_v{n}"), F.coalesce(f"_b{n}", F.lit(0.0)) + value)
-    return rows.select("key", value.cast("float").alias("value"))
+    return rows.select(*wanted.columns, value.cast("float").alias("value"))
 
 
 def log_likelihoods(rows: DataFrame, m: CharModel) -> DataFrame:
@@ -178,30 +205,34 @@ def log_likelihoods(rows: DataFrame, m: CharModel) -> DataFrame:
     order = m.order
 
     def keys(texts: pa.Array) -> pa.Array:
-        g = grams(texts, order)
-        return strings(g.codes[g.real])
+        return strings(block_counts(texts, order)[0])
 
     def score(b: pa.RecordBatch, key: pa.Array, value: np.ndarray) -> tuple:
-        g = grams(b.column(b.num_columns - 1), order)
+        texts = b.column(b.num_columns - 1)
         known = _rows(np.frombuffer("".join(key.to_pylist()).encode("utf-32-le"), "<u4").reshape(-1, order))
         way = np.argsort(known)
         known, value = known[way], value[way]
-        real = g.real
-        own = _rows(g.codes[real])
-        at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
-        if len(own) and not (len(known) and (known[at] == own).all()):
-            raise ValueError("a block came back without some of its n-grams: write the rows as a table first")
-        log_p = np.zeros(len(g.codes), np.float32)
-        log_p[real] = value[at]
-        ends = np.r_[g.first[1:], len(g.ids)]
-        total = np.zeros(len(g.first))
-        for s in range(0, len(g.ids), SLICE):  # texts may go on from slice to slice
-            e = min(len(g.ids), s + SLICE)
-            i, j = np.searchsorted(ends, s, "right"), np.searchsorted(g.first, e, "left")
-            total[i:j] += np.add.reduceat(log_p[g.ids[s:e]].astype(np.float64), np.maximum(g.first[i:j] - s, 0))
-        return total, np.diff(np.r_[g.first, len(g.ids) + order - 1]) - order + 1
+        total, length = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+        for start, part in pieces(texts):
+            g = grams(part, order)
+            real = g.real
+            own = _rows(g.codes[real])
+            at = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+            if len(own) and not (len(known) and (known[at] == own).all()):
+                raise ValueError("a block came back without some of its n-grams: write the rows as a table first")
+            log_p = np.zeros(len(g.codes), np.float32)
+            log_p[real] = value[at]
+            ends = np.r_[g.first[1:], len(g.ids)]
+            for s in range(0, len(g.ids), SLICE):  # texts may go on from slice to slice
+                e = min(len(g.ids), s + SLICE)
+                i, j = np.searchsorted(ends, s, "right"), np.searchsorted(g.first, e, "left")
+                total[start + i : start + j] += np.add.reduceat(log_p[g.ids[s:e]].astype(np.float64), np.maximum(g.first[i:j] - s, 0))
+            length[start : start + len(part)] = np.diff(np.r_[g.first, len(g.ids) + order - 1]) - order + 1
+        return total, length
 
     rows = settled(rows.select("id", "text"))
     dealt = keys_of(rows, keys).repartition("key")
-    values = dealt.join(resolve(dealt.select("key").distinct(), m), "key").select("block", "key", "value")
+    # both columns are read on both sides of the join, so that one shuffle serves both
+    wanted = dealt.groupBy("key").agg(F.min("block").alias("_any"))
+    values = dealt.join(resolve(wanted, m), "key").select("block", "key", F.when(F.col("_any").isNotNull(), F.col("value")).alias("value"))
     return fold(rows, lambda b: b, values, score, "log_likelihood double, n_chars long")

@@ -181,6 +181,7 @@ def test_windows(monkeypatch, dense):
 def test_language_model(spark, monkeypatch):
     """Counts, probabilities and log-likelihoods of small blocks, against the definition; contexts cross words."""
     monkeypatch.setattr(kneser_ney, "SLICE", 11)
+    monkeypatch.setattr(kneser_ney, "PIECE", 500)
     texts = [words(60) for _ in range(30)] + [None, ""]
     top = kneser_ney.count_chars(spark.createDataFrame([(t,) for t in texts], "text string").repartition(3), 3)
     counts = Counter(g for t in texts for g in ngrams(t, 3))
