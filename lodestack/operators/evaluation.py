@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scores as S
 from ..sources.tables import Settings
+from ..storage import materialize
 from .models import FIELDS, Extractor, extract_with
 
 log = logging.getLogger(__name__)
@@ -66,6 +67,7 @@ def run_experiments(spark: SparkSession, entries: DataFrame, experiments: list[t
         try:
             rows = score(predict(entries, agent, base.overlay(values))).withColumn("experiment", F.lit(name))
             if sink:
+                rows = materialize(rows, "scores")  # agents run once
                 rows.write.mode("append").parquet(sink)
             out.append(spark.createDataFrame(S.aggregate_scores(rows, ("experiment",)).collect(), _schema()))
         except Exception:

@@ -75,17 +75,21 @@ def replay(events: DataFrame, attempts: int = ATTEMPTS, base: int = BASE, most:
     """Final state of each (doc_id, stage) after events (doc_id, stage, op, ts, event_id) in order: status, attempts, due.
 
     enqueue makes ready and keeps the attempts; fail waits or, the last time, dead-letters and forgets the attempts; remove and success
-    clear all. Release of due retries is left to ``due``. One aggregation with a fold over each document's own events.
+    clear all; suppress drops the enqueues of the next SUPPRESS seconds and changes nothing else. Keys without an event that counted
+    have no row. Release of due retries is left to ``due``. One aggregation with a fold over each document's own events.
     """
     op = F.transform(F.array_sort(F.collect_list(F.struct("ts", "event_id", "op"))), lambda e: F.struct(e["op"].alias("op"), seconds(e["ts"]).alias("t")))
-    zero = F.struct(F.lit("none").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("double").alias("due"))
+    zero = F.struct(F.lit("none").alias("status"), F.lit(0).alias("attempts"), F.lit(None).cast("double").alias("due"), F.lit(None).cast("double").alias("until"), F.lit(False).alias("hit"))
 
-    def state(status: Column, n: Column, at: Column) -> Column:
-        return F.struct(status.alias("status"), n.cast("int").alias("attempts"), at.cast("double").alias("due"))
+    def state(s: Column, status: Column, n: Column, at: Column) -> Column:
+        return F.struct(status.alias("status"), n.cast("int").alias("attempts"), at.cast("double").alias("due"), s["until"].alias("until"), F.lit(True).alias("hit"))
 
     def step(s: Column, e: Column) -> Column:
         n, none = s["attempts"] + 1, F.lit(None)
-        failed = F.when(n >= attempts, state(F.lit("failed"), F.lit(0), none)).otherwise(state(F.lit("delayed"), n, e["t"] + backoff(n, base, most)))
-        return F.when(e["op"] == "enqueue", state(F.lit("ready"), s["attempts"], none)).when(e["op"] == "fail", failed).otherwise(state(F.lit("none"), F.lit(0), none))
+        failed = F.when(n >= attempts, state(s, F.lit("failed"), F.lit(0), none)).otherwise(state(s, F.lit("delayed"), n, e["t"] + backoff(n, base, most)))
+        marked = F.struct(s["status"].alias("status"), s["attempts"].alias("attempts"), s["due"].alias("due"), (e["t"] + SUPPRESS).cast("double").alias("until"), s["hit"].alias("hit"))
+        dropped = (e["op"] == "enqueue") & F.coalesce(e["t"] < s["until"], F.lit(False))
+        rest = F.when(e["op"] == "enqueue", state(s, F.lit("ready"), s["attempts"], none)).when(e["op"] == "fail", failed).otherwise(state(s, F.lit("none"), F.lit(0), none))
+        return F.when(e["op"] == "suppress", marked).when(dropped, s).otherwise(rest)
 
-    return events.groupBy("doc_id", "stage").agg(F.aggregate(op, zero, step).alias("s")).select("doc_id", "stage", "s.*")
+    return events.groupBy("doc_id", "stage").agg(F.aggregate(op, zero, step).alias("s")).where("s.hit").select("doc_id", "stage", "s.status", "s.attempts", "s.due")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bounded_context, clean_title, move_tag, page_selection, plausible_date, strip
+from ..storage import materialize
 from .chunks import Hook, points, refresh_payload, replace_documents, situate_with
 from .models import Embedder, Extractor, PageReader, embed_chunks, extract_metadata, read_pages
 from .queues import outcomes
@@ -67,6 +68,8 @@ def embed_stage(batch: DataFrame, docs: DataFrame, index: DataFrame, embedder: C
     """Delete a document's chunks, then insert the new ones; blank documents lose their chunks and still succeed."""
     mine, gone = known(batch, docs)
     chunks = situate_with(mine, hook)
+    if hook is not None:  # a hook runs once, so that what is stored is what was embedded
+        chunks = materialize(chunks, "chunks")
     new = points(chunks, embed_chunks(chunks, embedder))
     ok = mine.select("doc_id", F.lit(True).alias("ok")).unionByName(gone.select("doc_id", F.lit(None).cast("boolean").alias("ok")))
     return StageResult(docs, ok, replace_documents(index, new.select(*[c for c in new.columns if c in index.columns]), mine))

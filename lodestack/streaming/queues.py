@@ -13,7 +13,9 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..functions.text import event_tags, route, webhook_doc_id
 from ..operators.queues import ATTEMPTS, BASE, LONGEST, SUPPRESS
 
-CHANGE = "doc_id long, stage string, status string, attempts int, due double, added boolean, ts double"
+#: Order of a timer among the events of its second.
+LAST = (1 << 63) - 1
+CHANGE = "doc_id long, stage string, status string, attempts int, due double, added boolean, ts double, event_id long"
 
 BODY = "doc_url string, document_url string, document_id string, id string, tag_list string, document_tags string"
 
@@ -71,7 +73,7 @@ class StageQueue(StatefulProcessor):
                         self.handle.registerTimer(int(due * 1000))
             else:
                 status, attempts, due = "none", 0, None
-            out.append((key[0], key[1], status, attempts, due, added, e.ts))
+            out.append((key[0], key[1], status, attempts, due, added, e.ts, e.event_id))
         self.state.update((status, attempts, due))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGE.split(", ")]).astype({"due": "float64"})
 
@@ -80,7 +82,7 @@ class StageQueue(StatefulProcessor):
         now = expired.getExpiryTimeInMs() / 1000
         if status == "delayed" and due is not None and due <= now:
             self.state.update(("ready", attempts, None))
-            yield pd.DataFrame([(key[0], key[1], "ready", attempts, None, True, now)], columns=[c.split()[0] for c in CHANGE.split(", ")]).astype({"due": "float64"})
+            yield pd.DataFrame([(key[0], key[1], "ready", attempts, None, True, now, LAST)], columns=[c.split()[0] for c in CHANGE.split(", ")]).astype({"due": "float64"})
 
     def close(self) -> None:
         pass
@@ -105,5 +107,5 @@ def run_once(stream: DataFrame, path: str, checkpoint: str) -> None:
 
 
 def latest(changes: DataFrame) -> DataFrame:
-    """The last change of each (doc_id, stage)."""
-    return changes.groupBy("doc_id", "stage").agg(F.max_by(F.struct("status", "attempts", "due"), "ts").alias("s")).select("doc_id", "stage", "s.*")
+    """The last change of each (doc_id, stage), by time and then by event."""
+    return changes.groupBy("doc_id", "stage").agg(F.max_by(F.struct("status", "attempts", "due"), F.struct("ts", "event_id")).alias("s")).select("doc_id", "stage", "s.*")

@@ -131,8 +131,18 @@ def test_replay_and_due(spark):
     assert [r["added"] for r in K.dedup_enqueue(events.where("doc_id = 42")).orderBy("ts").collect()] == [True, False]
 
 
+#: A marker that drops an enqueue and one whose time is over, one before anything else, and changes of one second.
+MARKED = [(9, "ocr", "enqueue", 1, 12), (9, "ocr", "fail", 2, 13), (9, "ocr", "suppress", 5, 14), (9, "ocr", "enqueue", 100, 15), (10, "ocr", "suppress", 1, 16), (10, "ocr", "enqueue", 2, 17), (11, "ocr", "enqueue", 5, 18), (11, "ocr", "fail", 5, 19), (12, "ocr", "suppress", 1, 20), (12, "ocr", "enqueue", 400, 21)]
+
+
+def test_replay_of_markers(spark):
+    events = spark.createDataFrame(MARKED, "doc_id long, stage string, op string, ts long, event_id long").withColumn("ts", F.timestamp_seconds("ts"))
+    got = {r["doc_id"]: (r["status"], r["attempts"], r["due"]) for r in K.replay(events).collect()}
+    assert got == {9: ("delayed", 1, 62.0), 11: ("delayed", 1, 65.0), 12: ("ready", 0, None)}
+
+
 def test_stream_equals_replay(spark, tmp_path):
-    events = spark.createDataFrame(EVENTS, "doc_id long, stage string, op string, ts long, event_id long")
+    events = spark.createDataFrame(EVENTS + MARKED, "doc_id long, stage string, op string, ts long, event_id long")
     events.coalesce(1).write.parquet(str(tmp_path / "in"))
     SQ.use_rocksdb(spark)
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
