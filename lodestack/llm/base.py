@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..storage import materialize, new_folder, shared_dir
 
-__all__ = ["all_of", "connected_components", "crc_mod", "materialize", "need", "new_folder", "shared_dir", "small"]
+__all__ = ["all_of", "arrow_rows", "connected_components", "crc_mod", "materialize", "need", "new_folder", "shared_dir", "small"]
 
 
 def need(df: DataFrame, *columns: str) -> None:
@@ -36,3 +38,15 @@ def small(df: DataFrame) -> DataFrame:
 def crc_mod(column: str, n: int) -> Column:
     """crc32 of the column as text, modulo n; null for null."""
     return F.crc32(F.col(column).cast("string")) % n
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Jobs that run inside send at most ``rows`` rows to a worker at once; the caller's setting is put back."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)

@@ -64,6 +64,17 @@ def blocks(batches: Iterator[pa.RecordBatch], size: int = BLOCK) -> Iterator[tup
         yield close()
 
 
+def pieces(texts: pa.Array, size: int) -> Iterator[tuple[int, pa.Array]]:
+    """(first row, texts) of runs of ``size`` bytes, and one text more at most."""
+    wide = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    upto = np.cumsum(wide)
+    at = 0
+    while at < len(texts):
+        end = max(at + 1, int(np.searchsorted(upto, (upto[at] - wide[at]) + size, "left")) + 1)
+        yield at, texts.slice(at, end - at)
+        at = end
+
+
 def split(texts: pa.Array, lower: bool = False, trim: str = "") -> tuple[pa.Array, np.ndarray, np.ndarray]:
     """(vocabulary, word numbers, words per text): words between white space, lower-cased and without the marks in ``trim`` around them if asked for. Null texts have none."""
     lists = pc.utf8_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import materialize
-from .blocks import blocks, fold, keys_of, settled, strings
+from .blocks import blocks, fold, keys_of, pieces, settled, strings
 
 #: Fixed marks before and after a text; in texts they become another control character.
 START, END = "\x02", "\x03"
@@ -97,21 +97,10 @@ def grams(texts: pa.Array, order: int) -> Grams:
     return Grams(alphabet[rows] if len(alphabet) else np.zeros((0, order), np.uint32), ids, np.r_[0, np.cumsum(length)[:-1]].astype(np.int64) if length else np.zeros(0, np.int64))
 
 
-def pieces(texts: pa.Array) -> Iterator[tuple[int, pa.Array]]:
-    """(first row, texts) of runs of PIECE bytes, and one text more at most."""
-    wide = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    upto = np.cumsum(wide)
-    at = 0
-    while at < len(texts):
-        end = max(at + 1, int(np.searchsorted(upto, (upto[at] - wide[at]) + PIECE, "left")) + 1)
-        yield at, texts.slice(at, end - at)
-        at = end
-
-
 def block_counts(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     """Code points and counts of a block's distinct n-grams, piece by piece."""
     codes, counts = [np.zeros((0, order), np.uint32)], [np.zeros(0, np.int64)]
-    for _, part in pieces(texts):
+    for _, part in pieces(texts, PIECE):
         g = grams(part, order)
         codes.append(g.codes[g.real])
         counts.append(np.bincount(g.ids, minlength=len(g.codes))[g.real])
@@ -213,7 +202,7 @@ def log_likelihoods(rows: DataFrame, m: CharModel) -> DataFrame:
         way = np.argsort(known)
         known, value = known[way], value[way]
         total, length = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        for start, part in pieces(texts):
+        for start, part in pieces(texts, PIECE):
             g = grams(part, order)
             real = g.real
             own = _rows(g.codes[real])
