@@ -7,10 +7,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestack.llm import bpe, mixing, quality_rules, simhash, toxicity
-from lodestack.llm.base import crc_mod, materialize, new_folder, small
+from lodestack.llm.base import arrow_rows, crc_mod, materialize, new_folder, small
 
 #: Scores from here on are toxic.
 TOXIC = 0.7
+#: Whole texts that a worker gets at once.
+BATCH = 1_000
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -34,8 +36,9 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score under TOXIC, by models of the labelled documents among those left; null and empty texts score as low as texts without a toxic word, repeated rows alike."""
     learned = toxicity.labelled_texts(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rows = _keyed(docs)
-    got = toxicity.score_toxicity(rows.select(F.struct("_a", "_b").alias("key"), "text"), learned, crc_mod("doc_id", 5) == 0, "key", "text")
-    out = materialize(got.where(F.col("score") >= TOXIC).select("id.*").distinct(), "toxic")
+    with arrow_rows(spark, BATCH):
+        got = toxicity.score_toxicity(rows.select(F.struct("_a", "_b").alias("key"), "text"), learned, crc_mod("doc_id", 5) == 0, "key", "text")
+        out = materialize(got.where(F.col("score") >= TOXIC).select("id.*").distinct(), "toxic")
     return rows.join(small(out), ["_a", "_b"], "left_anti").drop("_a", "_b")
 
 
@@ -43,7 +46,8 @@ def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: that of the smallest id, of several the one whose hashes are least. Rows with a null id stay only in groups without any id; an id that has texts in several groups stays in each."""
     rows = _keyed(docs)
     keyed = rows.select(F.struct("doc_id", "_a", "_b").alias("key"), "text")
-    fps = materialize(simhash.fingerprints(keyed, "key").select("id.*", "fp"), "fps")
+    with arrow_rows(spark, BATCH):
+        fps = materialize(simhash.fingerprints(keyed, "key").select("id.*", "fp"), "fps")
     groups = simhash.rooted(materialize(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes"))
     least = fps.join(groups.select("fp", "root", "component"), "fp").where(F.col("doc_id").eqNullSafe(F.col("component")))
     first = least.groupBy("root").agg(F.min("_a").alias("_a"), F.min_by("_b", "_a").alias("_b")).select("_a", "_b")
