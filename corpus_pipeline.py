@@ -65,7 +65,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every text."""
-    got = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"))
+    got = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=False)
     return got.select(F.col("id").alias("doc_id"), "n_tokens", "ids")
 
 
