@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, language_id, mixing, quality_lm, quality_rules, simhash, topk, toxicity, warc
+from . import bpe, chat, fim, interactions, language_id, mixing, quality_lm, quality_rules, simhash, topk, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,8 +17,10 @@ def queries() -> dict:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_mixing": mixing.op9_mixing,
         "op10_language_id": language_id.op10_language_id,
+        "op12_fim": fim.op12_fim,
+        "op13_interactions": interactions.op13_interactions,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat": chat.ORACLE, "op5_topk": topk.ORACLE, "op7_warc": warc.ORACLE, "op8_quality_rules": quality_rules.ORACLE}
+    return {"op3_chat": chat.ORACLE, "op5_topk": topk.ORACLE, "op7_warc": warc.ORACLE, "op8_quality_rules": quality_rules.ORACLE, "op12_fim": fim.ORACLE, "op13_interactions": interactions.ORACLE}
