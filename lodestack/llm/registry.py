@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, fim, interactions, language_id, mixing, quality_lm, quality_rules, simhash, topk, toxicity, warc
+from . import bpe, chat, fim, interactions, language_id, mixing, quality_lm, quality_rules, simhash, token_files, topk, toxicity, warc
 
 
 def queries() -> dict:
@@ -17,6 +17,7 @@ def queries() -> dict:
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_mixing": mixing.op9_mixing,
         "op10_language_id": language_id.op10_language_id,
+        "op11_token_files": token_files.op11_token_files,
         "op12_fim": fim.op12_fim,
         "op13_interactions": interactions.op13_interactions,
     }
