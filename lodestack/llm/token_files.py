@@ -26,7 +26,7 @@ from .base import materialize, need, new_folder, small
 BLOCK, LEAST = 4_096, 512
 SEGMENT = BLOCK * mixing_coder.LANES
 #: Bytes after which a task starts a new file, and rows of text that are held decoded.
-ROLL, ROWS = 512 << 20, 1_024
+ROLL, ROWS = 512 << 20, 2_048
 #: Pieces of text, and characters in them, that a worker remembers before it forgets all.
 REMEMBER, CHARS = 400_000, 16_000_000
 
@@ -37,7 +37,7 @@ class Pieces:
     """Ids of texts by a byte-level tokenizers file, each piece of text through the library once.
 
     The tokenizer's pattern never joins what stands before a single space between two other characters with what follows, and a space
-    goes with the word after it, so texts are cut there. A line break alone between two characters is a token of its own.
+    goes with the word after it, so texts are cut there; pieces are cut again between lines and before closing marks.
     """
 
     def __init__(self, path: str) -> None:
@@ -53,78 +53,112 @@ class Pieces:
         if any(re.search(r"\s", t["content"]) or t["lstrip"] or t["rstrip"] for t in spec["added_tokens"]):
             raise ValueError("special tokens must not take spaces")
         self.library = Tokenizer.from_str(json.dumps(spec))
+        vocabulary = self.library.get_vocab()
+        self.spaced = np.zeros(1 + max(vocabulary.values()), bool)
+        self.spaced[[i for t, i in vocabulary.items() if t.startswith(_SPACE)]] = True
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.start, self.size, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int32), np.zeros(1 << 18, np.uint32)
-        self.used, self.chars = 0, 0
+        self.start, self.size, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
+        self.codes = self.used = self.chars = 0
 
-    def _put(self, piece: str, ids: list[int]) -> None:
-        code = len(self.known)
-        if code == len(self.start):
+    def _add(self, sizes: np.ndarray, ids: np.ndarray) -> None:
+        """The ids of the next codes, one after the other."""
+        while self.codes + len(sizes) > len(self.start):
             self.start, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.start, self.size))
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
         self.flat[self.used : self.used + len(ids)] = ids
-        self.start[code], self.size[code] = self.used, len(ids)
-        self.known[piece] = code
-        self.used += len(ids)
-        self.chars += len(piece)
-
-    def _learn(self, pieces: list[str]) -> None:
-        new = list(dict.fromkeys(p for p in pieces if p not in self.known))
-        split = {p: _LINES.split(p) for p in new if "\n" in p}
-        parts = dict.fromkeys(x for xs in split.values() for i, x in enumerate(xs) for x in ((x, "\n") if i else (x,)))
-        whole = [p for p in (*(p for p in new if p not in split), *parts) if p not in self.known]
-        for i in range(0, len(whole), 4_096):  # the library's results are large
-            part = whole[i : i + 4_096]
-            for p, e in zip(part, self.library.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                if p not in self.known:
-                    self._put(p, e.ids)
-        for p, xs in split.items():
-            if p not in self.known:
-                codes = [self.known[x] for i, x in enumerate(xs) for x in (("\n", x) if i else (x,))]
-                self._put(p, [t for c in codes for t in self.flat[self.start[c] : self.start[c] + self.size[c]].tolist()])
-
-    def _codes(self, pieces: list[str]) -> np.ndarray:
-        self._learn(pieces)
-        return np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        self.size[self.codes : self.codes + len(sizes)] = sizes
+        self.start[self.codes : self.codes + len(sizes)] = self.used + np.cumsum(sizes) - sizes
+        self.codes, self.used = self.codes + len(sizes), self.used + len(ids)
+
+    def _ids(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Sizes of the codes, and their ids one after the other."""
+        sizes = self.size[codes]
+        upto = np.cumsum(sizes)
+        total = int(upto[-1]) if len(upto) else 0
+        return sizes, self.flat[np.repeat(self.start[codes] - (upto - sizes), sizes) + np.arange(total)]
+
+    def _learn(self, pieces: list[str]) -> dict[str, int]:
+        """Codes of pieces. Pieces of several parts are put together for this call only; parts are remembered."""
+        known = self.known
+        split = {p: _parts(p) for p in pieces if p not in known}
+        new = list(dict.fromkeys(x for xs in split.values() for x in xs if x not in known))
+        # pieces that begin with their only space are encoded as one text: the tokens that begin with a space tell where they start
+        run = [x for x in new if x.rfind(" ") == 0 and 1 < len(x) < 100 and not x[1].isspace() and not x[-1].isspace()]
+        alone = list(dict.fromkeys(new).keys() - set(run))
+        for group, joint in ((run, True), (alone, False)):
+            for i in range(0, len(group), 4_096):  # the library's results are large
+                part = group[i : i + 4_096]
+                got = [e.ids for e in self.library.encode_batch_fast(["".join(part)] if joint else part, add_special_tokens=False)]
+                ids = np.array([t for x in got for t in x], np.uint32)
+                sizes = np.diff(np.append(np.flatnonzero(self.spaced[ids]), len(ids))) if joint else np.array([len(x) for x in got], np.int64)
+                if len(sizes) != len(part):
+                    raise ValueError("the tokenizer joins pieces across spaces")
+                known.update(zip(part, range(self.codes, self.codes + len(part)), strict=True))
+                self._add(sizes, ids)
+                self.chars += sum(map(len, part))
+        joined = {p: xs for p, xs in split.items() if len(xs) > 1}
+        if joined:
+            parts = np.fromiter((known[x] for xs in joined.values() for x in xs), np.int64)
+            sizes, ids = self._ids(parts)
+            counts = np.fromiter(map(len, joined.values()), np.int64, len(joined))
+            codes = range(self.codes, self.codes + len(joined))
+            self._add(np.add.reduceat(sizes, np.cumsum(counts) - counts), ids)
+            return dict(zip(joined, codes, strict=True))
+        return {}
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and how many each text has. Null is the empty text."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        if not len(texts):
+            return np.empty(0, np.uint32), np.empty(0, np.int64)
         if len(self.known) > REMEMBER or self.chars > CHARS:
             self.forget()
         split = pc.split_pattern(texts, " ")
         words, ends = split.flatten().dictionary_encode(), split.offsets.to_numpy()
         ends = ends - ends[0]
-        distinct, at = words.dictionary.to_pylist(), words.indices.to_numpy().astype(np.int64)
+        distinct, at = words.dictionary.to_pylist(), words.indices.to_numpy()
         # a cut is good if no white space stands beside it; else the text is cut by a pattern instead
         odd = np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in distinct), bool, len(distinct))
-        first = at[ends[:-1]] if len(texts) else at
-        rest = self._codes([" " + w for w in distinct])
-        firsts, back = np.unique(first, return_inverse=True)
-        codes = rest[at]
-        codes[ends[:-1]] = self._codes([distinct[i] for i in firsts])[back]
-        count = np.diff(ends)
-        bad = np.flatnonzero(np.add.reduceat(odd[at].astype(np.int64), ends[:-1])) if len(texts) else []
+        bad = np.flatnonzero(np.logical_or.reduceat(odd[at], ends[:-1]))
+        own = [[x if not k else " " + x for k, x in enumerate(_CUTS.split(texts[int(i)].as_py()))] for i in bad]
+        firsts, back = np.unique(at[ends[:-1]], return_inverse=True)
+        rest, first = [" " + w for w in distinct], [distinct[i] for i in firsts]
+        joined = self._learn([*rest, *first, *(x for xs in own for x in xs)])
+        get = lambda xs: np.fromiter((joined[x] if x in joined else self.known[x] for x in xs), np.int64, len(xs))
+        codes, count = get(rest)[at], np.diff(ends)
+        codes[ends[:-1]] = get(first)[back]
         if len(bad):
             runs, done = [], 0
-            for i in bad:
-                pieces = _CUTS.split(texts[int(i)].as_py())
-                own = self._codes([pieces[0], *(" " + p for p in pieces[1:])])
-                runs += [codes[ends[done] : ends[i]], own]
-                count[i], done = len(own), i + 1
+            for i, xs in zip(bad, own, strict=True):
+                runs += [codes[ends[done] : ends[i]], get(xs)]
+                count[i], done = len(xs), i + 1
             codes = np.concatenate([*runs, codes[ends[done] :]])
-        sizes = self.size[codes].astype(np.int64)
-        upto = np.cumsum(sizes)
-        total = int(upto[-1]) if len(upto) else 0
-        ids = self.flat[np.repeat(self.start[codes] - (upto - sizes), sizes) + np.arange(total)]
-        through = np.concatenate([[0], upto])[np.concatenate([[0], np.cumsum(count)])]
-        return ids, np.diff(through)
-
-
+        sizes, ids = self._ids(codes)
+        if joined:  # forgotten again
+            self.codes -= len(joined)
+            self.used = int(self.start[self.codes])
+        return ids, np.add.reduceat(sizes, np.cumsum(count) - count)
+
+
+def _parts(piece: str) -> list[str]:
+    """A piece cut between its lines, and between letters and the marks that end a line: cuts that the pattern makes in any case."""
+    out = []
+    for i, line in enumerate(_LINES.split(piece) if "\n" in piece else (piece,)):
+        if i:
+            out.append("\n")
+        m = _ENDING.fullmatch(line)
+        out += m.groups() if m else (line,)
+    return out
+
+
+#: How a byte-level vocabulary writes a space.
+_SPACE = "\u0120"
+#: Letters, and marks behind them that no contraction begins with.
+_ENDING = re.compile("( ?[A-Za-zß-öø-ÿ]+)([.,;:!?|]+)")
 _CUTS = re.compile(r"(?<=\S) (?=\S)")
 _LINES = re.compile(r"(?<=\S)\n(?=\S)")
 _PIECES: dict[str, Pieces] = {}
