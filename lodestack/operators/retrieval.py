@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,9 +60,9 @@ def resolve_names(dim: DataFrame, id_col: str, name_col: str, names: Sequence[st
 
 
 def dense(chunks: DataFrame, query: Sequence[float], k: int, filters: Filters | None = None, vector: str = "embedding") -> DataFrame:
-    """The k chunks most similar to a query, with ``score`` and a 1-based ``pos``; ties by document and chunk."""
+    """The k chunks most similar to a query, with ``score`` and a 1-based ``pos``; ties by document and chunk. Vectors without a similarity come last."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    rows = filtered(chunks.where("doc_id IS NOT NULL"), filters).withColumn("score", cosine(F.col(vector), q))
+    rows = filtered(chunks.where("doc_id IS NOT NULL"), filters).withColumn("score", F.nanvl(cosine(F.col(vector), q), F.lit(None).cast("double")))
     order = [F.desc_nulls_last("score"), "doc_id", "chunk_index"]
     # at most k rows are left here, so one task numbers them
     return rows.orderBy(*order).limit(k).withColumn("pos", F.row_number().over(Window.orderBy(*order)))
@@ -172,19 +173,35 @@ def with_payload(hits: DataFrame, payloads: DataFrame, text: str = "text") -> Da
 
 @dataclass
 class HybridSearch:
-    """Search over chunks (doc_id, chunk_index, text, embedding, and what filters read) and documents (doc_id, text)."""
+    """Search over chunks (doc_id, chunk_index, text, embedding, and what filters read) and documents (doc_id, text).
+
+    With ``vectors`` (a ``vector_index.VectorIndex`` of the chunks) the dense side reads the nearest cells only, and with ``postings`` (a ``postings.Postings``
+    of the documents) the keyword side reads the postings of the query's terms in place of all texts: all of them, or with ``pages`` what the best so many demand.
+    """
 
     chunks: DataFrame
     docs: DataFrame
     embed: Callable[[str], Sequence[float]]
     scorer: Callable[[str], Column | None] = lambda query: None
     judge: Callable[[str, list[int]], list[int]] | None = None
+    vectors: Any = None
+    postings: Any = None
+    probes: int | None = None
+    pages: int | None = None
+
+    def _keyword(self, asked: list[str], filters: Filters | None) -> DataFrame:
+        if self.postings is None:
+            return keyword(filtered(self.docs, filters), asked)
+        only = filtered(self.docs, filters).select("doc_id") if filters and filters.predicate() is not None else None
+        return self.postings.top(asked, self.pages, only) if self.pages else self.postings.scores(asked, only)
 
     def candidates(self, query: str, filters: Filters | None, k: int, most: int) -> tuple[DataFrame, DataFrame]:
         """Fused documents with ``doc_rank``, and the chunks to rerank."""
-        found = dense(self.chunks, self.embed(query), k, filters).cache()
+        # a bounded result, used three times
+        found = dense(self.chunks, self.embed(query), k, filters) if self.vectors is None else self.vectors.dense(self.embed(query), k, filters, self.probes)
+        found = self.docs.sparkSession.createDataFrame(found.collect(), found.schema)
         asked = self.docs.sparkSession.range(1).select(terms(F.lit(query)).alias("t")).first()[0]
-        scored = keyword(filtered(self.docs, filters), asked) if asked else None
+        scored = self._keyword(asked, filters) if asked else None
         kw = keyword_ranks(scored) if scored is not None else self.docs.select("doc_id", F.lit(0).alias("kw_rank")).limit(0)
         fused = global_rank(rrf(dense_doc_ranks(found), kw), fused_order(), "doc_rank")
         return fused, expand(fused, found, self.chunks, filters, most)

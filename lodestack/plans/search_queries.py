@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import retrieval as R
+from ..operators import vector_index as V
+from ..operators.postings import Postings
 from ..sources.tables import table
-from .text_queries import query
+from .text_queries import SQL, query
 
 #: Terms of the keyword part and the row whose vector is the dense query.
 TERMS = ("the", "and", "entreau", "vermit", "tion")
@@ -124,3 +126,56 @@ def hit_payload(spark, d) -> DataFrame:
     hits = e.select("doc_id").distinct().withColumn("text", F.lit("best chunk"))
     payloads = e.where("doc_id % 3 <> 0").withColumn("text", F.concat(F.lit("payload "), F.col("chunk_index").cast("string")))
     return R.with_payload(hits, payloads).select("doc_id", "shown")
+
+
+# --- indexes -----------------------------------------------------------------------------------------------------------
+
+
+@query("q_ann_exact", SQL["q_dense_topk"])
+def ann_exact(spark, d) -> DataFrame:
+    """The inverted file with all cells probed is the exact search."""
+    index = V.build(chunks(spark, d), probes=1)
+    return index.dense(probe(spark, d), K, probes=len(index.cells)).select("doc_id", F.round("score", 6).alias("score"))
+
+
+@query(
+    "q_ann_recall",
+    f"SELECT count(*) AS queries, CAST(count(*) * {K} AS BIGINT) AS neighbours, true AS enough FROM embeddings WHERE vec_id % 20 = 0",
+)
+def ann_recall(spark, d) -> DataFrame:
+    """Whether the cells probed by default hold 0.9 of the true neighbours of every twentieth vector, among all others."""
+    rows = chunks(spark, d)
+    index = V.build(rows)
+    asked = rows.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("vector"))
+    exact = V.exact_search(rows, asked, K, index.centroids.shape[1], others=True)
+    hit = exact.join(index.search(asked, K, others=True).select("query_id", "id", F.lit(1).alias("hit")), ["query_id", "id"], "left")
+    share = F.count("hit") / F.count("*")
+    return hit.agg(F.countDistinct("query_id").alias("queries"), F.count("*").alias("neighbours"), (share >= 0.9).alias("enough"))
+
+
+@query("q_keyword_postings", f"WITH {_BM25} SELECT doc_id, round(bm25, 6) AS bm25 FROM kw ORDER BY round(kw.bm25, 9) DESC, doc_id LIMIT 1000")
+def keyword_postings(spark, d) -> DataFrame:
+    return Postings.build(table(spark, d, "documents")).top(TERMS, 1000).select("doc_id", F.round("bm25", 6).alias("bm25"))
+
+
+_CHANGED = "(SELECT doc_id, CASE lang WHEN 'de' THEN concat('the entreau vermit ', text) ELSE text END AS text FROM documents WHERE lang <> 'fr')"
+
+
+@query("q_keyword_updated", f"WITH {_BM25.replace('FROM documents', f'FROM {_CHANGED}', 1)} SELECT doc_id, round(bm25, 6) AS bm25 FROM kw ORDER BY round(kw.bm25, 9) DESC, doc_id LIMIT 1000")
+def keyword_updated(spark, d) -> DataFrame:
+    """The index after documents of one language were replaced and those of another deleted, against the tables as they are then."""
+    docs = table(spark, d, "documents")
+    index = Postings.build(docs)
+    index.add(docs.where("lang = 'de'").select("doc_id", F.concat(F.lit("the entreau vermit "), "text").alias("text")))
+    index.delete(docs.where("lang = 'fr'"))
+    return index.top(TERMS, 1000).select("doc_id", F.round("bm25", 6).alias("bm25"))
+
+
+@query("q_hybrid_indexed", SQL["q_hybrid_search"].replace(f"dense_rank <= {K}", f"dense_rank <= {R.DENSE_K['precision']}"))
+def hybrid_indexed(spark, d) -> DataFrame:
+    """Search through both indexes; all cells are probed, so that the result is the exact one."""
+    rows, docs = chunks(spark, d), table(spark, d, "documents")
+    index = V.build(rows, probes=1)
+    scorer = lambda q: (F.col("doc_id") * 7919 % 101).cast("double")
+    search = R.HybridSearch(rows, docs, lambda q: probe(spark, d), scorer, vectors=index, postings=Postings.build(docs), probes=len(index.cells))
+    return search.search(" ".join(TERMS)).select("doc_id", "rank")
