@@ -34,20 +34,20 @@ def score_date(expected: Column, actual: Column) -> dict[str, Column]:
     nothing = F.lit(None)
     return {
         "date_exact_match": _nulls(expected, actual, F.lit(True), F.lit(False), F.when(bad, False).otherwise(days == 0)),
-        "date_distance_days": _nulls(expected, actual, nothing, nothing, days).cast("long"),
+        "date_distance_days": _nulls(expected, actual, F.lit(0), nothing, days).cast("long"),
         "date_partial_credit": _nulls(expected, actual, F.lit(1.0), F.lit(0.0), F.when(bad, 0.0).otherwise(F.greatest(F.lit(0.0), 1.0 - days / 365.0))),
         "date_null_correct": _nulls(expected, actual, F.lit(True), F.lit(False), nothing.cast("boolean")),
     }
 
 
 def score_title(contains: Column, actual: Column) -> dict[str, Column]:
-    """Whether an expected part occurs, in any case, and the Jaccard similarity of the words; null without expectation."""
+    """Whether an expected part occurs, in any case, and the Jaccard similarity of the words; null without expectation, and an empty one is none."""
     a, b = (F.array_distinct(tokens(F.lower(F.coalesce(c, F.lit(""))))) for c in (contains, actual))
     union = F.size(F.array_union(a, b))
-    some = contains.isNotNull()
+    some = contains.isNotNull() & (contains != "")
     return {
         "title_contains_match": F.when(some, F.contains(F.lower(F.coalesce(actual, F.lit(""))), F.lower(contains))),
-        "title_jaccard": F.when(some, F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)),
+        "title_keyword_overlap": F.when(some, F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)),
     }
 
 

@@ -64,9 +64,9 @@ def decide(features: DataFrame) -> DataFrame:
     near = lambda t: (F.col("ratio") >= t[0]) & (F.col("overlap") >= t[1])
     d = (
         F.when(F.col("conflict"), _decision("reject", "high", "entity_shape_conflict"))
-        .when(same, _decision("merge", "high", "same_normalized_name"))
-        .when(same_tokens, _decision("merge", "high", "same_tokens"))
-        .when(near(MERGE), _decision("merge", "medium", "high_similarity"))
+        .when(same, _decision("merge", "high", "normalized_exact_match"))
+        .when(same_tokens, _decision("merge", "high", "token_sort_exact_match"))
+        .when(near(MERGE), _decision("merge", "medium", "high_similarity_overlap"))
         .when(near(REVIEW), _decision("review", "low", "borderline_similarity"))
     )
     return features.withColumn("d", d).where("d IS NOT NULL").select(*features.columns, "d.*")

@@ -11,8 +11,11 @@ from ..functions.text import present, strip, year_of
 
 def with_name(rows: DataFrame, dim: DataFrame, fk: str, key: str, name: str, out: str) -> DataFrame:
     """``rows`` with the dimension's name, null if unknown. Spark broadcasts a dimension under its threshold."""
-    d = dim.select(F.col(key).alias("_k"), F.col(name).alias(out))
-    return rows.join(d, rows[fk] == d["_k"], "left").drop("_k")
+    own = "key"
+    while own in rows.columns:
+        own += "_"
+    d = dim.select(F.col(key).alias(own), F.col(name).alias(out))
+    return rows.join(d, rows[fk] == d[own], "left").drop(own)
 
 
 def tag_names(rows: DataFrame, key: str, tags: str, dim: DataFrame, tag_key: str, tag_name: str) -> DataFrame:

@@ -141,7 +141,7 @@ def loose_json(raw: str | None) -> dict:
 
 
 #: Descriptive keys of the template form and the fields that they stand for.
-TEMPLATE_KEYS = {"document_title": "title", "document_date": "date", "sender_or_organization": "correspondent"}
+TEMPLATE_KEYS = {"title_summarizing_subject_clear_concise_descriptive": "title", "document_date": "date", "issuing_organization_or_sender": "correspondent"}
 
 
 def extract_with(extractor: Extractor, text: str, attempts: int = 5, keys: dict[str, str] | None = None) -> dict:

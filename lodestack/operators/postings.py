@@ -3,16 +3,19 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..storage import materialize, new_folder
 from .retrieval import terms
 
-#: Documents of a bin, about: a term's postings in a bin are one block with one bound.
+#: Documents of a bin at most: a term's postings in a bin are one block with one bound.
 BIN = 256
 #: Bytes of a row group, so that a term's blocks can be read without its neighbours'.
 ROW_GROUP = 4 << 20
@@ -24,6 +27,33 @@ DIGITS = 9
 SEGMENTS = "segment string, n long, total long"
 GONE = "segment string, doc_id long, dl int"
 GONE_TERMS = "term string, n long"
+BLOCK = "term string, bin long, n int, max_tf int, min_dl int, docs array<long>, tfs array<int>, dls array<int>"
+
+
+def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Blocks of documents (doc_id, t): those of a batch are put in order of length and cut into bins."""
+    part, bins = TaskContext.get().partitionId() << 32, 0
+    for b in batches:
+        ids, t = b.column(0).to_numpy(), b.column(1)
+        sizes = np.diff(t.offsets.to_numpy())
+        words = t.flatten().dictionary_encode()
+        n = len(words.dictionary)
+        if not n:
+            continue
+        place = np.empty(len(ids), np.int64)
+        place[np.argsort(sizes, kind="stable")] = np.arange(len(ids)) // BIN
+        row = np.repeat(np.arange(len(ids)), sizes)
+        key, tf = np.unique(row * n + words.indices.to_numpy(), return_counts=True)
+        row, term = key // n, key % n
+        order = np.lexsort((ids[row], place[row], term))
+        row, term, tf = row[order], term[order], tf[order].astype(np.int32)
+        bin_, dl = place[row], sizes[row].astype(np.int32)
+        starts = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (bin_[1:] != bin_[:-1])))
+        offsets = np.append(starts, len(term)).astype(np.int32)
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids[row], tf, dl)]
+        cols = [words.dictionary.take(pa.array(term[starts])), pa.array(part + bins + bin_[starts]), pa.array(np.diff(offsets)), pa.array(np.maximum.reduceat(tf, starts)), pa.array(np.minimum.reduceat(dl, starts))]
+        yield pa.RecordBatch.from_arrays([*cols, *lists], [c.split()[0] for c in BLOCK.split(", ")])
+        bins += int(place.max()) + 1
 
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -65,25 +95,17 @@ class Postings:
     def _segment(self, docs: DataFrame, text: str) -> None:
         """Write a segment: documents with their distinct terms, and blocks of postings sorted by (term, bin).
 
-        Bins hold documents of like length, whose bounds lie close to their scores. Terms of a document are counted where it is read; counts then move once, in
-        ranges of (term, bin), so a term of all documents is spread over as many tasks as it needs.
+        Bins hold documents of like length that are read together, whose bounds lie close to their scores. So a block is made where its documents are read, in
+        one pass without a shuffle; whole blocks then move once, in ranges of (term, bin), so a term of all documents is spread over as many tasks as it needs.
         """
         name = uuid.uuid4().hex
         rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), terms(text).alias("t"))
-        rows = rows.select("doc_id", "t", F.size("t").alias("dl")).withColumn("level", F.floor(F.log2(F.col("dl") + 1) * 4).cast("int"))
-        levels = rows.groupBy("level").agg(F.count("*").alias("n"), F.sum("dl").alias("total")).collect()  # some 150 lengths at most
-        if not levels:
-            return
-        bins = F.create_map(*[F.lit(int(x)) for r in levels for x in (r["level"], -(-r["n"] // BIN))])
-        at = F.shiftleft(F.col("level").cast("long"), 40) + F.pmod(F.xxhash64("doc_id"), F.element_at(bins, F.col("level")))
-        rows = rows.withColumn("bin", at)
-        rows.select("doc_id", "dl", F.array_distinct("t").alias("terms")).write.parquet(f"{self.folder}/documents/segment={name}")
-        counted = rows.select("doc_id", "dl", "bin", F.explode("t").alias("term")).groupBy("term", "bin", "doc_id", "dl").agg(F.count("*").cast("int").alias("tf"))
-        entry = F.struct("doc_id", "tf", "dl")
-        blocks = counted.repartitionByRange("term", "bin").groupBy("term", "bin").agg(F.count("*").cast("int").alias("n"), F.max("tf").alias("max_tf"), F.min("dl").alias("min_dl"), F.sort_array(F.collect_list(entry)).alias("entries"))
-        blocks.sortWithinPartitions("term", "bin").write.option("parquet.block.size", ROW_GROUP).option("parquet.bloom.filter.enabled#term", "true").parquet(f"{self.folder}/postings/segment={name}")
+        rows.select("doc_id", F.size("t").alias("dl"), F.array_distinct("t").alias("terms")).write.parquet(f"{self.folder}/documents/segment={name}")
+        blocks = rows.mapInArrow(_blocks_of, BLOCK).repartitionByRange("term", "bin").sortWithinPartitions("term", "bin")
+        blocks.write.option("parquet.block.size", ROW_GROUP).option("parquet.bloom.filter.enabled#term", "true").parquet(f"{self.folder}/postings/segment={name}")
+        kept = self.spark.read.schema("doc_id long, dl int").parquet(f"{self.folder}/documents/segment={name}").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         # the segment counts from here on
-        self.spark.createDataFrame([(name, sum(r["n"] for r in levels), sum(r["total"] for r in levels))], SEGMENTS).coalesce(1).write.mode("append").parquet(f"{self.folder}/segments")
+        self.spark.createDataFrame([(name, *kept)], SEGMENTS).coalesce(1).write.mode("append").parquet(f"{self.folder}/segments")
 
     def add(self, docs: DataFrame, text: str = "text") -> None:
         """Add documents, in place of those of the same ids."""
@@ -106,7 +128,7 @@ class Postings:
 
     def _table(self, name: str) -> DataFrame:
         """A table of the segments that were written to their end."""
-        kinds = {"documents": "doc_id long, dl int, terms array<string>", "postings": "term string, bin long, n int, max_tf int, min_dl int, entries array<struct<doc_id: bigint, tf: int, dl: int>>"}
+        kinds = {"documents": "doc_id long, dl int, terms array<string>", "postings": BLOCK}
         done = [r["segment"] for r in self._segments()]
         return _read(self.spark, f"{self.folder}/{name}", f"{kinds[name]}, segment string").where(F.col("segment").isin(done))
 
@@ -134,7 +156,7 @@ class Postings:
         return Statistics(n, (total / n if n else 0.0) or 1.0, {r["term"]: r["n"] for r in df.collect()})
 
     def _entries(self, blocks: DataFrame, only: DataFrame | None) -> DataFrame:
-        rows = self._live(blocks.select("segment", "term", F.inline("entries")))
+        rows = self._live(blocks.select("segment", "term", F.inline(F.arrays_zip(F.col("docs").alias("doc_id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl")))))
         return rows if only is None else rows.join(only.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def _part(self, stats: Statistics, term: str, tf: Column, dl: Column) -> Column:

@@ -16,9 +16,19 @@ def seconds(ts: Column) -> Column:
 
 
 def dedup_enqueue(events: DataFrame, keys: tuple[str, ...] = ("doc_id", "stage"), order: tuple[str, ...] = ("ts", "event_id")) -> DataFrame:
-    """Events with ``added``: whether the document wasn't in the stage's queue yet."""
+    """Enqueues with ``added``: whether the document wasn't in the stage's queue just then.
+
+    A queue is a set: after a document left it (any ``op`` but enqueue), the next enqueue is new again. Events without a column ``op`` are all enqueues.
+    """
     w = Window.partitionBy(*keys).orderBy(*order)
-    return events.withColumn("added", F.row_number().over(w) == 1)
+    if "op" not in events.columns:
+        return events.withColumn("added", F.row_number().over(w) == 1)
+    return events.withColumn("added", F.coalesce(F.lag("op").over(w) != "enqueue", F.lit(True))).where("op = 'enqueue'")
+
+
+def failed_documents(states: DataFrame) -> DataFrame:
+    """(doc_id) of documents that failed for good in any stage, each once."""
+    return states.where("status = 'failed'").select("doc_id").distinct()
 
 
 def retries(outcomes: DataFrame, keys: tuple[str, ...] = ("doc_id",), order: tuple[str, ...] = ("ts", "event_id"), attempts: int = ATTEMPTS, base: int = BASE, most: int = LONGEST) -> DataFrame:

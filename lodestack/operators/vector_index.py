@@ -175,7 +175,7 @@ def _store(chunks: DataFrame, folder: str, cells: list[int], centroids: np.ndarr
 def build(chunks: DataFrame, folder: str | None = None, vector: str = "embedding", cells: int | None = None, probes: int | None = None, id_col: str = "doc_id", seed: int = 1) -> VectorIndex:
     """Fit cells on at most about SAMPLE rows, write every row into its cell, and choose how many cells to probe.
 
-    By default there are as many cells as the root of the rows, and the fewest probes (doubled, then halved in) that find TARGET of the exact 25 neighbours of
+    By default there are as many cells as the root of the rows, and the fewest probes that find TARGET of the exact 25 neighbours of
     PROBE_QUERIES rows. Vectors that are null, of another length than most, not finite or zero are kept apart; without any usable vector there is one empty list of cells.
     """
     spark = chunks.sparkSession
@@ -205,12 +205,18 @@ def build(chunks: DataFrame, folder: str | None = None, vector: str = "embedding
     found = VectorIndex(folder, spark.read.parquet(f"{folder}/vectors"), known, centroids, 1, vector)
     asked = materialize(part.where(F.col("query_id").isNotNull()).orderBy(F.xxhash64("query_id")).limit(PROBE_QUERIES), "asked")
     exact = materialize(exact_search(chunks.where(F.size(vector) == stat["size"]), asked, 25, stat["size"], vector, id_col, others=True), "exact")
-    enough = lambda n: recall(found.search(asked, 25, n, id_col, others=True), exact) >= TARGET
-    low, high = 0, 1  # low is too few, high is enough
-    while high < len(known) and not enough(high):
-        low, high = high, high * 2
-    high = min(high, len(known))
-    while high - low > max(1, high // 8):
-        mid = (low + high) // 2
-        low, high = (low, mid) if enough(mid) else (mid, high)
-    return save(high)
+    # a neighbour is found if its cell is among those probed, so one pass tells the recall of every number of probes
+    of = found.rows.where(F.col(CELL) != NONE).select(F.col(id_col).alias("id"), F.col(CELL).alias("cell"))
+
+    @F.pandas_udf("int")
+    def place(v: pd.Series, cell: pd.Series) -> pd.Series:
+        order = np.argsort(-(_unit(list(v), centroids.shape[1]) @ centroids.T), axis=1, kind="stable")
+        return pd.Series(np.argmax(order == cell.to_numpy()[:, None], axis=1).astype(np.int32) + 1)
+
+    at = exact.join(of, "id").join(asked, "query_id").select(place("vector", "cell").alias("probes")).groupBy("probes").count().orderBy("probes").collect()
+    total, reached = sum(r["count"] for r in at), 0
+    for r in at:
+        reached += r["count"]
+        if reached >= TARGET * total:
+            return save(r["probes"])
+    return save(len(known))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scores as S
 from ..functions import text as T
 from ..operators import entities as E
+from ..operators import similar_names as SN
 from ..operators import models as M
 from ..operators import queues as K
 from ..sources.tables import assign_splits, of_split, table
@@ -62,6 +63,12 @@ def pair_decisions(spark, d) -> DataFrame:
     return E.decide(E.pair_features(E.candidate_pairs(rows), rows)).select("left", "right", "decision", "confidence", F.round("ratio", 6).alias("ratio"))
 
 
+@query("q_near_decisions")
+def near_decisions(spark, d) -> DataFrame:
+    """The merges and reviews of ``q_pair_decisions`` between different names, from the set-similarity join."""
+    return SN.near_decisions(part_records(spark, d)).select("left", "right", "decision", "confidence", F.round("ratio", 6).alias("ratio"), "weight")
+
+
 #: Added to a supplier's key for its twin.
 TWIN = 10_000_000_000
 
@@ -86,7 +93,7 @@ def _exact_clusters(spark, d) -> tuple[DataFrame, DataFrame, DataFrame]:
     senders, docs = _twins(spark, d)
     rows = E.records(senders, docs)
     same = rows.select("norm", F.col("id").alias("a")).join(rows.groupBy("norm").agg(F.min("id").alias("b")), "norm").where("a <> b")
-    merge = same.select(F.col("b").alias("left"), F.col("a").alias("right"), F.lit("merge").alias("decision"), F.lit("high").alias("confidence"), F.array(F.lit("same_normalized_name")).alias("reasons"))
+    merge = same.select(F.col("b").alias("left"), F.col("a").alias("right"), F.lit("merge").alias("decision"), F.lit("high").alias("confidence"), F.array(F.lit("normalized_exact_match")).alias("reasons"))
     return merge, E.clusters(merge, rows), E.orphans(senders, docs)
 
 
@@ -137,7 +144,7 @@ def _dates(spark, d) -> DataFrame:
 
 
 _DATES = """x AS (SELECT l_orderkey, l_linenumber, l_orderkey % 11 AS k, CAST(o_orderdate AS DATE) AS e, CAST(l_shipdate AS DATE) AS s FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-  y AS (SELECT l_orderkey, l_linenumber, k, CASE WHEN k IN (0, 1, 2) THEN NULL WHEN k = 3 THEN 0 ELSE abs(date_diff('day', s, e)) END AS dist FROM x),
+  y AS (SELECT l_orderkey, l_linenumber, k, CASE WHEN k IN (1, 2) THEN NULL WHEN k IN (0, 3) THEN 0 ELSE abs(date_diff('day', s, e)) END AS dist FROM x),
   z AS (SELECT l_orderkey, l_linenumber, CASE WHEN k = 0 THEN true WHEN k IN (1, 2) THEN false ELSE dist = 0 END AS date_exact_match, dist AS date_distance_days,
         CASE WHEN k = 0 THEN 1.0 WHEN k IN (1, 2) THEN 0.0 ELSE greatest(0, 1 - dist / 365.0::DOUBLE) END::DOUBLE AS date_partial_credit,
         CASE WHEN k = 0 THEN true WHEN k = 1 THEN false END AS date_null_correct, k FROM y)"""
@@ -152,16 +159,16 @@ def score_date(spark, d) -> DataFrame:
 
 @query(
     "q_score_title",
-    """WITH p AS (SELECT p_partkey, CASE WHEN p_partkey % 7 <> 0 THEN p_type END AS e, p_name || ' ' || lower(CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_brand END) AS a FROM part),
+    """WITH p AS (SELECT p_partkey, CASE p_partkey % 7 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE p_type END AS e, p_name || ' ' || lower(CASE WHEN p_partkey % 2 = 0 THEN p_type ELSE p_brand END) AS a FROM part),
        t AS (SELECT *, list_distinct(list_filter(string_split(lower(e), ' '), lambda x: x <> '')) AS x, list_distinct(list_filter(string_split(lower(a), ' '), lambda x: x <> '')) AS y FROM p)
-       SELECT p_partkey, CASE WHEN e IS NOT NULL THEN contains(lower(a), lower(e)) END AS title_contains_match,
-              CASE WHEN e IS NOT NULL THEN round(len(list_intersect(x, y)) / CAST(len(list_distinct(list_concat(x, y))) AS DOUBLE), 6) END AS title_jaccard FROM t""",
+       SELECT p_partkey, CASE WHEN e <> '' THEN contains(lower(a), lower(e)) END AS title_contains_match,
+              CASE WHEN e <> '' THEN round(len(list_intersect(x, y)) / CAST(len(list_distinct(list_concat(x, y))) AS DOUBLE), 6) END AS title_keyword_overlap FROM t""",
 )
 def score_title(spark, d) -> DataFrame:
-    expected = F.when(F.col("p_partkey") % 7 != 0, F.col("p_type"))
+    expected = F.when(F.col("p_partkey") % 7 == 1, "").when(F.col("p_partkey") % 7 != 0, F.col("p_type"))
     actual = F.concat("p_name", F.lit(" "), F.lower(F.when(F.col("p_partkey") % 2 == 0, F.col("p_type")).otherwise(F.col("p_brand"))))
     s = S.score_title(expected, actual)
-    return table(spark, d, "part").select("p_partkey", s["title_contains_match"].alias("title_contains_match"), F.round(s["title_jaccard"], 6).alias("title_jaccard"))
+    return table(spark, d, "part").select("p_partkey", s["title_contains_match"].alias("title_contains_match"), F.round(s["title_keyword_overlap"], 6).alias("title_keyword_overlap"))
 
 
 _CORR = f"""c AS (SELECT d.doc_id, CASE WHEN quality IS NULL THEN NULL ELSE source || ' Inc' END AS e, CASE WHEN doc_id % 4 = 0 THEN NULL WHEN doc_id % 4 = 1 THEN upper(source) || ', LLC' ELSE lang END AS a FROM documents d LEFT JOIN labels USING (doc_id)),
@@ -240,9 +247,16 @@ def route_stage(spark, d) -> DataFrame:
     return staged(spark, d).select("event_id", "stage")
 
 
-@query("q_queue_dedup", f"SELECT event_id, row_number() OVER (PARTITION BY user_id, {_STAGE} ORDER BY ts, event_id) = 1 AS added FROM events")
+@query(
+    "q_queue_dedup",
+    f"""WITH o AS (SELECT event_id, user_id, {_STAGE} AS stage, ts, CASE WHEN event_id % 4 = 3 THEN 'remove' ELSE 'enqueue' END AS op FROM events)
+        SELECT event_id, coalesce((SELECT arg_max(p.op, (p.ts, p.event_id)) FROM o p WHERE p.user_id = o.user_id AND p.stage = o.stage AND (p.ts, p.event_id) < (o.ts, o.event_id)) = 'remove', true) AS added
+        FROM o WHERE op = 'enqueue'""",
+)
 def queue_dedup(spark, d) -> DataFrame:
-    return K.dedup_enqueue(staged(spark, d)).select("event_id", "added")
+    """Every fourth event takes the document out of its queue, after which it is new again."""
+    events = staged(spark, d).withColumn("op", F.when(F.col("event_id") % 4 == 3, "remove").otherwise("enqueue"))
+    return K.dedup_enqueue(events).select("event_id", "added")
 
 
 @query(

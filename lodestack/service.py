@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 import hmac
 import json
+import logging
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
@@ -43,6 +44,7 @@ class Service:
                 return 200, []
             return 200, [r["doc_id"] for r in self.search.search(q, Filters(**filters), limit=limit).collect()]
         except Exception:  # the endpoint degrades to no result
+            logging.getLogger(__name__).exception("search failed")
             return 200, []
 
     def get_metadata(self) -> tuple[int, dict]:
@@ -146,6 +148,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     spark = spark or SparkSession.builder.appName("lodestack").getOrCreate()
     settings = Settings.from_env()
     dry = a.dry_run or settings.dry_run
+    if (a.purge_notes or a.cleanup_apply) and not dry and not a.out:
+        p.error("--out is needed unless it is a dry run")
     if a.purge_notes:
         kept, n = purge_notes(table(spark, a.tables, "notes"), dry)
         if not dry:

@@ -39,16 +39,17 @@ def with_current_tags(events: DataFrame, docs: DataFrame) -> DataFrame:
 class StageQueue(StatefulProcessor):
     """State of one (document, stage): status, attempts and due time, and until when a marker suppresses its events.
 
-    With ``timers`` due retries are released by themselves; without, ``queues.due`` releases them over the table.
+    With ``timers`` due retries are released by themselves; without, ``queues.due`` releases them over the table. Nothing is kept of a document that is
+    in no queue, and a marker is dropped by the store ``suppress`` seconds after it was set.
     """
 
-    def __init__(self, timers: bool = True) -> None:
-        self.timers = timers
+    def __init__(self, timers: bool = True, suppress: int = SUPPRESS) -> None:
+        self.timers, self.suppress = timers, suppress
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.state = handle.getValueState("state", "status string, attempts int, due double")
-        self.marker = handle.getValueState("marker", "until double")
+        self.marker = handle.getValueState("marker", "until double", self.suppress * 1000)
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timer: Any) -> Iterator[pd.DataFrame]:
         events = pd.concat(list(rows)).sort_values(["ts", "event_id"])
@@ -57,7 +58,7 @@ class StageQueue(StatefulProcessor):
         for e in events.itertuples(index=False):
             added = False
             if e.op == "suppress":
-                self.marker.update((e.ts + SUPPRESS,))
+                self.marker.update((e.ts + self.suppress,))
                 continue
             if e.op == "enqueue":
                 if self.marker.exists() and e.ts < self.marker.get()[0]:
@@ -74,10 +75,15 @@ class StageQueue(StatefulProcessor):
             else:
                 status, attempts, due = "none", 0, None
             out.append((key[0], key[1], status, attempts, due, added, e.ts, e.event_id))
-        self.state.update((status, attempts, due))
+        if status == "none":
+            self.state.clear()
+        else:
+            self.state.update((status, attempts, due))
         yield pd.DataFrame(out, columns=[c.split()[0] for c in CHANGE.split(", ")]).astype({"due": "float64"})
 
     def handleExpiredTimer(self, key: Any, timer: Any, expired: Any) -> Iterator[pd.DataFrame]:
+        if not self.state.exists():  # removed since
+            return
         status, attempts, due = self.state.get()
         now = expired.getExpiryTimeInMs() / 1000
         if status == "delayed" and due is not None and due <= now:
@@ -88,13 +94,13 @@ class StageQueue(StatefulProcessor):
         pass
 
 
-def stage_queue(events: DataFrame, timers: bool = True) -> DataFrame:
+def stage_queue(events: DataFrame, timers: bool = True, suppress: int = SUPPRESS) -> DataFrame:
     """State changes of a stream (doc_id, stage, op, ts in seconds, event_id). Needs the RocksDB state store.
 
-    A stream with timers runs on for as long as it isn't stopped, so the once mode goes without.
+    Time is that of processing, as the markers' is; the once mode goes without timers, which would have it wait for them.
     """
     keyed = events.select("doc_id", "stage", "op", F.col("ts").cast("double").alias("ts"), "event_id")
-    return keyed.groupBy("doc_id", "stage").transformWithStateInPandas(statefulProcessor=StageQueue(timers), outputStructType=CHANGE, outputMode="Append", timeMode="ProcessingTime" if timers else "None")
+    return keyed.groupBy("doc_id", "stage").transformWithStateInPandas(statefulProcessor=StageQueue(timers, suppress), outputStructType=CHANGE, outputMode="Append", timeMode="ProcessingTime")
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -103,7 +109,23 @@ def use_rocksdb(spark: SparkSession) -> None:
 
 def run_once(stream: DataFrame, path: str, checkpoint: str) -> None:
     """Process what is there and end: the once mode of the workers."""
-    stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    spark = stream.sparkSession
+    name = "spark.sql.streaming.noDataMicroBatches.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")  # else batches without data follow for as long as there is time
+    try:
+        _start(stream, path, checkpoint).awaitTermination()
+    finally:
+        spark.conf.set(name, before)
+
+
+def distinct_events(events: DataFrame, time: str, delay: str = "10 minutes", keys: tuple[str, ...] = ("event_id",)) -> DataFrame:
+    """A stream's events without repeats that come within ``delay`` of each other by the timestamp column ``time``; older keys are forgotten."""
+    return events.withWatermark(time, delay).dropDuplicatesWithinWatermark(list(keys))
+
+
+def _start(stream: DataFrame, path: str, checkpoint: str):
+    return stream.writeStream.format("parquet").outputMode("append").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def latest(changes: DataFrame) -> DataFrame:

@@ -107,7 +107,10 @@ def test_scores(spark):
     d = S.score_date(t("bad"), t("1984-01-13"))
     assert (s(d, "date_exact_match"), s(d, "date_distance_days"), s(d, "date_partial_credit")) == (False, None, 0.0)
     assert s(S.score_title(t(None), t("x")), "title_contains_match") is None
-    assert s(S.score_title(t("invoice"), t("An Invoice")), "title_jaccard") == 0.5
+    assert s(S.score_title(t(""), t("x")), "title_contains_match") is None and s(S.score_title(t(""), t("x")), "title_keyword_overlap") is None
+    none = S.score_date(F.lit(None).cast("string"), F.lit(None).cast("string"))
+    assert (s(none, "date_exact_match"), s(none, "date_distance_days"), s(none, "date_partial_credit")) == (True, 0, 1.0)
+    assert s(S.score_title(t("invoice"), t("An Invoice")), "title_keyword_overlap") == 0.5
 
 
 def test_aggregate_and_majority(spark):
