@@ -100,9 +100,9 @@ class Postings:
         """
         name = uuid.uuid4().hex
         rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), terms(text).alias("t"))
-        rows.select("doc_id", F.size("t").alias("dl"), F.array_distinct("t").alias("terms")).write.parquet(f"{self.folder}/documents/segment={name}")
+        rows.select("doc_id", F.size("t").alias("dl"), F.array_distinct("t").alias("terms")).write.option("compression", "zstd").parquet(f"{self.folder}/documents/segment={name}")
         blocks = rows.mapInArrow(_blocks_of, BLOCK).repartitionByRange("term", "bin").sortWithinPartitions("term", "bin")
-        blocks.write.option("parquet.block.size", ROW_GROUP).option("parquet.bloom.filter.enabled#term", "true").parquet(f"{self.folder}/postings/segment={name}")
+        blocks.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).option("parquet.bloom.filter.enabled#term", "true").parquet(f"{self.folder}/postings/segment={name}")
         kept = self.spark.read.schema("doc_id long, dl int").parquet(f"{self.folder}/documents/segment={name}").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
         # the segment counts from here on
         self.spark.createDataFrame([(name, *kept)], SEGMENTS).coalesce(1).write.mode("append").parquet(f"{self.folder}/segments")
