@@ -24,10 +24,10 @@ class Sentinels:
     middle: str = "<M>"
 
     def __post_init__(self) -> None:
-        for a in self:
-            for b in self:
-                meets = any(a[-k:] == b[:k] for k in range(1, min(len(a), len(b)) + (a is not b)))
-                if not a or meets or (a is not b and a in b):
+        for i, a in enumerate(self):
+            for j, b in enumerate(self):
+                meets = any(a[-k:] == b[:k] for k in range(1, min(len(a), len(b)) + (i != j)))
+                if not a or meets or (i != j and a in b):
                     raise ValueError(f"sentinels {a!r} and {b!r} overlap")
 
     def __iter__(self):

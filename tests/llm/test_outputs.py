@@ -193,7 +193,7 @@ def brute_audit(docs: list, labels: list) -> dict:
         t = r.text or ""
         w = re.findall(r"[^\x20\x09-\x0D]+", t)
         fails = {"A": len(w) < 200, "B": 100 * len(set(w)) < 50 * len(w), "C": 100 * len(re.findall("[A-Z]", t)) > 3 * len(t), "D": bool(re.search(r"[#$%&*|]", t)), "E": r.doc_id is not None and r.doc_id > first[t]}
-        rows.append((r.lang or "", {k for k, v in fails.items() if v}, any(x.doc_id == r.doc_id and x.quality == 1 for x in labels), any(x.doc_id == r.doc_id and x.toxic == 1 for x in labels)))
+        rows.append((r.lang or "", {k for k, v in fails.items() if v}, any(x.doc_id == r.doc_id is not None and x.quality == 1 for x in labels), any(x.doc_id == r.doc_id is not None and x.toxic == 1 for x in labels)))
     out = {}
     for part in {r[0] for r in rows}:
         own = [r for r in rows if r[0] == part]
