@@ -673,7 +673,7 @@ def test_queries_match_sql(spark, sf_dir):
     con = compare.connect(sf_dir)
     for name in registry.oracle_sql():
         assert compare.differ(spark, con, name, sf_dir) == "", name
-    assert {re.match(r"op\d+", n)[0] for n in registry.queries()} == {f"op{i}" for i in range(1, 11)}
+    assert {re.match(r"op\d+", n)[0] for n in registry.queries()} == {f"op{i}" for i in range(1, 14)}
 
 
 def test_pipeline(spark, sf_dir):
