@@ -25,33 +25,36 @@ LISTED = 1_000
 DIGITS = 9
 
 SEGMENTS = "segment string, n long, total long"
-GONE = "segment string, doc_id long, dl int"
-GONE_TERMS = "term string, n long"
+GONE = "segment string, bin long, doc_id long, dl int"
+#: Whose block in a bin holds all documents of the bin; no text has it as a term.
+ALL = ""
 BLOCK = "term string, bin long, n int, max_tf int, min_dl int, docs array<long>, tfs array<int>, dls array<int>"
 
 
 def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents (doc_id, t): those of a batch are put in order of length and cut into bins."""
+    """Blocks of documents (doc_id, t): those of a batch are put in order of length and cut into bins. The block of ALL comes with each bin."""
     part, bins = TaskContext.get().partitionId() << 32, 0
     for b in batches:
+        if not b.num_rows:
+            continue
         ids, t = b.column(0).to_numpy(), b.column(1)
         sizes = np.diff(t.offsets.to_numpy())
         words = t.flatten().dictionary_encode()
         n = len(words.dictionary)
-        if not n:
-            continue
         place = np.empty(len(ids), np.int64)
         place[np.argsort(sizes, kind="stable")] = np.arange(len(ids)) // BIN
         row = np.repeat(np.arange(len(ids)), sizes)
         key, tf = np.unique(row * n + words.indices.to_numpy(), return_counts=True)
-        row, term = key // n, key % n
+        # the last term is ALL, with every row
+        row, term, tf = np.append(key // max(n, 1), np.arange(len(ids))), np.append(key % max(n, 1), np.full(len(ids), n)), np.append(tf, np.zeros(len(ids), np.int64))
         order = np.lexsort((ids[row], place[row], term))
         row, term, tf = row[order], term[order], tf[order].astype(np.int32)
         bin_, dl = place[row], sizes[row].astype(np.int32)
         starts = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (bin_[1:] != bin_[:-1])))
         offsets = np.append(starts, len(term)).astype(np.int32)
         lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids[row], tf, dl)]
-        cols = [words.dictionary.take(pa.array(term[starts])), pa.array(part + bins + bin_[starts]), pa.array(np.diff(offsets)), pa.array(np.maximum.reduceat(tf, starts)), pa.array(np.minimum.reduceat(dl, starts))]
+        names = pa.concat_arrays([words.dictionary, pa.array([ALL], words.dictionary.type)])
+        cols = [names.take(pa.array(term[starts])), pa.array(part + bins + bin_[starts]), pa.array(np.diff(offsets)), pa.array(np.maximum.reduceat(tf, starts)), pa.array(np.minimum.reduceat(dl, starts))]
         yield pa.RecordBatch.from_arrays([*cols, *lists], [c.split()[0] for c in BLOCK.split(", ")])
         bins += int(place.max()) + 1
 
@@ -93,17 +96,18 @@ class Postings:
         return out
 
     def _segment(self, docs: DataFrame, text: str) -> None:
-        """Write a segment: documents with their distinct terms, and blocks of postings sorted by (term, bin).
+        """Write a segment: blocks of postings sorted by (term, bin), those of ALL first.
 
         Bins hold documents of like length that are read together, whose bounds lie close to their scores. So a block is made where its documents are read, in
         one pass without a shuffle; whole blocks then move once, in ranges of (term, bin), so a term of all documents is spread over as many tasks as it needs.
         """
         name = uuid.uuid4().hex
         rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), terms(text).alias("t"))
-        rows.select("doc_id", F.size("t").alias("dl"), F.array_distinct("t").alias("terms")).write.option("compression", "zstd").parquet(f"{self.folder}/documents/segment={name}")
         blocks = rows.mapInArrow(_blocks_of, BLOCK).repartitionByRange("term", "bin").sortWithinPartitions("term", "bin")
         blocks.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).option("parquet.bloom.filter.enabled#term", "true").parquet(f"{self.folder}/postings/segment={name}")
-        kept = self.spark.read.schema("doc_id long, dl int").parquet(f"{self.folder}/documents/segment={name}").agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
+        own = self.spark.read.schema(BLOCK).parquet(f"{self.folder}/postings/segment={name}").where(F.col("term") == ALL)
+        total = F.aggregate("dls", F.lit(0).cast("long"), lambda a, x: a + x)
+        kept = own.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(total), F.lit(0))).first()
         # the segment counts from here on
         self.spark.createDataFrame([(name, *kept)], SEGMENTS).coalesce(1).write.mode("append").parquet(f"{self.folder}/segments")
 
@@ -114,23 +118,28 @@ class Postings:
         self._segment(docs, "text")
 
     def delete(self, ids: DataFrame) -> None:
-        """Delete documents by ``doc_id``; unknown ones don't matter. Postings stay until the index is built anew, but nothing counts them any more."""
-        live = self._live(self._table("documents"))
-        hit = materialize(live.join(ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi").select("segment", "doc_id", "dl", "terms"), "deleted")
+        """Delete documents by ``doc_id``; unknown ones don't matter. Postings stay until the index is built anew, but nothing counts them any more.
+
+        Only the blocks of ALL are read. What the documents' terms lose is counted when a term is asked for.
+        """
+        hit = self._documents().join(ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct(), "doc_id", "left_semi")
+        hit = materialize(hit.select("segment", "bin", "doc_id", "dl"), "deleted")
         if not hit.isEmpty():
-            hit.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).write.mode("append").parquet(f"{self.folder}/gone_terms")
-            hit.select("segment", "doc_id", "dl").write.mode("append").parquet(f"{self.folder}/gone")
+            hit.write.mode("append").parquet(f"{self.folder}/gone")
 
     # --- reading -------------------------------------------------------------------------------------------------------
 
     def _segments(self) -> list:
         return _read(self.spark, f"{self.folder}/segments", SEGMENTS).collect()
 
-    def _table(self, name: str) -> DataFrame:
-        """A table of the segments that were written to their end."""
-        kinds = {"documents": "doc_id long, dl int, terms array<string>", "postings": BLOCK}
+    def _postings(self) -> DataFrame:
+        """Blocks of the segments that were written to their end."""
         done = [r["segment"] for r in self._segments()]
-        return _read(self.spark, f"{self.folder}/{name}", f"{kinds[name]}, segment string").where(F.col("segment").isin(done))
+        return _read(self.spark, f"{self.folder}/postings", f"{BLOCK}, segment string").where(F.col("segment").isin(done))
+
+    def _documents(self) -> DataFrame:
+        """(segment, bin, term, doc_id, tf, dl) of the live documents."""
+        return self._entries(self._blocks([ALL]), None)
 
     def _gone(self) -> DataFrame:
         return _read(self.spark, f"{self.folder}/gone", GONE)
@@ -139,24 +148,30 @@ class Postings:
         return rows.join(self._gone().select("segment", "doc_id"), ["segment", "doc_id"], "left_anti")
 
     def _blocks(self, asked: Sequence[str]) -> DataFrame:
-        return self._table("postings").where(F.col("term").isin(list(asked)))
+        return self._postings().where(F.col("term").isin(list(asked)))
 
     def statistics(self, asked: Sequence[str], only: DataFrame | None = None) -> Statistics:
-        """Of all live documents, or of those whose id is in ``only``. Without ``only``, counts of blocks are read and no posting."""
+        """Of all live documents, or of those whose id is in ``only``. Without ``only``, counts of blocks are read, and postings just in bins that lost documents."""
         if only is None:
             kept = self._segments()
             lost = self._gone().agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
             n, total = sum(r["n"] for r in kept) - lost[0], sum(r["total"] for r in kept) - lost[1]
-            gone = _read(self.spark, f"{self.folder}/gone_terms", GONE_TERMS).where(F.col("term").isin(list(asked))).select("term", (-F.col("n")).alias("n"))
-            df = self._blocks(asked).select("term", F.col("n").cast("long").alias("n")).unionByName(gone).groupBy("term").agg(F.sum("n").alias("n"))
+            blocks, gone = self._blocks(asked), self._gone().select("segment", "bin", "doc_id")
+            holed = blocks.join(gone.select("segment", "bin").distinct(), ["segment", "bin"], "left_semi")
+            gone = self._exploded(holed).join(gone, ["segment", "bin", "doc_id"], "left_semi").select("term", F.lit(-1).cast("long").alias("n"))
+            df = blocks.select("term", F.col("n").cast("long").alias("n")).unionByName(gone).groupBy("term").agg(F.sum("n").alias("n"))
         else:
-            of = self._live(self._table("documents")).select("segment", "doc_id", "dl").join(only.select("doc_id").distinct(), "doc_id", "left_semi")
+            of = self._documents().select("doc_id", "dl").join(only.select("doc_id").distinct(), "doc_id", "left_semi")
             n, total = of.agg(F.count("*"), F.coalesce(F.sum("dl"), F.lit(0))).first()
             df = self._entries(self._blocks(asked), only).groupBy("term").agg(F.count("*").alias("n"))
         return Statistics(n, (total / n if n else 0.0) or 1.0, {r["term"]: r["n"] for r in df.collect()})
 
+    @staticmethod
+    def _exploded(blocks: DataFrame) -> DataFrame:
+        return blocks.select("segment", "bin", "term", F.inline(F.arrays_zip(F.col("docs").alias("doc_id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl"))))
+
     def _entries(self, blocks: DataFrame, only: DataFrame | None) -> DataFrame:
-        rows = self._live(blocks.select("segment", "term", F.inline(F.arrays_zip(F.col("docs").alias("doc_id"), F.col("tfs").alias("tf"), F.col("dls").alias("dl")))))
+        rows = self._live(self._exploded(blocks))
         return rows if only is None else rows.join(only.select("doc_id").distinct(), "doc_id", "left_semi")
 
     def _part(self, stats: Statistics, term: str, tf: Column, dl: Column) -> Column:
@@ -176,7 +191,7 @@ class Postings:
 
     def scores(self, query: Sequence[str], only: DataFrame | None = None) -> DataFrame:
         """(doc_id, bm25) of every document with a query term, from the postings of these terms alone; with ``only``, over these documents, statistics included."""
-        asked = list(dict.fromkeys(query))
+        asked = [t for t in dict.fromkeys(query) if t != ALL]
         return self._scored(asked, self.statistics(asked, only), self._blocks(asked), only)
 
     def bounds(self, asked: Sequence[str], stats: Statistics) -> DataFrame:
@@ -192,7 +207,7 @@ class Postings:
         The bins with the highest bounds are scored first; their k-th score is a threshold, and of the others only bins whose bound reaches it are
         read. ``report`` gets the numbers of bins and of bins read.
         """
-        asked = list(dict.fromkeys(query))
+        asked = [t for t in dict.fromkeys(query) if t != ALL]
         stats = self.statistics(asked, only)
         bounds = self.bounds(asked, stats)
         best = lambda rows: rows.orderBy(F.desc("bm25"), "doc_id").limit(k)
