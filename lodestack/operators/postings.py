@@ -29,6 +29,8 @@ GONE = "segment string, bin long, doc_id long, dl int"
 #: Whose block in a bin holds all documents of the bin; no text has it as a term.
 ALL = ""
 BLOCK = "term string, bin long, n int, max_tf int, min_dl int, docs array<long>, tfs array<int>, dls array<int>"
+#: A block on its way: its documents, then tf << 32 | dl of each.
+PACKED = "term string, bin long, packed array<long>"
 
 
 def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -48,17 +50,29 @@ def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # the last term is ALL, with every row
         row, term, tf = np.append(key // max(n, 1), np.arange(len(ids))), np.append(key % max(n, 1), np.full(len(ids), n)), np.append(tf, np.zeros(len(ids), np.int64))
         order = np.lexsort((ids[row], place[row], term))
-        row, term, tf = row[order], term[order], tf[order].astype(np.int32)
-        bin_, dl = place[row], sizes[row].astype(np.int32)
+        row, term = row[order], term[order]
+        bin_, counts = place[row], tf[order].astype(np.int64) << 32 | sizes[row]
         starts = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (bin_[1:] != bin_[:-1])))
-        offsets = np.append(starts, len(term)).astype(np.int32)
-        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (ids[row], tf, dl)]
+        ends = np.append(starts[1:], len(term))
+        # a posting's place: twice the postings of the blocks before, and its own in its block
+        at = np.arange(len(term)) + np.repeat(starts, ends - starts)
+        packed = np.empty(2 * len(term), np.int64)
+        packed[at], packed[at + np.repeat(ends - starts, ends - starts)] = ids[row], counts
+        lists = pa.ListArray.from_arrays(np.append(2 * starts, len(packed)).astype(np.int32), pa.array(packed))
         names = pa.concat_arrays([words.dictionary, pa.array([ALL], words.dictionary.type)])
-        cols = [names.take(pa.array(term[starts])), pa.array(part + bins + bin_[starts]), pa.array(np.diff(offsets)), pa.array(np.maximum.reduceat(tf, starts)), pa.array(np.minimum.reduceat(dl, starts))]
-        yield pa.RecordBatch.from_arrays([*cols, *lists], [c.split()[0] for c in BLOCK.split(", ")])
+        cols = [names.take(pa.array(term[starts])), pa.array(part + bins + bin_[starts]), lists]
+        yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in PACKED.split(", ")])
         bins += int(place.max()) + 1
 
 
+def _unpacked(blocks: DataFrame) -> DataFrame:
+    """PACKED as BLOCK: what a block's lists tell is not shuffled beside them."""
+    n = (F.size("packed") / 2).cast("int")
+    lists = blocks.select("term", "bin", n.alias("n"), F.slice("packed", 1, n).alias("docs"), F.slice("packed", n + 1, n).alias("counts"))
+    tfs, dls = F.transform("counts", lambda x: F.shiftright(x, 32).cast("int")), F.transform("counts", lambda x: x.bitwiseAND(F.lit((1 << 32) - 1)).cast("int"))
+    return lists.select("term", "bin", "n", F.shiftright(F.array_max("counts"), 32).cast("int").alias("max_tf"), F.array_min(dls).alias("min_dl"), "docs", tfs.alias("tfs"), dls.alias("dls"))
+
+
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """A table that has no folder before its first row."""
     jvm = spark.sparkContext._jvm
@@ -103,7 +117,7 @@ class Postings:
         """
         name = uuid.uuid4().hex
         rows = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), terms(text).alias("t"))
-        blocks = rows.mapInArrow(_blocks_of, BLOCK).repartitionByRange("term", "bin").sortWithinPartitions("term", "bin")
+        blocks = _unpacked(rows.mapInArrow(_blocks_of, PACKED).repartitionByRange("term", "bin").sortWithinPartitions("term", "bin"))
         blocks.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).option("parquet.bloom.filter.enabled#term", "true").parquet(f"{self.folder}/postings/segment={name}")
         own = self.spark.read.schema(BLOCK).parquet(f"{self.folder}/postings/segment={name}").where(F.col("term") == ALL)
         total = F.aggregate("dls", F.lit(0).cast("long"), lambda a, x: a + x)
