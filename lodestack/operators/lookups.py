@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.similarity import ratio
 from ..functions.text import present, strip, year_of
+from .ranking import global_rank
+from .substrings import containing
 
 
 def with_name(rows: DataFrame, dim: DataFrame, fk: str, key: str, name: str, out: str) -> DataFrame:
@@ -37,21 +39,22 @@ def find_or_create(names: DataFrame, dim: DataFrame, least: float = 0.80, candid
     """(name, id, created): id of the best match of each distinct stripped name in dim (id, name), else a new id.
 
     An exact match in any case wins; else, of the ``candidates`` smallest ids whose name contains the name in any case, the most similar of at
-    least ``least``. Names without a match get ids after the largest, in order. Containment has no key,
-    so the distinct names meet the dimension in a join on their condition, which keeps matches only.
+    least ``least``. Names without a match get ids after the largest, in order. Names meet the dimension by their rarest
+    run of characters (``substrings.containing``), and only pairs whose lengths allow the similarity are compared.
     """
     asked = names.select(strip("name").alias("name")).where(F.col("name") != "").distinct().withColumn("l", F.lower("name"))
     have = dim.select(F.col("id").alias("id"), F.col("name").alias("dim_name"), F.lower("name").alias("dim_l"))
     exact = asked.join(have, asked["l"] == have["dim_l"]).groupBy("name").agg(F.min("id").alias("id"))
     rest = asked.join(exact, "name", "left_anti")
-    near = rest.join(have, F.contains(have["dim_l"], rest["l"]))
+    near = containing(rest, have, "l", "dim_l")
     w = Window.partitionBy("name").orderBy("id")
-    near = near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= candidates).withColumn("r", ratio("l", "dim_l")).where(F.col("r") >= least)
+    near = near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= candidates)
+    # no more characters match than the shorter text has
+    bound = 2 * F.least(F.length("l"), F.length("dim_l")) / (F.length("l") + F.length("dim_l"))
+    near = near.where(bound >= least - 1e-9).withColumn("r", ratio("l", "dim_l")).where(F.col("r") >= least)
     best = near.groupBy("name").agg(F.max(F.struct("r", (-F.col("id")).alias("neg"))).alias("b")).select("name", (-F.col("b.neg")).alias("id"))
     found = exact.unionByName(best).withColumn("created", F.lit(False))
     top = dim.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-    from .ranking import global_rank
-
     fresh = global_rank(asked.join(found, "name", "left_anti").select("name"), [F.col("name")], "n")
     return found.unionByName(fresh.select("name", (F.col("n") + top).alias("id"), F.lit(True).alias("created")))
 

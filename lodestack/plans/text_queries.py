@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import tables
 from ..functions import text as T
 from ..operators import chunks as C
 from ..operators import lookups as L
 from ..operators import retrieval as R
+from ..operators import substrings as S
+from ..operators.telemetry import Distinct, observed, sketch
 from ..sources.tables import table
 
 Q: dict = {}
@@ -162,6 +167,27 @@ def header(spark, d) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", T.chunk_header(title, F.col("source"), F.lit(None).cast("string"), summary).alias("header"))
 
 
+@query(
+    "q_chunk_table",
+    r"SELECT doc_id, true AS counted, true AS short, true AS covered, true AS begins, true AS ends FROM documents WHERE regexp_matches(text, '\S')",
+)
+def chunk_table(spark, d) -> DataFrame:
+    """What must hold of the chunks of every text, by the table function: positions without a gap, the size kept, no character lost, first and last at the text's ends."""
+    tables.register(spark)
+    solid = lambda c: F.length(F.regexp_replace(c, r"(?U)[\s\x1c-\x1f]+", ""))
+    docs = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "").alias("whole"))
+    rows = spark.sql("SELECT d.*, c.* FROM {docs} d, LATERAL chunks_of(d.whole) c", docs=docs.withColumn("solid", solid("whole")))
+    # the text itself stays behind, so what is shuffled doesn't grow with chunks times text
+    rows = rows.select("doc_id", "chunk_index", "solid", F.length("text").alias("size"), solid("text").alias("own"), F.startswith("whole", "text").alias("begins"), F.endswith("whole", "text").alias("ends"))
+    return rows.groupBy("doc_id").agg(
+        ((F.min("chunk_index") == 0) & (F.max("chunk_index") + 1 == F.count("*"))).alias("counted"),
+        (F.max("size") <= C.SIZE).alias("short"),
+        (F.sum("own") >= F.max("solid")).alias("covered"),
+        F.min_by("begins", "chunk_index").alias("begins"),
+        F.max_by("ends", "chunk_index").alias("ends"),
+    )
+
+
 @query("q_chunk_count_rows")
 def chunk_rows(spark, d) -> DataFrame:
     return C.chunk(table(spark, d, "documents")).groupBy("doc_id").agg(F.count("*").alias("chunks"), F.max(F.length("text")).alias("longest"))
@@ -330,3 +356,37 @@ def find_or_create(spark, d) -> DataFrame:
     dim = table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_name").alias("name"))
     asked = dim.select(F.upper("name").alias("name")).union(dim.select(F.concat(F.lit("Zz "), F.col("name"))))
     return L.find_or_create(asked, dim)
+
+
+@query(
+    "q_names_containing",
+    """WITH a AS (SELECT DISTINCT lower(t) AS asked FROM (SELECT unnest(string_split(p_name, ' ')) AS t FROM part UNION ALL SELECT substr(p_name, 2, 2) FROM part) WHERE t <> '')
+       SELECT asked, count(*) AS parts, min(p_partkey) AS first FROM a JOIN part ON contains(lower(p_name), asked) GROUP BY asked""",
+)
+def names_containing(spark, d) -> DataFrame:
+    """Parts by the words and by two characters of their names, anywhere in a name."""
+    parts = table(spark, d, "part").select("p_partkey", F.lower("p_name").alias("within"))
+    words = table(spark, d, "part").select(F.explode(F.concat(F.split("p_name", " "), F.array(F.substring("p_name", 2, 2)))).alias("t")).where("t <> ''")
+    return S.containing(words.select(F.lower("t").alias("asked")).distinct(), parts, "asked", "within").groupBy("asked").agg(F.count("*").alias("parts"), F.min("p_partkey").alias("first"))
+
+
+@query(
+    "q_stage_distinct",
+    """WITH r AS (SELECT 'keyword' AS stage, doc_id FROM documents UNION ALL SELECT 'dense', vec_id FROM embeddings), f AS (SELECT * FROM r UNION ALL SELECT 'fused', doc_id FROM r)
+       SELECT stage, CAST(CASE WHEN stage = 'fused' THEN 2 ELSE 1 END AS BIGINT) AS queries, count(DISTINCT doc_id) AS exact, true AS close FROM f GROUP BY stage""",
+)
+def stage_distinct(spark, d) -> DataFrame:
+    """Distinct documents that the sides of a search read and both together, and whether sketches taken while reading come within 3 %."""
+    sides = {"keyword": table(spark, d, "documents").select("doc_id"), "dense": table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"))}
+    kept, exact = Distinct(spark), []
+    for stage, rows in sides.items():
+        found, seen = observed(rows, f"{stage}-{uuid.uuid4().hex}", docs=sketch("doc_id"))
+        found.write.format("noop").mode("overwrite").save()
+        for s in (stage, "fused"):
+            kept.add(s, seen.get["docs"])
+            exact.append(rows.select(F.lit(s).alias("stage"), "doc_id"))
+    first, *rest = exact
+    for more in rest:
+        first = first.union(more)
+    counts = first.groupBy("stage").agg(F.countDistinct("doc_id").alias("exact"))
+    return kept.counts().join(counts, "stage").select("stage", "queries", "exact", (F.abs(F.col("documents") - F.col("exact")) <= 0.03 * F.col("exact")).alias("close"))
