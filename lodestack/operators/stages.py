@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import bounded_context, clean_title, move_tag, page_selection, plausible_date, strip
 from ..storage import materialize
-from .chunks import Hook, points, refresh_payload, replace_documents, situate_with
+from .chunk_store import ChunkStore
+from .chunks import PAYLOAD, Hook, points, refresh_payload, replace_documents, situate_with
 from .models import Embedder, Extractor, PageReader, embed_chunks, extract_metadata, read_pages
 from .queues import outcomes
 
@@ -64,20 +65,27 @@ def metadata_stage(batch: DataFrame, docs: DataFrame, extractor: Callable[[], Ex
     return StageResult(new, readable.select("doc_id", F.lit(True).alias("ok")).unionByName(skipped))
 
 
-def embed_stage(batch: DataFrame, docs: DataFrame, index: DataFrame, embedder: Callable[[], Embedder], hook: Hook | None = None) -> StageResult:
-    """Delete a document's chunks, then insert the new ones; blank documents lose their chunks and still succeed."""
+def embed_stage(batch: DataFrame, docs: DataFrame, index: DataFrame | ChunkStore, embedder: Callable[[], Embedder], hook: Hook | None = None) -> StageResult:
+    """Delete a document's chunks, then insert the new ones; blank documents lose their chunks and still succeed. A store is updated in place."""
     mine, gone = known(batch, docs)
     chunks = situate_with(mine, hook)
     if hook is not None:  # a hook runs once, so that what is stored is what was embedded
         chunks = materialize(chunks, "chunks")
     new = points(chunks, embed_chunks(chunks, embedder))
     ok = mine.select("doc_id", F.lit(True).alias("ok")).unionByName(gone.select("doc_id", F.lit(None).cast("boolean").alias("ok")))
+    if isinstance(index, ChunkStore):
+        index.replace(new, mine)
+        return StageResult(docs, ok, index.rows())
     return StageResult(docs, ok, replace_documents(index, new.select(*[c for c in new.columns if c in index.columns]), mine))
 
 
-def refresh_stage(batch: DataFrame, docs: DataFrame, index: DataFrame) -> StageResult:
-    """Payload columns of a document's chunks brought up to date without embedding anything."""
+def refresh_stage(batch: DataFrame, docs: DataFrame, index: DataFrame | ChunkStore) -> StageResult:
+    """Payload columns of a document's chunks brought up to date without embedding anything. A store is updated in place."""
     mine, gone = known(batch, docs)
     ok = mine.select("doc_id", F.lit(True).alias("ok")).unionByName(gone.select("doc_id", F.lit(None).cast("boolean").alias("ok")))
-    columns = tuple(c for c in ("title", "correspondent", "document_type", "storage_path", "tags", "date", "year") if c in docs.columns and c in index.columns)
+    held = index.rows() if isinstance(index, ChunkStore) else index
+    columns = tuple(c for c in PAYLOAD if c in docs.columns and c in held.columns)
+    if isinstance(index, ChunkStore):
+        index.refresh(mine, columns)
+        return StageResult(docs, ok, index.rows())
     return StageResult(docs, ok, refresh_payload(index, mine, columns))

@@ -13,6 +13,7 @@ from ..operators import chunks as C
 from ..operators import lookups as L
 from ..operators import retrieval as R
 from ..operators import substrings as S
+from ..operators.chunk_store import ChunkStore
 from ..operators.telemetry import Distinct, observed, sketch
 from ..sources.tables import table
 
@@ -390,3 +391,45 @@ def stage_distinct(spark, d) -> DataFrame:
         first = first.union(more)
     counts = first.groupBy("stage").agg(F.countDistinct("doc_id").alias("exact"))
     return kept.counts().join(counts, "stage").select("stage", "queries", "exact", (F.abs(F.col("documents") - F.col("exact")) <= 0.03 * F.col("exact")).alias("close"))
+
+
+def _lines(spark, d) -> DataFrame:
+    """Documents' lines as chunks."""
+    docs = table(spark, d, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    return docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("chunk_index", "text"), "lang", F.col("source").alias("title"))
+
+
+_LINES = "l AS (SELECT doc_id, unnest(range(len(s))) AS chunk_index, unnest(s) AS text, lang, source AS title FROM (SELECT *, string_split(text, chr(10)) AS s FROM documents WHERE doc_id IS NOT NULL AND text IS NOT NULL))"
+
+
+@query(
+    "q_store_upsert",
+    f"""WITH {_LINES},
+      n AS (SELECT DISTINCT doc_id, unnest([0, 1]) AS chunk_index FROM l WHERE lang = 'de')
+      SELECT l.doc_id, l.chunk_index, md5(CASE WHEN n.doc_id IS NULL THEN l.text ELSE 'new' END) AS digest,
+             CASE WHEN n.doc_id IS NOT NULL THEN NULL WHEN l.lang = 'en' THEN 'refreshed ' || l.doc_id ELSE l.title END AS title FROM l LEFT JOIN n USING (doc_id, chunk_index)
+      UNION ALL SELECT doc_id, chunk_index, md5('new'), NULL FROM n ANTI JOIN l USING (doc_id, chunk_index)""",
+)
+def store_upsert(spark, d) -> DataFrame:
+    """A store of all lines; the first two of German documents replaced or added, then the titles of English ones brought up to date."""
+    lines = _lines(spark, d)
+    store = ChunkStore.create(lines)
+    german = table(spark, d, "documents").where("doc_id IS NOT NULL AND text IS NOT NULL AND lang = 'de'")
+    store.upsert(german.select("doc_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("chunk_index"), F.lit("new").alias("text"), "lang"))
+    english = table(spark, d, "documents").where("lang = 'en'")
+    store.refresh(english.select("doc_id", F.concat(F.lit("refreshed "), F.col("doc_id").cast("string")).alias("title")), ("title",))
+    return store.rows().select("doc_id", "chunk_index", F.md5("text").alias("digest"), "title")
+
+
+@query(
+    "q_store_replace",
+    f"""WITH {_LINES} SELECT doc_id, chunk_index, md5(text) AS digest FROM l WHERE lang NOT IN ('de', 'fr') OR lang IS NULL
+      UNION ALL SELECT DISTINCT doc_id, 0, md5('one') FROM l WHERE lang = 'de'""",
+)
+def store_replace(spark, d) -> DataFrame:
+    """A store of all lines; German documents become one chunk, French ones go."""
+    store = ChunkStore.create(_lines(spark, d))
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    store.replace(docs.where("lang = 'de'").select("doc_id", F.lit(0).alias("chunk_index"), F.lit("one").alias("text"), "lang"))
+    store.delete(docs.where("lang = 'fr'"))
+    return store.rows().select("doc_id", "chunk_index", F.md5("text").alias("digest"))
