@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import iso_date, without_thinking
+from ..functions.text import iso_date
 
 
 class Embedder(Protocol):
@@ -67,18 +67,32 @@ def sparse_terms(text: str) -> tuple[list[int], list[float]]:
     return sorted(ids), [ids[k] for k in sorted(ids)]
 
 
+def attempted(call: Callable, *args) -> tuple[object, str | None]:
+    """What a model's call returns and no error, or nothing and the error: whatever a client raises is the failure of one input, not of the batch around it."""
+    try:
+        return call(*args), None
+    except Exception as e:  # clients of models raise anything
+        return None, f"{type(e).__name__}: {e}"
+
+
 def embed_chunks(chunks: DataFrame, embedder: Callable[[], Embedder]) -> DataFrame:
-    """(doc_id, chunk_index, embedding, sparse): batches go to a model that each worker makes once."""
+    """(doc_id, chunk_index, embedding, sparse, error): batches go to a model that each worker makes once.
+
+    A chunk whose embedding raises has the error in place of its vectors; a model that can't be made at all fails the job.
+    """
 
-    @F.pandas_udf("embedding array<float>, indices array<int>, values array<float>")
+    @F.pandas_udf("embedding array<float>, indices array<int>, values array<float>, error string")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = embedder()
         for t in texts:
             sparse = [sparse_terms(x or "") for x in t]
-            yield pd.DataFrame({"embedding": [model.embed_query(x or "") for x in t], "indices": [s[0] for s in sparse], "values": [s[1] for s in sparse]})
+            got = [attempted(model.embed_query, x or "") for x in t]
+            yield pd.DataFrame({"embedding": [v for v, _ in got], "indices": [s[0] for s in sparse], "values": [s[1] for s in sparse], "error": [e for _, e in got]}, dtype=object)
 
     v = F.col("v")
-    return chunks.select("doc_id", "chunk_index", run("text").alias("v")).select("doc_id", "chunk_index", v["embedding"].alias("embedding"), F.struct(v["indices"].alias("indices"), v["values"].alias("values")).alias("sparse"))
+    good = v["error"].isNull()
+    sparse = F.when(good, F.struct(v["indices"].alias("indices"), v["values"].alias("values")))
+    return chunks.select("doc_id", "chunk_index", run("text").alias("v")).select("doc_id", "chunk_index", v["embedding"].alias("embedding"), sparse.alias("sparse"), v["error"].alias("error"))
 
 
 def rerank_scores(query: str, embedder: Callable[[], Embedder]):
@@ -94,25 +108,38 @@ def rerank_scores(query: str, embedder: Callable[[], Embedder]):
 
 
 def read_pages(pages: DataFrame, reader: Callable[[], PageReader], batch: int = 5) -> DataFrame:
-    """(doc_id, text): pages (doc_id, page, image) read in batches and joined in order by a blank line.
+    """(doc_id, text, error): pages (doc_id, page, image) read in batches and joined in order by a blank line.
 
-    A batch is a row, so batches of one document are read in parallel.
+    A batch is a row, so batches of one document are read in parallel. A document of which a batch raises, or gives another
+    number of texts than pages, has no text but the error of its first such batch.
     """
 
-    @F.pandas_udf("array<string>")
-    def run(images: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("texts array<string>, error string")
+    def run(images: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = reader()
+
+        def read(x) -> list[str]:
+            got = list(model(list(x)))
+            if len(got) != len(x):
+                raise ValueError(f"{len(got)} texts of {len(x)} pages")
+            return got
+
         for s in images:
-            yield s.map(lambda x: model(list(x)))
+            yield pd.DataFrame([attempted(read, x) for x in s], columns=["texts", "error"], dtype=object)
 
     grouped = pages.groupBy("doc_id", F.floor(F.col("page") / batch).alias("b")).agg(F.array_sort(F.collect_list(F.struct("page", "image"))).alias("p"))
-    texts = grouped.select("doc_id", "b", run(F.transform("p", lambda x: x["image"])).alias("t"))
-    return texts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("b", "t"))).alias("x")).select("doc_id", F.array_join(F.flatten(F.transform("x", lambda x: x["t"])), "\n\n").alias("text"))
+    texts = grouped.select("doc_id", "b", run(F.transform("p", lambda x: x["image"])).alias("t")).select("doc_id", "b", "t.*")
+    whole = texts.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("b", "texts"))).alias("x"), F.min_by("error", F.when(F.col("error").isNotNull(), F.col("b"))).alias("error"))
+    joined = F.array_join(F.flatten(F.transform("x", lambda x: x["texts"])), "\n\n")
+    return whole.select("doc_id", F.when(F.col("error").isNull(), joined).alias("text"), "error")
 
 
 # --- structured output -----------------------------------------------------------------------------------------------
 
 FIELDS = ("title", "date", "correspondent", "summary")
+THINKING = re.compile(r"<(think|thinking)>.*?</\1>", re.DOTALL | re.IGNORECASE)
+#: Calls of a template model until its answer is JSON.
+TEMPLATE_ATTEMPTS = 5
 
 
 def loose_json(raw: str | None) -> dict:
@@ -144,14 +171,31 @@ def loose_json(raw: str | None) -> dict:
 TEMPLATE_KEYS = {"title_summarizing_subject_clear_concise_descriptive": "title", "document_date": "date", "issuing_organization_or_sender": "correspondent"}
 
 
-def extract_with(extractor: Extractor, text: str, attempts: int = 5, keys: dict[str, str] | None = None) -> dict:
-    """Fields of a text: output is asked for again, up to ``attempts`` times, until it holds an object; keys are renamed."""
-    for i in range(attempts):
-        got = loose_json(extractor.extract(text, i))
-        if got:
-            got = {(keys or {}).get(k, k): v for k, v in got.items()}
-            return {k: None if got.get(k) in (None, "") else str(got[k]) for k in FIELDS}
-    return dict.fromkeys(FIELDS)
+def validated(answer: object) -> dict:
+    """FIELDS of a parsed answer: absent and empty ones are null. An answer that is no object, or whose texts are no texts, raises; dates are judged later, since a bad one costs only itself."""
+    if not isinstance(answer, dict):
+        raise TypeError("the answer is not an object")
+    for k in FIELDS:
+        if k != "date" and not isinstance(answer.get(k), str | None):
+            raise TypeError(f"{k} is not a text")
+    return {k: None if answer.get(k) in (None, "") else str(answer[k]) for k in FIELDS}
+
+
+def extract_with(extractor: Extractor, text: str, attempts: int = 1, keys: dict[str, str] | None = None) -> dict:
+    """Fields of a text: output is asked for again, up to ``attempts`` times, until it is JSON; the last one is then parsed loosely.
+
+    Thinking in the output is left out and an empty answer has no field. With ``keys`` only these are taken, under their new names.
+    """
+    for i in range(max(1, attempts)):
+        raw = THINKING.sub("", extractor.extract(text, i) or "").strip() or "{}"
+        try:
+            got = json.loads(raw)
+            break
+        except ValueError:
+            got = loose_json(raw)
+    if keys and isinstance(got, dict):
+        got = {new: got.get(old) for old, new in keys.items()}
+    return validated(got)
 
 
 class FirstLineExtractor:
@@ -169,17 +213,23 @@ def pick_strategy(model: str) -> dict[str, str] | None:
 
 
 def extract_metadata(docs: DataFrame, extractor: Callable[[], Extractor], model: str = "stand-in") -> DataFrame:
-    """(doc_id, title, date, correspondent, summary): dates that aren't strict ISO days become null."""
+    """(doc_id, title, date, correspondent, summary, error): dates that aren't strict ISO days become null.
+
+    Template models are asked up to TEMPLATE_ATTEMPTS times for JSON, others once. A document whose extraction raises, or whose
+    answer is not an object of texts, has the error and no field.
+    """
     keys = pick_strategy(model)
+    attempts = TEMPLATE_ATTEMPTS if keys else 1
 
-    @F.pandas_udf(", ".join(f"{f} string" for f in FIELDS))
+    @F.pandas_udf(", ".join(f"{f} string" for f in (*FIELDS, "error")))
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         e = extractor()
         for t in texts:
-            yield pd.DataFrame([extract_with(e, x or "", keys=keys) for x in t], columns=list(FIELDS))
+            got = [attempted(extract_with, e, x or "", attempts, keys) for x in t]
+            yield pd.DataFrame([{**(fields or {}), "error": error} for fields, error in got], columns=[*FIELDS, "error"], dtype=object)
 
     m = F.col("m")
-    return docs.select("doc_id", run(without_thinking("text")).alias("m")).select("doc_id", m["title"].alias("title"), iso_date(m["date"]).alias("date"), m["correspondent"].alias("correspondent"), m["summary"].alias("summary"))
+    return docs.select("doc_id", run("text").alias("m")).select("doc_id", m["title"].alias("title"), iso_date(m["date"]).alias("date"), m["correspondent"].alias("correspondent"), m["summary"].alias("summary"), m["error"].alias("error"))
 
 
 def instructions(schema: dict[str, str]) -> str:

@@ -190,6 +190,67 @@ def test_stages(spark):
     assert [(r["doc_id"], r["chunk_index"]) for r in e.index.collect()] == [(2, 0)]
 
 
+def moody():
+    # a local class travels to the workers by value
+    class Moody:
+        """A reader, extractor and embedder that raises on some inputs."""
+
+        def __call__(self, pages):
+            if b"bad" in [bytes(p) for p in pages]:
+                raise RuntimeError("unreadable")
+            return [bytes(p).decode() for p in pages][: 1 if b"short" in [bytes(p) for p in pages] else None]
+
+        def extract(self, text, attempt):
+            if "raise" in text:
+                raise RuntimeError("offline")
+            answers = {"list": "[1]", "number": '{"title": 5}', "day": '{"title": "t", "date": "soon"}', "think": '<think>{"title": "no"}</think>{"title": "yes"}', "nothing": ""}
+            return answers.get(text, '{"title": "fine"}')
+
+        def embed_query(self, text):
+            if "raise" in text:
+                raise RuntimeError("too long")
+            return [1.0]
+
+    return Moody
+
+
+def test_one_document_fails_alone(spark):
+    Moody = moody()
+    texts = ["raise", "list", "number", "day", "think", "nothing", "fine", "raise " * 200, " "]
+    docs = spark.createDataFrame([(i, t, None, None, [2]) for i, t in enumerate(texts)], "doc_id long, text string, title string, created date, tags array<long>")
+    batch = docs.select("doc_id")
+    m = G.metadata_stage(batch, docs, Moody, F.lit("2024-01-01").cast("date"), 2, 3)
+    assert dict(map(tuple, m.results.collect())) == {0: False, 1: False, 2: False, 3: True, 4: True, 5: True, 6: True, 7: False, 8: None}
+    got = {r.doc_id: (r.title, r.tags) for r in m.docs.collect()}
+    assert got == {0: (None, [2]), 1: (None, [2]), 2: (None, [2]), 3: ("t", [3]), 4: ("yes", [3]), 5: (None, [3]), 6: ("fine", [3]), 7: (None, [2]), 8: (None, [2])}
+    assert {r.doc_id: r.error for r in m.errors.collect()}[0] == "RuntimeError: offline" and m.counts().first().asDict() == {"succeeded": 4, "failed": 4}
+
+    pages = spark.createDataFrame([(0, 0, b"a"), (0, 1, b"bad"), (1, 0, b"short"), (1, 1, b"b"), (6, 0, b"c")] + [(5, i, b"bad" if i == 8 else b"d") for i in range(10)], "doc_id long, page int, image binary")
+    o = G.ocr_stage(spark.createDataFrame([(0,), (1,), (5,), (6,), (8,)], "doc_id long"), docs, pages, Moody, 2, 4)
+    assert dict(map(tuple, o.results.collect())) == {0: False, 1: False, 5: False, 6: True, 8: False}
+    assert {r.doc_id: r.error for r in o.errors.collect()} == {0: "RuntimeError: unreadable", 1: "ValueError: 1 texts of 2 pages", 5: "RuntimeError: unreadable", 8: "no pages"}
+    assert {r.doc_id for r in o.docs.where("array_contains(tags, 4)").collect()} == {6} and o.docs.count() == len(texts)
+
+    none = F.lit(None).cast("string")
+    full = docs.select("*", none.alias("correspondent"), none.alias("document_date"), none.alias("summary"))
+    index = spark.createDataFrame([(7, 9, "stale", [0.0]), (6, 9, "stale", [0.0]), (8, 0, "stale", [0.0])], "doc_id long, chunk_index int, text string, embedding array<float>")
+    e = G.embed_stage(spark.createDataFrame([(6,), (7,), (8,), (99,)], "doc_id long"), full, index, Moody, tag=2)
+    assert dict(map(tuple, e.results.collect())) == {6: True, 7: False, 8: True, 99: None}
+    assert sorted((r.doc_id, r.chunk_index) for r in e.index.collect()) == [(6, 0), (7, 9)]
+    assert {r.doc_id: r.tags for r in e.docs.where("doc_id > 5").collect()} == {6: [], 7: [2], 8: []}
+
+
+def test_template_models_are_asked_again(spark):
+    class Late:
+        def extract(self, text, attempt):
+            return "no json" if attempt < 3 else '{"document_date": "2020-02-03", "title": "not a template key"}'
+
+    got = M.extract_metadata(spark.createDataFrame([(1, "x")], "doc_id long, text string"), Late, "NuExtract-2").first()
+    assert str(got.date) == "2020-02-03" and got.title is None and got.error is None
+    once = M.extract_metadata(spark.createDataFrame([(1, "x")], "doc_id long, text string"), Late).first()
+    assert once.date is None and once.error is None
+
+
 PAGES = {"count": 5}
 
 
