@@ -8,8 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.similarity import ratio
+from ..functions.similarity import length_bound, ratio, ratio_bound
 from ..functions.text import blocking_keys, sender_name, shape_conflict, squeeze, token_overlap, tokens
+from ..storage import materialize
 from .components import connected_components
 
 # Least similarity and token overlap to merge and to review.
@@ -54,13 +55,33 @@ def _decision(action: str, confidence: str, *reasons: str) -> Column:
     return F.struct(F.lit(action).alias("decision"), F.lit(confidence).alias("confidence"), F.array(*[F.lit(r) for r in reasons]).alias("reasons"))
 
 
+def _same() -> tuple[Column, Column]:
+    """Whether two names are equal, and whether their tokens are."""
+    same = (F.col("left_norm") == F.col("right_norm")) & (F.col("left_norm") != "")
+    return same, (F.col("left_sorted") == F.col("right_sorted")) & (F.col("left_sorted") != "") & (F.col("overlap") >= 1)
+
+
+def decidable(features: DataFrame) -> DataFrame:
+    """Features, without a similarity yet, of the pairs that ``decide`` can say something about: of names that only their similarity could bring together,
+    those whose overlap, lengths and characters allow it. So only these are compared in Python, and the decisions stay what they were.
+    """
+    can = (F.col("overlap") >= REVIEW[1]) & (length_bound("left_norm", "right_norm") >= REVIEW[0]) & (ratio_bound("left_norm", "right_norm") >= REVIEW[0])
+    same, same_tokens = _same()
+    return features.where(F.col("conflict") | same | same_tokens | can)
+
+
+def decisions_of(rows: DataFrame) -> DataFrame:
+    """``decide`` over all pairs of records that share a blocking key."""
+    kept = decidable(pair_features(candidate_pairs(rows), rows, with_ratio=False))
+    return decide(kept.withColumn("ratio", ratio("left_norm", "right_norm")))
+
+
 def decide(features: DataFrame) -> DataFrame:
     """Features with ``decision``, ``confidence`` and ``reasons``; the first rule that holds decides, and pairs without one are dropped.
 
     A conflict of shapes comes first; empty normalised names never merge.
     """
-    same = (F.col("left_norm") == F.col("right_norm")) & (F.col("left_norm") != "")
-    same_tokens = (F.col("left_sorted") == F.col("right_sorted")) & (F.col("left_sorted") != "") & (F.col("overlap") >= 1)
+    same, same_tokens = _same()
     near = lambda t: (F.col("ratio") >= t[0]) & (F.col("overlap") >= t[1])
     d = (
         F.when(F.col("conflict"), _decision("reject", "high", "entity_shape_conflict"))
@@ -128,9 +149,9 @@ def orphans(senders: DataFrame, docs: DataFrame) -> DataFrame:
 
 def merge_plan(senders: DataFrame, docs: DataFrame, judge: Callable[[str, str], dict] | None = None) -> dict[str, DataFrame]:
     """The parts of a plan: ``pairs`` that got a decision, ``clusters`` and ``orphans``."""
-    rows = records(senders, docs).cache()
-    decisions = decide(pair_features(candidate_pairs(rows), rows))
-    decisions = (judged(decisions, judge) if judge else decisions).cache()
+    rows = materialize(records(senders, docs), "records")
+    decisions = decisions_of(rows)
+    decisions = materialize(judged(decisions, judge) if judge else decisions, "decisions")
     pairs = decisions.select("left", "right", "left_name", "right_name", "decision", "confidence", "reasons", "ratio", "overlap").orderBy(F.lower("left_name"), F.lower("right_name"), "left", "right")
     return {"pairs": pairs, "clusters": clusters(decisions, rows), "orphans": orphans(senders, docs)}
 

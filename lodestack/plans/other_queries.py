@@ -59,8 +59,7 @@ def pair_features(spark, d) -> DataFrame:
 
 @query("q_pair_decisions")
 def pair_decisions(spark, d) -> DataFrame:
-    rows = part_records(spark, d)
-    return E.decide(E.pair_features(E.candidate_pairs(rows), rows)).select("left", "right", "decision", "confidence", F.round("ratio", 6).alias("ratio"))
+    return E.decisions_of(part_records(spark, d)).select("left", "right", "decision", "confidence", F.round("ratio", 6).alias("ratio"))
 
 
 @query("q_near_decisions")

@@ -6,11 +6,13 @@ import json
 import random
 import threading
 import urllib.request
+from collections import Counter
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 
 import pytest
 from pyspark.sql import functions as F
 
+from lodestack.functions.similarity import length_bound, ratio, ratio_bound
 from lodestack.operators import entities as E
 from lodestack.operators import queues as K
 from lodestack.operators import similar_names as N
@@ -46,6 +48,27 @@ def test_near_decisions_are_those_of_all_pairs(names):
     assert near.agg(F.sum("weight")).first()[0] + sum(1 for r in decided.where("left_norm = right_norm").select("left").collect()) == len(want)
 
 
+def test_bounds_change_no_decision(spark, names):
+    """Pairs that can't be decided aren't compared, and all others are decided as before."""
+    every = E.pair_features(E.candidate_pairs(names), names)
+    cols = ["left", "right", "decision", "confidence", "reasons", "ratio", "overlap"]
+    key = lambda df: sorted(map(str, df.select(*cols).collect()))
+    assert key(E.decisions_of(names)) == key(E.decide(every)) and len(key(E.decide(every))) > 50
+    assert E.decidable(every.drop("ratio")).count() < every.count() / 2
+    plan = E.decisions_of(names)._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("ArrowEvalPython") < plan.index("regexp_extract_all")  # the filter lies below the workers
+
+
+def test_ratio_bound_holds(spark):
+    rng = random.Random(8)
+    texts = ["", "a", "aaa", "日本語", "😀😀a", "a\nb", "$.*", "x" * 300, "ab" * 150] + ["".join(rng.choice("abc é😀\n") for _ in range(rng.randrange(12))) for _ in range(40)]
+    pairs = spark.createDataFrame([(a, b) for a in texts for b in texts], "a string, b string")
+    got = pairs.select("a", "b", ratio("a", "b").alias("r"), ratio_bound("a", "b").alias("most"), length_bound("a", "b").alias("len")).collect()
+    for x in got:
+        shared = sum((Counter(x.a) & Counter(x.b)).values())
+        assert x.r <= x.most <= x.len and x.most == (2.0 * shared / (len(x.a) + len(x.b)) if x.a or x.b else 1.0)
+
+
 def test_edges_give_the_same_components(names):
     from lodestack.operators.components import connected_components
 
