@@ -63,7 +63,7 @@ class ChunkStore:
         spark = chunks.sparkSession
         name = name or f"chunk_store_{uuid.uuid4().hex}"
         store = cls(spark, name, span, buckets or int(spark.conf.get("spark.sql.shuffle.partitions")))
-        rows = store._dealt(_one_per_point(chunks))
+        rows = store._dealt(chunks)
         rows.write.format("parquet").option("path", path or new_folder(spark, "chunks")).partitionBy(PART).bucketBy(store.buckets, "doc_id").saveAsTable(name)
         return store
 
@@ -71,9 +71,13 @@ class ChunkStore:
         return F.expr(f"CAST(`{doc_id}` AS BIGINT) div {self.span}")
 
     def _dealt(self, rows: DataFrame) -> DataFrame:
-        """Rows with their part, moved so that a bucket is written by SALTS tasks whatever documents it has."""
+        """One row per point, with its part, moved so that a bucket is written by SALTS tasks whatever documents it has. The one shuffle serves both."""
         bucket, salt = F.pmod(F.hash("doc_id"), F.lit(self.buckets)), F.pmod(F.hash("chunk_index"), F.lit(SALTS))
-        return rows.withColumn(PART, self._part()).repartition(self.buckets * SALTS, bucket, salt)
+        rest = F.struct(F.lit(0).alias(PART), *[F.col(f"`{c}`") for c in rows.columns if c not in POINT])
+        packed = rows.where("doc_id IS NOT NULL AND chunk_index IS NOT NULL").select(*POINT, bucket.alias("_bucket"), salt.alias("_salt"), rest.alias("_rest"))
+        moved = packed.repartition(self.buckets * SALTS, "_bucket", "_salt")
+        best = moved.groupBy("_bucket", "_salt", *POINT).agg(F.max("_rest").alias("_rest"))
+        return best.select(*[F.col(c) if c in POINT else F.col(f"_rest.`{c}`").alias(c) for c in rows.columns], self._part().alias(PART))
 
     def rows(self) -> DataFrame:
         """All chunks."""
@@ -96,17 +100,17 @@ class ChunkStore:
 
     def upsert(self, new: DataFrame) -> list[int]:
         """New chunks in place of those of the same document and position. Returns the parts written."""
-        new = materialize(_one_per_point(self._conformed(new)), "upsert")
-        return self._write(self._parts(new), lambda held: self._and(without_points(held, new), new))
+        new = materialize(self._dealt(self._conformed(new)), "upsert")
+        return self._write(self._parts(new), lambda held: without_points(held, new).unionByName(new))
 
     def replace(self, new: DataFrame, doc_ids: DataFrame | None = None) -> list[int]:
         """All chunks of the documents in ``doc_ids``, by default those of ``new``, go; then ``new`` comes. Returns the parts written."""
-        new = materialize(_one_per_point(self._conformed(new)), "replace")
+        new = materialize(self._dealt(self._conformed(new)), "replace")
         gone = new.select("doc_id").distinct() if doc_ids is None else materialize(doc_ids.select("doc_id").distinct(), "gone")
         parts = sorted({*self._parts(gone), *self._parts(new)})
         # a point that is not of the documents to go is replaced all the same: a point is in the index once
         kept = (lambda held: without_documents(held, gone)) if doc_ids is None else (lambda held: without_points(without_documents(held, gone), new))
-        return self._write(parts, lambda held: self._and(kept(held), new))
+        return self._write(parts, lambda held: kept(held).unionByName(new))
 
     def delete(self, doc_ids: DataFrame) -> list[int]:
         """All chunks of the documents go. Returns the parts written or dropped."""
@@ -119,9 +123,6 @@ class ChunkStore:
         new = materialize(new, "refresh")
         return self._write(self._parts(new), lambda held: refreshed(held, new, columns))
 
-    def _and(self, held: DataFrame, new: DataFrame) -> DataFrame:
-        return held.unionByName(self._dealt(new))
-
     def _write(self, parts: list[int], change: Callable[[DataFrame], DataFrame]) -> list[int]:
         if not parts:
             return parts
@@ -147,15 +148,6 @@ class ChunkStore:
             self.spark.catalog.refreshTable(self.name)
 
 
-def _one_per_point(rows: DataFrame) -> DataFrame:
-    rest = [c for c in rows.columns if c not in POINT]
-    rows = rows.where("doc_id IS NOT NULL AND chunk_index IS NOT NULL")
-    if not rest:
-        return rows.distinct()
-    best = rows.groupBy(*POINT).agg(F.max(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_best"))
-    return best.select(*[F.col(c) if c in POINT else F.col(f"_best.`{c}`").alias(c) for c in rows.columns])
-
-
 def without_points(held: DataFrame, new: DataFrame) -> DataFrame:
     return held.join(new.select(*POINT), list(POINT), "left_anti")
 
