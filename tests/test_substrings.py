@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import random
 
 import pytest
@@ -31,6 +32,28 @@ def test_containing_equals_all_pairs(spark):
     assert "NestedLoop" not in plan and "Cartesian" not in plan
 
 
+@pytest.mark.parametrize("hint", ["broadcast", "merge"])
+def test_containing_never_broadcasts_runs(spark, tmp_path, monkeypatch, hint):
+    """A file of names under the threshold has runs of many times its size: they must not be the side that goes through the driver."""
+    if hint == "merge":
+        monkeypatch.setattr(S, "BROADCAST_BYTES", 0)
+    spark.createDataFrame([(i, f"part {i} of {i % 7}") for i in range(500)], "id long, d string").write.parquet(str(tmp_path / "dim"))
+    dim = spark.read.parquet(str(tmp_path / "dim"))
+    asked = spark.createDataFrame([("part 1",), ("of 6",), ("f",), ("none",)], "l string")
+    got = S.containing(asked, dim, "l", "d")
+    lines = got._jdf.queryExecution().executedPlan().toString().splitlines()
+    depth = lambda x: len(x) - len(x.lstrip(" :+-"))
+    sides = 0
+    for i, line in enumerate(lines):
+        if "BroadcastExchange" in line:
+            below = list(itertools.takewhile(lambda x: depth(x) > depth(line), lines[i + 1 :]))
+            assert not any("Generate" in x for x in below)
+            sides += 1
+    assert sides or hint == "merge"
+    want = {a: sum(a in f"part {i} of {i % 7}" for i in range(500)) for a in ("part 1", "of 6", "f")}
+    assert {r["l"]: r["count"] for r in got.groupBy("l").count().collect()} == want
+
+
 @pytest.mark.parametrize("asked,have", [([], ["abc"]), (["abc"], []), ([], [])])
 def test_containing_of_empty_tables(spark, asked, have):
     got = S.containing(spark.createDataFrame([(a,) for a in asked], "l string"), spark.createDataFrame(list(enumerate(have)), "id long, d string"), "l", "d")
