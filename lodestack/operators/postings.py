@@ -17,6 +17,8 @@ from .retrieval import terms
 
 #: Documents of a bin at most: a term's postings in a bin are one block with one bound.
 BIN = 256
+#: Terms that a worker numbers and sorts at once, and of a bin's documents if it has several.
+TERMS = 500_000
 #: Bytes of a row group, so that a term's blocks can be read without its neighbours'.
 ROW_GROUP = 4 << 20
 #: Bins that are pushed down as a list; more are joined.
@@ -33,36 +35,61 @@ BLOCK = "term string, bin long, n int, max_tf int, min_dl int, docs array<long>,
 PACKED = "term string, bin long, packed array<long>"
 
 
+def _bins(sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows in order of length, and the bin of each place in that order: BIN rows or TERMS terms, at least one row."""
+    order = np.argsort(sizes, kind="stable")
+    place, bin_, rows, terms_ = np.empty(len(order), np.int64), -1, BIN, 0
+    for i, n in enumerate(sizes[order].tolist()):
+        if rows == BIN or terms_ + n > TERMS:
+            bin_, rows, terms_ = bin_ + 1, 0, 0
+        place[i], rows, terms_ = bin_, rows + 1, terms_ + n
+    return order, place
+
+
+def _packed(ids: np.ndarray, t: pa.ListArray, place: np.ndarray, first: int) -> pa.RecordBatch:
+    """Blocks of some whole bins, numbered from ``first``, with the block of ALL of each."""
+    sizes = np.diff(t.offsets.to_numpy())
+    words = t.flatten().dictionary_encode()
+    n = len(words.dictionary)
+    row = np.repeat(np.arange(len(ids)), sizes)
+    key, tf = np.unique(row * n + words.indices.to_numpy(), return_counts=True)
+    # the last term is ALL, with every row
+    row, term, tf = np.append(key // max(n, 1), np.arange(len(ids))), np.append(key % max(n, 1), np.full(len(ids), n)), np.append(tf, np.zeros(len(ids), np.int64))
+    order = np.lexsort((ids[row], place[row], term))
+    row, term = row[order], term[order]
+    bin_, counts = place[row], tf[order].astype(np.int64) << 32 | sizes[row]
+    starts = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (bin_[1:] != bin_[:-1])))
+    ends = np.append(starts[1:], len(term))
+    # a posting's place: twice the postings of the blocks before, and its own in its block
+    at = np.arange(len(term)) + np.repeat(starts, ends - starts)
+    packed = np.empty(2 * len(term), np.int64)
+    packed[at], packed[at + np.repeat(ends - starts, ends - starts)] = ids[row], counts
+    lists = pa.ListArray.from_arrays(np.append(2 * starts, len(packed)).astype(np.int32), pa.array(packed))
+    names = pa.concat_arrays([words.dictionary, pa.array([ALL], words.dictionary.type)])
+    cols = [names.take(pa.array(term[starts])), pa.array(first + bin_[starts]), lists]
+    return pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in PACKED.split(", ")])
+
+
 def _blocks_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Blocks of documents (doc_id, t): those of a batch are put in order of length and cut into bins. The block of ALL comes with each bin."""
+    """Blocks of documents (doc_id, t): those of a batch are put in order of length and cut into bins, and bins are worked on until they have TERMS terms."""
     part, bins = TaskContext.get().partitionId() << 32, 0
     for b in batches:
         if not b.num_rows:
             continue
         ids, t = b.column(0).to_numpy(), b.column(1)
-        sizes = np.diff(t.offsets.to_numpy())
-        words = t.flatten().dictionary_encode()
-        n = len(words.dictionary)
-        place = np.empty(len(ids), np.int64)
-        place[np.argsort(sizes, kind="stable")] = np.arange(len(ids)) // BIN
-        row = np.repeat(np.arange(len(ids)), sizes)
-        key, tf = np.unique(row * n + words.indices.to_numpy(), return_counts=True)
-        # the last term is ALL, with every row
-        row, term, tf = np.append(key // max(n, 1), np.arange(len(ids))), np.append(key % max(n, 1), np.full(len(ids), n)), np.append(tf, np.zeros(len(ids), np.int64))
-        order = np.lexsort((ids[row], place[row], term))
-        row, term = row[order], term[order]
-        bin_, counts = place[row], tf[order].astype(np.int64) << 32 | sizes[row]
-        starts = np.flatnonzero(np.append(True, (term[1:] != term[:-1]) | (bin_[1:] != bin_[:-1])))
-        ends = np.append(starts[1:], len(term))
-        # a posting's place: twice the postings of the blocks before, and its own in its block
-        at = np.arange(len(term)) + np.repeat(starts, ends - starts)
-        packed = np.empty(2 * len(term), np.int64)
-        packed[at], packed[at + np.repeat(ends - starts, ends - starts)] = ids[row], counts
-        lists = pa.ListArray.from_arrays(np.append(2 * starts, len(packed)).astype(np.int32), pa.array(packed))
-        names = pa.concat_arrays([words.dictionary, pa.array([ALL], words.dictionary.type)])
-        cols = [names.take(pa.array(term[starts])), pa.array(part + bins + bin_[starts]), lists]
-        yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in PACKED.split(", ")])
-        bins += int(place.max()) + 1
+        sizes = np.diff(t.offsets.to_numpy()).astype(np.int64)
+        order, place = _bins(sizes)
+        edges = np.append(np.flatnonzero(np.diff(place, prepend=-1)), len(order))
+        upto = np.append(0, np.cumsum(sizes[order]))
+        i = 0
+        while i < len(edges) - 1:
+            # whole bins: as many as have TERMS terms, at least one
+            j = max(i + 1, int(np.searchsorted(upto[edges], upto[edges[i]] + TERMS, "right")) - 1)
+            j = min(j, len(edges) - 1)
+            rows = order[edges[i] : edges[j]]
+            yield _packed(ids[rows], t.take(pa.array(rows)), place[edges[i] : edges[j]] - place[edges[i]], part + bins + int(place[edges[i]]))
+            i = j
+        bins += int(place[-1]) + 1
 
 
 def _unpacked(blocks: DataFrame) -> DataFrame:
