@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -25,6 +25,8 @@ SAMPLE, PROBE_QUERIES, TARGET = 200_000, 256, 0.95
 CELLS, ROUNDS = 65_536, 8
 #: Vectors and queries that are multiplied at once.
 VECTORS, QUERIES = 4_096, 512
+#: Similarities of vectors to centroids that are held at once.
+HELD = 1 << 21
 #: The column that says a vector's cell; rows without a usable vector are in cell NONE, which only a search of all cells reads.
 CELL, NONE = "ivf_cell", -1
 
@@ -41,6 +43,17 @@ def _unit(rows: Sequence, size: int) -> np.ndarray:
     return out
 
 
+def _to_cells(unit: np.ndarray, centroids: np.ndarray, pick: Callable[[np.ndarray, slice], np.ndarray]) -> list[np.ndarray]:
+    """``pick`` of the similarities of some vectors at a time to all centroids, so that memory doesn't grow with the product."""
+    step = max(1, HELD // max(1, len(centroids)))
+    return [pick(unit[i : i + step] @ centroids.T, slice(i, i + step)) for i in range(0, len(unit), step)]
+
+
+def _cells_of(unit: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    """The number of every vector's most similar centroid."""
+    return np.concatenate([np.zeros(0, np.int64), *_to_cells(unit, centroids, lambda s, _: np.argmax(s, axis=1))])
+
+
 @dataclass
 class VectorIndex:
     """Chunks stored by cell under ``folder``. ``probes`` cells are read per search unless said otherwise."""
@@ -95,8 +108,8 @@ class VectorIndex:
 
         @F.pandas_udf("array<long>")
         def probed(v: pd.Series) -> pd.Series:
-            best = np.argsort(-(_unit(list(v), size) @ centroids.T), axis=1, kind="stable")[:, :n]
-            return pd.Series(list(order[best]))
+            best = _to_cells(_unit(list(v), size), centroids, lambda s, _: np.argsort(-s, axis=1, kind="stable")[:, :n].copy())
+            return pd.Series([order[x] for part in best for x in part])
 
         asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("vector"))
         asked = asked.select("query_id", "vector", F.explode(probed("vector")).alias("key"))
@@ -165,7 +178,7 @@ def _store(chunks: DataFrame, folder: str, cells: list[int], centroids: np.ndarr
         unit = _unit(list(v), size)
         if not size:
             return pd.Series(np.full(len(v), NONE, np.int32))
-        return pd.Series(np.where(unit.any(axis=1), order[np.argmax(unit @ centroids.T, axis=1)], NONE).astype(np.int32))
+        return pd.Series(np.where(unit.any(axis=1), order[_cells_of(unit, centroids)], NONE).astype(np.int32))
 
     # ranges of (cell, hash): a large cell is written by several tasks, small ones share one
     rows = chunks.withColumn(CELL, cell(vector)).repartitionByRange(CELL, F.xxhash64(vector))
@@ -210,8 +223,9 @@ def build(chunks: DataFrame, folder: str | None = None, vector: str = "embedding
 
     @F.pandas_udf("int")
     def place(v: pd.Series, cell: pd.Series) -> pd.Series:
-        order = np.argsort(-(_unit(list(v), centroids.shape[1]) @ centroids.T), axis=1, kind="stable")
-        return pd.Series(np.argmax(order == cell.to_numpy()[:, None], axis=1).astype(np.int32) + 1)
+        own = cell.to_numpy()[:, None]
+        at = _to_cells(_unit(list(v), centroids.shape[1]), centroids, lambda s, i: np.argmax(np.argsort(-s, axis=1, kind="stable") == own[i], axis=1))
+        return pd.Series(np.concatenate([np.zeros(0, np.int64), *at]).astype(np.int32) + 1)
 
     at = exact.join(of, "id").join(asked, "query_id").select(place("vector", "cell").alias("probes")).groupBy("probes").count().orderBy("probes").collect()
     total, reached = sum(r["count"] for r in at), 0

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -193,3 +194,40 @@ def test_search_through_indexes(clustered, index, docs, postings):
     for filters in (None, R.Filters(correspondent="3")):
         a, b = (sorted(map(tuple, s.search("w0 w9", filters).collect())) for s in (plain, fast))
         assert a == b and a
+
+
+@pytest.mark.parametrize("most", [1, 700, 10**9])
+def test_blocks_are_made_from_some_bins_at_a_time(monkeypatch, most):
+    """Memory of a worker: what is numbered at once has at most TERMS terms or is one document, and the blocks are those of all documents."""
+    monkeypatch.setattr(P, "TERMS", most)
+    monkeypatch.setattr(P, "BIN", 16)
+    monkeypatch.setattr(P, "TaskContext", type("T", (), {"get": staticmethod(lambda: type("C", (), {"partitionId": lambda self: 3})())}))
+    r = random.Random(4)
+    texts = [[r.choice("abcdefgh") for _ in range(r.choice([0, 1, 5, 60]))] for _ in range(300)] + [["long"] * 2_000]
+    batches = [pa.RecordBatch.from_arrays([pa.array(list(range(i, j))), pa.array(texts[i:j], pa.list_(pa.string()))], ["doc_id", "t"]) for i, j in ((0, 200), (200, 301), (301, 301))]
+    got, bins = [], {}
+    for b in P._blocks_of(iter(batches)):
+        docs = 0
+        for term, bin_, packed in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+            n = len(packed) // 2
+            assert 0 < n <= 16 and bin_ >> 32 == 3
+            for d, x in zip(packed[:n], packed[n:], strict=True):
+                got.append((term, d, x >> 32, x & (1 << 32) - 1))
+                assert bins.setdefault(d, bin_) == bin_
+                docs += term == P.ALL
+        own = {d for d, bin_ in bins.items() if bin_ in set(b.column(1).to_pylist())}
+        assert docs == len(own) and (docs == 1 or sum(len(texts[d]) for d in own) <= most)
+    want = [(t, d, texts[d].count(t), len(texts[d])) for d in range(301) for t in sorted(set(texts[d]))] + [(P.ALL, d, 0, len(texts[d])) for d in range(301)]
+    assert sorted(got) == sorted(want)
+
+
+def test_cells_are_compared_with_some_vectors_at_a_time(monkeypatch):
+    """Similarities held at once are at most HELD, or one vector's."""
+    r = np.random.default_rng(5)
+    unit, centroids = r.normal(size=(101, 4)), r.normal(size=(30, 4))
+    for held in (1, 100, 10**9):
+        monkeypatch.setattr(V, "HELD", held)
+        seen = V._to_cells(unit, centroids, lambda s, _: np.array([s.size]))
+        assert max(int(x[0]) for x in seen) <= max(held, 30) and sum(int(x[0]) for x in seen) == 101 * 30
+        assert (V._cells_of(unit, centroids) == np.argmax(unit @ centroids.T, axis=1)).all()
+    assert len(V._cells_of(unit[:0], centroids)) == 0
