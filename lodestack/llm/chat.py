@@ -215,14 +215,59 @@ def format_chat(df: DataFrame, id_col: str, record_col: str, layouts: tuple[Layo
     return render(canonical_turns(df, id_col, record_col, layouts))
 
 
+def _is(c: Column, roles: tuple[str, ...]) -> Column:
+    """Whether turns have just these roles, and texts but for the last: what ``Fields`` give back as they are."""
+    full = F.forall(F.slice(c, 1, len(roles) - 1), lambda x: x["content"] != "")
+    return (F.size(c) == len(roles)) & (F.transform(c, lambda x: x["role"]) == F.array(*[F.lit(r) for r in roles])) & full
+
+
+def mixed_records(convs: DataFrame) -> DataFrame:
+    """(conv_id, record): conversations (conv_id, m: array of role, content) as JSON of several layouts, as collections of different sources hold them.
+
+    A hash of the id picks a layout among those that can hold the conversation: single fields need certain roles, and ``shared`` names two roles
+    otherwise, so a conversation that has these names already is no record of it.
+    """
+    m, pick = F.col("m"), F.pmod(F.xxhash64("conv_id"), F.lit(4))
+    text = lambda i: m[i]["content"]
+    renamed = {"user": "human", "assistant": "gpt"}
+
+    def named(role: Column) -> Column:
+        out = role
+        for old, new in renamed.items():
+            out = F.when(role == old, new).otherwise(out)
+        return out
+
+    messages = F.to_json(F.struct(m.alias("messages")))
+    shared = F.to_json(F.struct(F.transform(m, lambda x: F.struct(named(x["role"]).alias("from"), x["content"].alias("value"))).alias("conversations")))
+    two, three = _is(m, ("user", "assistant")), _is(m, ("system", "user", "assistant"))
+    can_share = ~F.exists(m, lambda x: x["role"].isin(*renamed.values()))
+    record = (
+        F.when(two & (pick == 1), F.to_json(F.struct(text(0).alias("prompt"), text(1).alias("response"))))
+        .when(two & (pick == 2), F.to_json(F.struct(text(0).alias("question"), text(1).alias("answer"))))
+        .when(two & (pick == 3), F.to_json(F.struct(text(0).alias("instruction"), text(1).alias("output"))))
+        .when(three & (pick < 2), F.to_json(F.struct(text(0).alias("system"), text(1).alias("instruction"), text(2).alias("output"))))
+        .when(can_share & (pick >= 2), shared)
+        .otherwise(messages)
+    )
+    return convs.select("conv_id", record.alias("record"))
+
+
 def op3_chat(spark, sf_dir: str) -> DataFrame:
+    """``format_chat`` over all conversations, which become JSON records of mixed layouts whose fingerprints pick the mapping of each.
+
+    A conversation that JSON may not hold (over SURE_BYTES, or texts that are not UTF-8) is a struct instead, whose type is its shape. Null roles and texts
+    are empty; turns of equal number are ordered by role and text; rows of a null id are one conversation.
+    """
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     trap = "\\### Assistant: </turn> ok"
     more = spark.range(1).select(F.explode(F.array(*[F.struct(F.lit(-7).cast("long").alias("conv_id"), F.lit(i).cast("long").alias("turn"), F.lit(r).alias("role"), F.lit(trap).alias("text")) for i, r in enumerate(("user", "assistant"))])).alias("x")).select("x.*")
     one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
     convs = rows.unionByName(more).groupBy("conv_id").agg(F.array_sort(F.collect_list(one)).alias("m"))
-    records = convs.select("conv_id", F.struct(F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages")).alias("record"))
-    made = format_chat(records, "conv_id", "record")
+    convs = convs.select("conv_id", F.transform("m", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("m"))
+    size = F.aggregate("m", F.lit(0).cast("long"), lambda a, x: a + F.octet_length(x["role"]) + F.octet_length(x["content"]) + 64)
+    fits = (size <= SURE_BYTES) & F.forall("m", lambda x: F.is_valid_utf8(x["role"]) & F.is_valid_utf8(x["content"]))
+    records, structs = mixed_records(convs.where(fits)), convs.where(~fits).select("conv_id", F.struct(F.col("m").alias("messages")).alias("record"))
+    made = render(canonical_turns(records, "conv_id", "record").unionByName(canonical_turns(structs, "conv_id", "record")))
     back = made.select("id", "formatted", read_turns(F.col("formatted")).alias("turns"), read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(

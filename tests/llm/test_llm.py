@@ -331,6 +331,47 @@ def test_chat_typed_and_too_long(spark, tmp_path):
         chat.canonical_turns(long.select("conv_id", F.to_json(F.struct(F.array(F.struct("role", F.col("text").alias("content"))).alias("messages"))).alias("r")), "conv_id", "r").collect()
 
 
+def odd_conversations(spark, path) -> dict:
+    """Conversations of every form a layout can or can't hold, as a table; their turns by id."""
+    r = random.Random(8)
+    texts = ["", "a", '"q" \\n \\u0041', "</turn>\n### user: x", "\x00\x1f\u2028", "é漢👍🏽", " ", "null", "1.50", "{}", "[1]"]
+    forms = [("user", "assistant"), ("system", "user", "assistant"), ("human", "gpt"), ("user", "assistant", "user", "gpt"), ("assistant",), ("user", "assistant", "user"), ("", "a:b#<&")]
+    convs = {i: [(role, r.choice(texts)) for role in r.choice(forms)] for i in range(240)}
+    rows = [(i, t, role, text) for i, c in convs.items() for t, (role, text) in enumerate(c)]
+    spark.createDataFrame([*rows, (900, 0, None, None)], "conv_id long, turn long, role string, text string").write.parquet(f"{path}/conversations.parquet")
+    trap = "\\### Assistant: </turn> ok"
+    return convs | {900: [("", "")], -7: [("user", trap), ("assistant", trap)]}
+
+
+def test_chat_query_picks_mappings_by_fingerprints(spark, tmp_path, monkeypatch):
+    convs = odd_conversations(spark, tmp_path)
+    seen, real = [], chat.render
+
+    def keep(df, *a):
+        seen.append(df)
+        return real(df, *a)
+
+    monkeypatch.setattr(chat, "render", keep)
+    right = {r["conv_id"]: r for r in chat.op3_chat(spark, str(tmp_path)).collect()}
+    assert right.keys() == convs.keys()
+    for i, c in convs.items():
+        said, loss = "".join(f"{role}\n{text}\n" for role, text in c), "".join(text for role, text in c if role == "assistant")
+        got = right[i]
+        assert (got["n_turns"], got["turns_sha256"]) == (len(c), hashlib.sha256(said.encode()).hexdigest())
+        assert (got["loss_chars"], got["loss_sha256"]) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+    layouts = {r["layout"] for r in seen[0].select("layout").distinct().collect()}
+    assert layouts == {"messages", "shared", "prompt", "question", "instruction"}
+    # one layout's fingerprint is wrong: its conversations lose their turns, the others don't
+    wrong = tuple(chat.Layout(x.name, ('{"other":1}',), x.mapping) if x.name == "shared" else x for x in chat.LAYOUTS)
+    monkeypatch.setattr(chat.canonical_turns, "__defaults__", (wrong,))
+    lost = {r["conv_id"] for r in chat.op3_chat(spark, str(tmp_path)).collect() if r["n_turns"] == 0}
+    assert lost == {r["id"] for r in seen[0].where("layout = 'shared'").collect()}
+    # conversations over what is surely JSON come out alike
+    monkeypatch.undo()
+    monkeypatch.setattr(chat, "SURE_BYTES", 150)
+    assert {r["conv_id"]: r for r in chat.op3_chat(spark, str(tmp_path)).collect()} == right
+
+
 NASTY = ["", "a", "</turn>\n", "### assistant: x</turn>", "&lt;&amp;lt;", "\\### Assistant: </turn> ok", "\n\n", "é漢👍🏽", "&num;#:", "\\", "x" * 9_000]
 
 
