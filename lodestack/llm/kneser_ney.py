@@ -8,7 +8,7 @@ aggregations over these tables, and so is scoring (see ``blocks``): the model is
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -124,14 +124,22 @@ def count_chars(texts: DataFrame, order: int) -> DataFrame:
     return texts.select("text").mapInArrow(run, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
+def discounts(counts: DataFrame, *columns: str) -> list[list[float]]:
+    """D1, D2, D3+ of each column of counts, from its counts of counts; a level too small to tell gets 0.5, 1, 1.5."""
+    row = counts.agg(*[F.count_if(F.col(c) == i) for c in columns for i in (1, 2, 3, 4)]).first()
+    out = []
+    for j in range(len(columns)):
+        n = [0, *map(int, row[4 * j : 4 * j + 4])]
+        if not all(n[1:]):
+            out.append([0.5, 1.0, 1.5])
+            continue
+        y = n[1] / (n[1] + 2 * n[2])
+        out.append([min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.1), k - 0.05) for k in (1, 2, 3)])
+    return out
+
+
 def _discount(counts: DataFrame) -> list[float]:
-    """D1, D2, D3+ from the counts of counts; a level too small to tell gets 0.5, 1, 1.5."""
-    row = counts.agg(*[F.count_if(F.col("c") == i) for i in (1, 2, 3, 4)]).first()
-    n = [0, *map(int, row)]
-    if not all(n[1:]):
-        return [0.5, 1.0, 1.5]
-    y = n[1] / (n[1] + 2 * n[2])
-    return [min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.1), k - 0.05) for k in (1, 2, 3)]
+    return discounts(counts, "c")[0]
 
 
 def _off(c: Column, d: list[float]) -> Column:
@@ -191,7 +199,14 @@ def resolve(wanted: DataFrame, m: CharModel) -> DataFrame:
 
 def log_likelihoods(rows: DataFrame, m: CharModel) -> DataFrame:
     """(id, log_likelihood, n_chars) of rows (id, text); the end of a text counts as a character, and null is the empty text."""
-    order = m.order
+    return sums(rows, m.order, lambda wanted: resolve(wanted, m), "log_likelihood")
+
+
+def sums(rows: DataFrame, order: int, found: Callable[[DataFrame], DataFrame], name: str) -> DataFrame:
+    """(id, ``name``, n_chars) of rows (id, text): the sum of the values of a text's n-grams, one for each of its characters and its end.
+
+    ``found`` gives (key, value) for a table of distinct n-grams ``key``.
+    """
 
     def keys(texts: pa.Array) -> pa.Array:
         return strings(block_counts(texts, order)[0])
@@ -223,5 +238,5 @@ def log_likelihoods(rows: DataFrame, m: CharModel) -> DataFrame:
     dealt = keys_of(rows, keys).repartition("key")
     # both columns are read on both sides of the join, so that one shuffle serves both
     wanted = dealt.groupBy("key").agg(F.min("block").alias("_any"))
-    values = dealt.join(resolve(wanted, m), "key").select("block", "key", F.when(F.col("_any").isNotNull(), F.col("value")).alias("value"))
-    return fold(rows, lambda b: b, values, score, "log_likelihood double, n_chars long")
+    values = dealt.join(found(wanted), "key").select("block", "key", F.when(F.col("_any").isNotNull(), F.col("value")).alias("value"))
+    return fold(rows, lambda b: b, values, score, f"{name} double, n_chars long")

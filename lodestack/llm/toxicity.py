@@ -1,8 +1,13 @@
-"""Toxicity from class-conditional Kneser-Ney models of words with shared backoff counts."""
+"""Toxicity from class-conditional Kneser-Ney models of characters with shared backoff counts.
+
+A text's score is the difference of its two whole log-likelihoods, divided by its length and mapped to a probability. The
+word contrasts further down are a plainer measure of single words, which no score uses.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -11,16 +16,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .base import crc_mod, materialize, need, small
-from .blocks import blocks, distinct, fold, keys_of, pack_words, pieces, settled, split, unpack_words
+from .blocks import blocks, distinct, fold, keys_of, pack_words, pieces, settled, split, strings, unpack_words
+from .kneser_ney import block_counts, discounts, sums
+from .kneser_ney import _off as discounted
 
+#: Characters of an n-gram, and of the longest that both classes share.
+ORDER, SHARED = 4, 2
 #: Marks that are no part of a word when they stand around it.
 MARKS = ".,;:!?\"'()[]{}<>*#$%&|-_/\\"
 #: Kneser-Ney discounts of counts 1, 2 and more, which are texts: a word of two texts of a class tells nothing of it yet.
 DISCOUNTS = (1.0, 2.0, 2.0)
-#: Words count from this log ratio on: below it are the differences between any two samples of one language.
+#: Words from this log ratio on are strong: below it are the differences between any two samples of one language.
 EVIDENCE = 1.5
-#: Ratios end where the backoff share of a class does, at about log(1 / (backoff weight * share of the class)), so how near to that end evidence begins is picked on the calibration rows.
-LEVELS = (EVIDENCE, 2.0, 2.5, 3.0)
 #: Added to the number of words under the root, so that few words of a short text don't weigh too much.
 SHORT = 20
 #: Bytes of text that are cut into words at once.
@@ -112,52 +119,139 @@ def ratios(rows: DataFrame, model: DataFrame) -> DataFrame:
     return fold(rows, lambda b: pack_words(b, *_words(b.column(b.num_columns - 1))), values, score, "ratio double, n_words long")
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05) -> np.ndarray:
-    """Constant and weight of a ridge logistic regression by Newton's steps."""
-    x = np.c_[np.ones(len(x)), x]
-    w = np.zeros(x.shape[1])
-    keep = ridge * np.r_[0.01, np.ones(x.shape[1] - 1)]
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        h = (x * (p * (1 - p))[:, None]).T @ x + np.diag(keep)
-        w = w - np.linalg.solve(h, x.T @ (p - y) + keep * w)
-    return w
+def class_grams(labelled: DataFrame, order: int = ORDER) -> DataFrame:
+    """(gram, c0, c1): how often each class has each n-gram of characters, over all rows (cls, text) of every length; a null text is empty."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, b in blocks(batches):
+            for k in (0, 1):
+                codes, n = block_counts(b.filter(pc.equal(b.column(0), k)).column(1), order)
+                got, none = strings(codes), np.zeros(len(n), np.int64)
+                own = [n, none] if k == 0 else [none, n]
+                for i in range(0, len(got), 50_000):
+                    yield pa.RecordBatch.from_arrays([got.slice(i, 50_000), *[pa.array(x[i : i + 50_000]) for x in own]], ["gram", "c0", "c1"])
+
+    got = labelled.select("cls", "text").mapInArrow(run, "gram string, c0 long, c1 long")
+    return got.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
+
+
+@dataclass
+class Classes:
+    """``levels[n]`` (gram, p0, p1): the probability of a gram's last character in each class; ``weights[n]`` (ctx, g0, g1): the backoff weights of
+    contexts of n - 1 characters. Both for n from SHARED + 1 to ``order``: below, the classes have one distribution, so their ratio is 1."""
+
+    order: int
+    levels: dict[int, DataFrame]
+    weights: dict[int, DataFrame]
+
+
+def class_models(top: DataFrame, order: int = ORDER, shared: int = SHARED) -> Classes:
+    """Interpolated modified Kneser-Ney models of both classes from counts (gram, c0, c1).
+
+    Lower orders count distinct characters to the left: of each class down to ``shared`` + 1 characters, of both classes together from there on.
+    Every gram of either class has a probability in both.
+    """
+    counts = {order: top.select("gram", "c0", "c1")}
+    for n in range(order - 1, 0, -1):
+        by = counts[n + 1].groupBy(F.substring("gram", 2, n).alias("gram"))
+        kinds = ("c0", "c1") if n > shared else ("c",)
+        counts[n] = materialize(by.agg(*[(F.count_if(F.col(c) > 0) if n > shared else F.count("*")).alias(c) for c in kinds]), f"tox{n}")
+    base = 1.0 / (counts[1].count() + 1)
+    levels: dict[int, DataFrame] = {}
+    weights: dict[int, DataFrame] = {}
+    for n in range(1, order + 1):
+        ends = ("0", "1") if n > shared else ("",)
+        off = dict(zip(ends, discounts(counts[n], *[f"c{e}" for e in ends]), strict=True))
+        less = {e: discounted(F.col(f"c{e}"), off[e]) for e in ends}
+        rows = counts[n].withColumn("ctx", F.substring("gram", 1, n - 1))
+        by = rows.groupBy("ctx").agg(*[x for e in ends for x in (F.sum(f"c{e}").alias(f"t{e}"), F.sum(less[e]).alias(f"o{e}"))])
+        # a context that a class has not seen leaves all to the shorter one
+        g = {e: F.when(F.col(f"t{e}") > 0, F.col(f"o{e}") / F.col(f"t{e}")).otherwise(1.0).alias(f"g{e}") for e in ends}
+        weights[n] = materialize(by.select("ctx", *[x for e in ends for x in (f"t{e}", g[e])]), f"toxw{n}")
+        rows = rows.join(weights[n], "ctx")
+        if n == 1:
+            rows = rows.withColumn("q", F.lit(base))
+        else:
+            rest = levels[n - 1].withColumnRenamed("gram", "rest")
+            rest = rest.withColumnsRenamed({f"p{e}": f"q{e}" for e in ("", "0", "1")})
+            rows = rows.withColumn("rest", F.substring("gram", 2, n - 1)).join(rest, "rest")
+        q = {e: f"q{e}" if n > shared + 1 else "q" for e in ends}
+        p = {e: F.when(F.col(f"t{e}") > 0, (F.col(f"c{e}") - less[e]) / F.col(f"t{e}")).otherwise(0.0) + F.col(f"g{e}") * F.col(q[e]) for e in ends}
+        levels[n] = materialize(rows.select("gram", *[p[e].alias(f"p{e}") for e in ends]), f"toxp{n}")
+    own = range(shared + 1, order + 1)
+    return Classes(order, {n: levels[n] for n in own}, {n: weights[n].select("ctx", "g0", "g1") for n in own})
+
+
+def log_ratios(wanted: DataFrame, m: Classes) -> DataFrame:
+    """(key, value): log p(last character | the others, toxic) less that of the other class, for every distinct n-gram ``key``."""
+    rows, value = wanted, F.lit(0.0)
+    for n in m.levels:
+        at = m.order - n + 1
+        level = m.levels[n].select(F.col("gram").alias(f"_g{n}"), F.log(F.col("p1") / F.col("p0")).alias(f"_v{n}"))
+        weight = m.weights[n].select(F.col("ctx").alias(f"_c{n}"), F.log(F.col("g1") / F.col("g0")).alias(f"_b{n}"))
+        rows = rows.join(level, F.substring("key", at, n) == F.col(f"_g{n}"), "left").drop(f"_g{n}")
+        rows = rows.join(weight, F.substring("key", at, n - 1) == F.col(f"_c{n}"), "left").drop(f"_c{n}")
+        value = F.coalesce(F.col(f"_v{n}"), F.coalesce(f"_b{n}", F.lit(0.0)) + value)
+    return rows.select(*wanted.columns, value.cast("float").alias("value"))
+
+
+def length_ratios(rows: DataFrame, m: Classes) -> DataFrame:
+    """(id, ratio, n_chars) of rows (id, text): the log-likelihood of the whole text in the toxic class less that in the other, divided by its length.
+
+    Every character counts and the end of the text as one; null is the empty text. The two log-likelihoods are summed as one difference, since both ask for the same n-grams.
+    """
+    got = sums(rows, m.order, lambda wanted: log_ratios(wanted, m), "ratio")
+    return got.select("id", (F.col("ratio") / F.col("n_chars")).alias("ratio"), "n_chars")
+
+
+def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[list[float], list[float]]:
+    """Ends of the runs of equal probability in the rising step function that fits the labels best, and that probability at each end."""
+    at, back = np.unique(x, return_inverse=True)
+    runs: list[list[float]] = []
+    for v, hits, n in zip(at.tolist(), np.bincount(back, y).tolist(), np.bincount(back).tolist(), strict=True):
+        runs.append([v, v, hits, n])
+        while len(runs) > 1 and runs[-2][2] * runs[-1][3] >= runs[-1][2] * runs[-2][3]:
+            _, end, hits, n = runs.pop()
+            runs[-1] = [runs[-1][0], end, runs[-1][2] + hits, runs[-1][3] + n]
+    return [e for r in runs for e in r[:2]], [r[2] / r[3] for r in runs for _ in (0, 1)]
+
+
+def _between(x: Column, at: list[float], p: list[float]) -> Column:
+    """Straight lines between the points (at, p), and level beyond them."""
+    xs, ps = F.array(*map(F.lit, at)), F.array(*map(F.lit, p))
+    i = F.size(F.filter(xs, lambda v: v <= x))
+    lo, hi = F.greatest(i, F.lit(1)), F.least(i + 1, F.lit(len(at)))
+    x0, x1, p0, p1 = F.element_at(xs, lo), F.element_at(xs, hi), F.element_at(ps, lo), F.element_at(ps, hi)
+    return F.when((i > 0) & (x1 > x0), p0 + (p1 - p0) * (x - x0) / (x1 - x0)).otherwise(p0)
 
 
 def score_toxicity(docs: DataFrame, labelled: DataFrame, calibrate: Column, id_col: str = "doc_id", text_col: str = "text", key_col: str = "doc_id") -> DataFrame:
-    """(id, score, ratio, n_words) for every row of ``docs``.
+    """(id, score, ratio, n_chars) for every row of ``docs``.
 
     ``labelled`` has (text, toxic 0/1, an id ``key_col``, and what ``calibrate`` reads): rows where ``calibrate`` is false or null
-    give the counts, all of them; the others, CALIBRATION_ROWS at most, picked by a hash of id and text, pick the level of LEVELS
-    with the least log loss and fit the map from the ratio to a probability. Rows with null labels are ignored; null, empty and wordless texts have ratio 0 and get the
-    score that follows; repeated rows are scored alike. With no label of one class the score is the share of toxic labels, 0 without labels.
+    give the counts, all of them; the others, CALIBRATION_ROWS at most, picked by a hash of id and text, fit the rising map
+    from the ratio to a probability. Rows with null labels are ignored; null and empty texts are scored by their end alone; repeated
+    rows are scored alike. If the rows for either purpose lack a class, the score is the share of toxic labels, 0 without labels.
     """
     need(docs, id_col, text_col)
     need(labelled, text_col, "toxic", key_col)
     rows = labelled.where("toxic IS NOT NULL").select(F.col(text_col).cast("string").alias("text"), (F.col("toxic") > 0).cast("int").alias("cls"), F.coalesce(calibrate, F.lit(False)).alias("held"), F.xxhash64(key_col, text_col).alias("pick"))
-    model = materialize(contrast(materialize(class_counts(rows.where("NOT held")), "toxic")).where(F.col("value") >= EVIDENCE), "contrast")
+    top = materialize(class_grams(rows.where("NOT held")), "toxic")
+    model = class_models(top)
     held = rows.where("held")
     total = held.count()
     if total > CALIBRATION_ROWS:  # a tenth more by their hash, spread over the table, and of these the least hashes
         held = held.where(F.pmod("pick", F.lit(1 << 40)) < int(1.1 * CALIBRATION_ROWS / total * (1 << 40)))
     sample = materialize(held.select(F.struct("cls", "pick").alias("id"), "text").orderBy(F.pmod("pick", F.lit(1 << 40)), "pick").limit(CALIBRATION_ROWS), "calibration")
-    fits = []
-    for level in LEVELS:
-        made = ratios(sample, model.where(F.col("value") >= level)).select("id.cls", "ratio").toPandas()
-        x, y = made[["ratio"]].to_numpy(), made["cls"].to_numpy(float)
-        if not 0 < y.sum() < len(y):
-            break
-        w = _logistic(x, y)
-        off = np.where(y > 0, -1.0, 1.0) * (w[0] + x[:, 0] * w[1])
-        fits.append((float(np.logaddexp(0.0, off).mean()), level, w))
-    if fits:
-        _, level, w = min(fits, key=lambda f: f[:2])
+    made = length_ratios(sample, model).select("id.cls", "ratio").toPandas()
+    x, y = made["ratio"].to_numpy(), made["cls"].to_numpy(float)
+    seen = top.agg(F.max("c0"), F.max("c1")).first()
+    if 0 < y.sum() < len(y) and all(seen):
+        at, p = isotonic(x, y)
     else:
-        share_of = rows.agg(F.avg("cls")).first()[0] or 0.0
-        level, w = EVIDENCE, np.array([np.log((share_of + 1e-9) / (1 - share_of + 1e-9)), 0.0])
-    got = ratios(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), model.where(F.col("value") >= level))
-    z = F.lit(float(w[0])) + F.col("ratio") * float(w[1])
-    return got.select("id", (1 / (1 + F.exp(-z))).alias("score"), "ratio", "n_words")
+        at, p = [0.0], [float(rows.agg(F.avg("cls")).first()[0] or 0.0)]
+    got = length_ratios(docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")), model)
+    return got.select("id", _between(F.col("ratio"), at, p).alias("score"), "ratio", "n_chars")
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -173,4 +267,4 @@ def op4_toxicity(spark, sf_dir: str) -> DataFrame:
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     learned = labelled_texts(docs, labels.where(crc_mod("doc_id", 3) != 1))
     got = score_toxicity(docs, learned, crc_mod("doc_id", 5) == 0)
-    return got.select(F.col("id").alias("doc_id"), F.coalesce(crc_mod("id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "ratio", "n_words")
+    return got.select(F.col("id").alias("doc_id"), F.coalesce(crc_mod("id", 3) == 1, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "ratio", "n_chars")
