@@ -89,3 +89,16 @@ def test_rising_map(spark):
     asked = [-5.0, 0.1, 0.15, 0.25, 0.35, 0.5, 9.0]
     rows = spark.createDataFrame([(v,) for v in asked], "x double").select("x", toxicity._between(F.col("x"), at, p).alias("p")).collect()
     assert [r["p"] for r in rows] == pytest.approx(np.interp(asked, at, p).tolist())
+
+
+def test_pipeline_stage_weighs_whole_texts(spark, tmp_path):
+    """The stage's verdict is that of whole likelihoods: one toxic word that fills a text is enough, ordinary texts stay, and null ids, null texts and repeated rows are kept or go alike."""
+    import corpus_pipeline
+
+    ordinary = lambda: " ".join(w + str(rng.randrange(40)) for w in text(40).split())
+    rows = [(i, ordinary() + "".join(f" grox{c}" for c in rng.sample("abcdefgh", 3 if i % 4 == 0 else 0))) for i in range(400)]
+    asked = [(1000, "groxa " * 40), (1000, "groxa " * 40), (None, ordinary()), (1001, ordinary()), (1002, ordinary())]
+    spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    kept = [r["doc_id"] for r in corpus_pipeline.toxic(spark, spark.createDataFrame(rows + asked, "doc_id long, text string"), str(tmp_path)).collect()]
+    assert 1000 not in kept and {None, 1001, 1002} <= set(kept)
+    assert sum(i % 4 != 0 for i in kept if i is not None and i < 1000) >= 290
