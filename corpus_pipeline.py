@@ -33,7 +33,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score under TOXIC, by models of the labelled documents among those left; null and empty texts score as low as texts without a toxic word, repeated rows alike."""
+    """Documents that score under TOXIC, by models of the labelled documents among those left; null and empty texts are scored by their end alone, repeated rows alike."""
     learned = toxicity.labelled_texts(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     rows = _keyed(docs)
     with arrow_rows(spark, BATCH):
@@ -64,9 +64,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text."""
+    """Token ids of every text, null and empty ones too; repeated rows are encoded alike. Written here, so that the batches of this stage are the pipeline's and not the caller's."""
     got = bpe.encode(docs, public_tokenizers.path("word_bpe_49k.json"), keep=False)
-    return got.select(F.col("id").alias("doc_id"), "n_tokens", "ids")
+    with arrow_rows(spark, BATCH):
+        return materialize(got.select(F.col("id").alias("doc_id"), "n_tokens", "ids"), "tokens")
 
 
 STAGES = [("quality rules", quality), ("toxicity", toxic), ("near copies", near_copies), ("mixing", mix), ("tokens", tokens)]

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
 from ..storage import materialize, new_folder, shared_dir
 
-__all__ = ["all_of", "arrow_rows", "connected_components", "crc_mod", "materialize", "need", "new_folder", "shared_dir", "small"]
+__all__ = ["all_of", "arrow_rows", "connected_components", "crc_mod", "give_back", "materialize", "need", "new_folder", "shared_dir", "small", "tidy"]
 
 
 def need(df: DataFrame, *columns: str) -> None:
@@ -50,3 +52,24 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(name, before)
+
+
+def give_back() -> None:
+    """Return freed memory of this process to the system: workers wait for their next task with what they last held, beside the executor's own memory."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, and then ``give_back`` once it has ended and dropped what it held."""
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return whole

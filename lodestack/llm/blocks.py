@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .base import materialize
+from .base import give_back, materialize, tidy
 
 #: Bytes of text in a block, and one text more at most.
 BLOCK = 32 << 20
@@ -142,7 +142,7 @@ def keys_of(rows: DataFrame, keys: Callable[[pa.Array], pa.Array]) -> DataFrame:
                 part = got.slice(at, 50_000)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), label)), part], ["block", "key"])
 
-    return rows.select("text").mapInArrow(run, "block long, key string")
+    return rows.select("text").mapInArrow(tidy(run), "block long, key string")
 
 
 def fold(rows: DataFrame, pack: Callable[[pa.RecordBatch], pa.RecordBatch], values: DataFrame, score: Callable, schema: str) -> DataFrame:
@@ -159,6 +159,12 @@ def fold(rows: DataFrame, pack: Callable[[pa.RecordBatch], pa.RecordBatch], valu
             yield pa.RecordBatch.from_arrays([pa.array([label]), pa.array([to_bytes(pack(b))], pa.binary())], ["block", "packed"])
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
+        try:
+            return made(left, right)
+        finally:
+            give_back()
+
+    def made(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             raise ValueError("the rows were dealt out otherwise in a second reading: write them as a table first")
         key, value = (pa.concat_arrays(right.column(c).chunks) if right.num_rows else pa.array([], t) for c, t in (("key", pa.string()), ("value", pa.float64())))
@@ -168,5 +174,5 @@ def fold(rows: DataFrame, pack: Callable[[pa.RecordBatch], pa.RecordBatch], valu
             parts.append(pa.RecordBatch.from_arrays([b.column(0).cast(plain), *map(pa.array, score(b, key, value.to_numpy(zero_copy_only=False)))], names))
         return pa.Table.from_batches(parts)
 
-    packed = rows.select("id", "text").mapInArrow(run, "block long, packed binary")
+    packed = rows.select("id", "text").mapInArrow(tidy(run), "block long, packed binary")
     return packed.groupBy("block").cogroup(values.groupBy("block")).applyInArrow(meet, f"id {kind}, {schema}")

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import need
+from .base import need, tidy
 
 #: White space for every step of the tokenizer: a text may be cut there without changing any token.
 CUT = re.compile("[ \t\n\r]+")
@@ -23,8 +23,8 @@ ENDING = re.compile(r"([a-zß-öø-ÿ]{1,512})([.,;:!?]{1,8})")
 #: Words over this many characters are taken apart into pretokens; pretokens over LEAF are encoded in pieces.
 LONG = 4_096
 LEAF = 1_024
-#: Remembered words; the memory is dropped whole when full, so it stays bounded.
-REMEMBER = 500_000
+#: Remembered words, and those of a task that is to leave nothing behind; the memory is dropped whole when full, so it stays bounded.
+REMEMBER, FEW = 500_000, 100_000
 
 
 class Codec:
@@ -155,16 +155,17 @@ class Codec:
     def _put(self, word: str, ids: list[int]) -> None:
         self.known[word] = (len(ids), " ".join(map(str, ids)), " ".join(map(self.piece, ids))) if self.texts else (len(ids), np.array(ids, np.int32).tobytes())
 
-    def encode(self, texts: list[str | None]) -> Iterator[list[tuple]]:
+    def encode(self, texts: list[str | None], most: int | None = None) -> Iterator[list[tuple]]:
         """The words of each text, each with its number of tokens and, with ``texts``, ids in decimal and the decoded text, else ids as 32-bit numbers."""
         split = [[w for w in CUT.split(self._plain(t)) if w] if t else [] for t in texts]
-        if len(self.known) > REMEMBER:
+        most = most or REMEMBER
+        if len(self.known) > most:
             self.known.clear()
         at = 0
         while at < len(split):
             # learn the new words of as many texts as fit the memory
             upto, new = at, set()
-            while upto < len(split) and len(new) < REMEMBER:
+            while upto < len(split) and len(new) < most:
                 new.update(w for w in split[upto] if w not in self.known)
                 upto += 1
             self._learn(new)
@@ -172,7 +173,7 @@ class Codec:
             for words in split[at:upto]:
                 yield [x for x in map(get, words) if x[0]]
             at = upto
-            if at < len(split) and len(self.known) > REMEMBER:
+            if at < len(split) and len(self.known) > most:
                 self.known.clear()
 
 
@@ -192,7 +193,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 
     ``path`` is a tokenizers file that each worker can open. Null is the empty text: no tokens, empty texts.
     Decoding gives what the file's decoder gives; without one, tokens joined by a space. Ids may be null or repeat.
-    With ``keep`` a worker remembers words from task to task, some 400 bytes each; without, each task learns its own, which
+    With ``keep`` a worker remembers words from task to task, some 400 bytes each; without, each task learns its own, FEW at a time, which
     leaves that memory to the stages around it. Results are the same.
     """
     need(docs, id_col, text_col)
@@ -206,7 +207,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             for at in range(0, batch.num_rows, 512):  # bounds what is held decoded
                 b = batch.slice(at, 512)
                 n, out = [], [[], []]
-                for words in c.encode(b.column(1).to_pylist()):
+                for words in c.encode(b.column(1).to_pylist(), None if keep else FEW):
                     n.append(sum([w[0] for w in words]))
                     if digests:
                         out[0].append(sha(words, 1))
@@ -222,7 +223,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             c.known.clear()
 
     out = "ids_sha256 string, decoded_sha256 string" if digests else "ids array<int>"
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"id {kind}, n_tokens long, {out}")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidy(run), f"id {kind}, n_tokens long, {out}")
 
 
 def decode(df: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import materialize
+from .base import materialize, tidy
 from .blocks import blocks, fold, keys_of, pieces, settled, strings
 
 #: Fixed marks before and after a text; in texts they become another control character.
@@ -121,7 +121,7 @@ def count_chars(texts: DataFrame, order: int) -> DataFrame:
             for i in range(0, len(got), 50_000):
                 yield pa.RecordBatch.from_arrays([got.slice(i, 50_000), pa.array(n[i : i + 50_000])], ["gram", "c"])
 
-    return texts.select("text").mapInArrow(run, "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
+    return texts.select("text").mapInArrow(tidy(run), "gram string, c long").groupBy("gram").agg(F.sum("c").alias("c"))
 
 
 def discounts(counts: DataFrame, *columns: str) -> list[list[float]]:

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .base import connected_components, materialize, need
+from .base import connected_components, materialize, need, tidy
 
 #: A run of a block key longer than this is split once more by the bits it does not share.
 RUN_CAP = 16_384
@@ -48,7 +48,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], ["id", "fp"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, fp long")
+    return rows.mapInArrow(tidy(run), f"id {kind}, fp long")
 
 
 def block_masks(distance: int, blocks: int) -> list[int]:

@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .base import crc_mod, materialize, need, small
+from .base import crc_mod, materialize, need, small, tidy
 from .blocks import blocks, distinct, fold, keys_of, pack_words, pieces, settled, split, strings, unpack_words
 from .kneser_ney import block_counts, discounts, sums
 from .kneser_ney import _off as discounted
@@ -131,7 +131,7 @@ def class_grams(labelled: DataFrame, order: int = ORDER) -> DataFrame:
                 for i in range(0, len(got), 50_000):
                     yield pa.RecordBatch.from_arrays([got.slice(i, 50_000), *[pa.array(x[i : i + 50_000]) for x in own]], ["gram", "c0", "c1"])
 
-    got = labelled.select("cls", "text").mapInArrow(run, "gram string, c0 long, c1 long")
+    got = labelled.select("cls", "text").mapInArrow(tidy(run), "gram string, c0 long, c1 long")
     return got.groupBy("gram").agg(F.sum("c0").alias("c0"), F.sum("c1").alias("c1"))
 
 
