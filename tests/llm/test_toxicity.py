@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -102,3 +103,25 @@ def test_pipeline_stage_weighs_whole_texts(spark, tmp_path):
     kept = [r["doc_id"] for r in corpus_pipeline.toxic(spark, spark.createDataFrame(rows + asked, "doc_id long, text string"), str(tmp_path)).collect()]
     assert 1000 not in kept and {None, 1001, 1002} <= set(kept)
     assert sum(i % 4 != 0 for i in kept if i is not None and i < 1000) >= 290
+
+
+def test_pipeline_stage_by_definition(spark, tmp_path):
+    """The rows that the stage takes out are those of both whole log-likelihoods with shared backoff counts, over the length, through the rising map: counts and map from the rows left, by definition."""
+    import corpus_pipeline
+
+    rows = [(i, text(12, "grox vile" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(90)]
+    asked = [(1000 + i, t) for i, t in enumerate(["grox vile grox", "the old river", "", None, text(30), text(30, "grox"), "zzz qé"])]
+    spark.createDataFrame([(i, y) for i, _, y in rows] + [(7000, 1)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + asked, "doc_id long, text string")
+    kept = {r["doc_id"] for r in corpus_pipeline.toxic(spark, docs, str(tmp_path)).collect()}
+    order, held = toxicity.ORDER, lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    p = brute([(y, t) for i, t, y in rows if not held(i)], order, toxicity.SHARED)
+
+    def ratio(t: str | None) -> float:
+        return sum(np.log(p(g, 1)) - np.log(p(g, 0)) for g in ngrams(t, order)) / (len(t or "") + 1)
+
+    at, level = toxicity.isotonic(np.array([ratio(t) for i, t, _ in rows if held(i)]), np.array([float(y) for i, _, y in rows if held(i)]))
+    score = {i: float(np.interp(ratio(t), at, level)) for i, t in [(i, t) for i, t, _ in rows] + asked}
+    sure = {i for i, s in score.items() if abs(s - corpus_pipeline.TOXIC) > 0.01}
+    assert {i for i in sure if score[i] < corpus_pipeline.TOXIC} == kept & sure
+    assert len(sure) > 80 and 10 < len(sure - kept) < 60 and 1000 not in kept
