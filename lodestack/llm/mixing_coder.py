@@ -2,8 +2,7 @@
 
 A block starts from its segment's prior and learns as it goes: order 0 is a table of counts, orders 1 and 2 each remember the id that last followed
 their context and how often it was right. The three are mixed, in the logistic domain and with weights learned on the way, into the chance of
-either remembered id; other ids are coded by the counts. State is in integers, and the only floats are quotients, which are the same everywhere,
-so every machine decodes alike.
+either remembered id; other ids are coded by the counts. State is in integers, so every machine decodes alike.
 
 Blocks don't depend on each other, so numpy steps through them side by side: one id of every block per step.
 """
@@ -16,6 +15,8 @@ import numpy as np
 LANES, CELLS = 1_024, 6_000_000
 #: Slots a block has for each of the contexts of orders 1 and 2, steps between two sums of the counts and between two lessons of the weights, and what an id adds to its count.
 SLOTS, EPOCH, LESSON, GAIN = 2_048, 256, 4, 16
+#: Sums of a block that a number is compared with at once, at most 256.
+COARSE = 128
 #: Bits of a probability. The range has up to TOP bits; while it has BOTTOM or fewer, a word of 16 bits is shifted out.
 BITS, TOP, BOTTOM = 16, 62, 46
 ONE = 1 << BITS
@@ -39,8 +40,11 @@ def prior_of(ids: np.ndarray, n: int) -> np.ndarray:
 class Model:
     """State of ``lanes`` blocks over ids 0 to len(prior) - 1."""
 
-    def __init__(self, prior: np.ndarray, lanes: int) -> None:
+    def __init__(self, prior: np.ndarray, lanes: int, steps: int) -> None:
         self.d, self.lanes, self.at = len(prior), lanes, 0
+        # narrow sums are faster; both kinds give the same bytes
+        narrow = lanes * (int(prior.sum()) + GAIN * steps) < 1 << 31
+        self.room = np.zeros(1 + lanes * self.d, np.int32 if narrow else np.int64)
         self.counts = np.tile(prior.astype(np.int32), lanes)
         self.slots = np.zeros(2 * lanes * SLOTS, np.int32)
         self.right = np.full(2 * lanes * 16, ONE // 8, np.int32)
@@ -66,17 +70,16 @@ class Model:
 
     def _sums(self, sums: np.ndarray) -> None:
         """Sums of the counts through all blocks, from 0: one increasing array, in which every block is a stretch."""
-        self.sums = sums
+        self.sums, self.coarse = sums, None
         ends = sums[:: self.d]
-        self.before, self.total = ends[:-1], np.diff(ends)
+        self.before, self.total = ends[:-1].astype(np.int64), np.diff(ends).astype(np.int64)
         self.log_total = LOGS[np.minimum(self.total >> 4, len(LOGS) - 1)] + LOGS[16]
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """What orders 2 and 1 remember (2, n), and the mixed chance of either in 1/ONE; 0 where it remembers nothing or the same."""
         if self.at % EPOCH == 0:
-            sums = np.empty(1 + self.n * self.d, np.int64)
-            sums[0] = 0
-            np.cumsum(self.counts[: self.n * self.d], dtype=np.int64, out=sums[1:])
+            sums = self.room[: 1 + self.n * self.d]
+            np.cumsum(self.counts[: self.n * self.d], dtype=sums.dtype, out=sums[1:])
             self._sums(sums)
         a, b = self.last
         h = a * 0x9E3779B1
@@ -108,15 +111,23 @@ class Model:
         self.inputs, self.p = (own, other, share), SQUASH[dot]
         return self.known, self.p
 
-    def find(self, want: np.ndarray) -> np.ndarray:
-        """The cells whose sums just pass these numbers, one in each block, by halving."""
-        cell = self.base.copy()
-        step = 1 << max(0, self.d - 1).bit_length()
-        top = self.base + self.d
+    def find(self, want: np.ndarray, lanes: np.ndarray) -> np.ndarray:
+        """The cells whose sums just pass these numbers, one in each of these blocks: of some sums all are compared, then by halving."""
+        stride = -(-self.d // COARSE)
+        if self.coarse is None:
+            self.coarse = self.sums[self.base + np.arange(stride, self.d, stride)[:, None]]
+        cell = self.base[lanes]
+        top = cell + (self.d - 1)
+        all_lanes = np.zeros(self.n, self.sums.dtype)
+        all_lanes[lanes] = want
+        cell += stride * np.add.reduce((self.coarse <= all_lanes).view(np.uint8), axis=0, dtype=np.uint8)[lanes].astype(np.int64)
+        step = 1 << max(0, stride - 1).bit_length()
         while step := step >> 1:
             ahead = np.minimum(cell + step, top)
-            cell = np.where(self.sums[ahead] <= want, ahead, cell)
-        return np.minimum(cell, top - 1)
+            ahead -= cell
+            ahead *= self.sums[cell + ahead] <= want
+            cell += ahead
+        return cell
 
     def update(self, ids: np.ndarray, cell: np.ndarray) -> None:
         """Learn the ids of this step, which have these cells among the counts."""
@@ -148,11 +159,6 @@ def _steps(lengths: np.ndarray) -> list[tuple[int, int]]:
     return [(last, len(lengths))] + ([(full, len(lengths) - 1)] if full > last else [])
 
 
-def _unit(span: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """About span / total, never more: the quotient of floats, which is the same on all machines, less one for its rounding."""
-    return (span / total).astype(np.int64) - 1
-
-
 def encode(ids: np.ndarray, lengths: np.ndarray, prior: np.ndarray) -> list[bytes]:
     """A byte string per block of ``lengths`` ids each, the last one at most as long as the others."""
     ends = np.cumsum(lengths)
@@ -167,7 +173,7 @@ def encode(ids: np.ndarray, lengths: np.ndarray, prior: np.ndarray) -> list[byte
 
 def _encode(steps: np.ndarray, lengths: np.ndarray, prior: np.ndarray) -> list[bytes]:
     n = len(lengths)
-    m = Model(prior, n)
+    m = Model(prior, n, len(steps))
     low, span = np.zeros(n, np.int64), np.full(n, 1 << TOP, np.int64)
     words, used = np.zeros((len(steps) // 2 + 4 * EPOCH, n), np.uint32), np.zeros(n, np.int64)
     t = 0
@@ -191,9 +197,10 @@ def _encode(steps: np.ndarray, lengths: np.ndarray, prior: np.ndarray) -> list[b
             np.multiply(r, width, out=sp)
             cell = m.base + now
             below = m.sums[cell]
-            unit = _unit(sp, m.total)
-            np.copyto(sp, unit * (m.sums[cell + 1] - below), where=~either)
-            lo += unit * ((below - m.before) * ~either)
+            k = np.flatnonzero(~either)
+            unit, below = sp[k] // m.total[k], below[k]
+            sp[k] = unit * (m.sums[cell[k] + 1] - below)
+            lo[k] += unit * (below - m.before[k])
             while len(at := np.flatnonzero(sp < 1 << BOTTOM)):
                 part = lo[at]
                 words[used[at], at] = part >> BOTTOM  # bit 16 is a carry into the word before
@@ -222,7 +229,7 @@ def decode(blocks: list[bytes], lengths: np.ndarray, prior: np.ndarray) -> np.nd
 
 def _decode(blocks: list[bytes], lengths: np.ndarray, prior: np.ndarray) -> np.ndarray:
     n = len(lengths)
-    m = Model(prior, n)
+    m = Model(prior, n, int(lengths[0]))
     sizes = np.array([len(b) // 2 for b in blocks])
     words = np.concatenate([np.frombuffer(b"".join(blocks), "<u2").astype(np.int64), np.zeros(8, np.int64)])
     at = np.concatenate([[0], np.cumsum(sizes)])[:-1]
@@ -247,19 +254,18 @@ def _decode(blocks: list[bytes], lengths: np.ndarray, prior: np.ndarray) -> np.n
             start = np.where(either, ~hit * a, b)
             co -= start
             np.copyto(sp, np.where(hit, a, np.where(either, b - a, (r << BITS) - b)))
-            unit = _unit(sp, m.total)
-            want = (co / unit).astype(np.int64)
-            want -= want * unit > co  # the float quotient may be off by one
-            want += (want + 1) * unit <= co
-            np.minimum(want, m.total - 1, out=want)
-            want += m.before
-            cell = m.find(want)
-            now = cell - m.base
+            now = np.where(hit, known[0], known[1]).astype(np.int64)
+            # the others by their counts
+            k = np.flatnonzero(~either)
+            total, before = m.total[k], m.before[k]
+            left = co[k]
+            unit = sp[k] // total
+            want = np.minimum(left // unit, total - 1)
+            cell = m.find(want + before, k)
             low = m.sums[cell]
-            rest = ~either
-            np.copyto(sp, unit * (m.sums[cell + 1] - low), where=rest)
-            co -= unit * ((low - m.before) * rest)
-            np.copyto(now, np.where(hit, known[0], known[1]), where=either)
+            sp[k] = unit * (m.sums[cell + 1] - low)
+            co[k] = left - unit * (low - before)
+            now[k] = cell - m.base[k]
             while len(k := np.flatnonzero(sp < 1 << BOTTOM)):
                 co[k] = (co[k] << 16) | words[np.minimum(at[k], most)]
                 at[k] += 1

@@ -10,6 +10,7 @@ import uuid
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from . import mixing_coder
 from .base import materialize, need, new_folder, small
 
-#: Ids of a block, at most and at least; a segment ends with the first document that brings it to SEGMENT ids.
+#: Symbols of a block, at most and at least; a segment ends with the first document that brings it to SEGMENT ids.
 BLOCK, LEAST = 4_096, 512
 SEGMENT = BLOCK * mixing_coder.LANES
 #: Bytes after which a task starts a new file, and rows of text that are held decoded.
@@ -37,12 +38,13 @@ class Pieces:
     """Ids of texts by a byte-level tokenizers file, each piece of text through the library once.
 
     The tokenizer's pattern never joins what stands before a single space between two other characters with what follows, and a space
-    goes with the word after it, so texts are cut there; pieces are cut again between lines and before closing marks.
+    goes with the word after it, so texts are cut there; pieces are cut again between lines and before closing marks. What is done
+    to every word is done by Arrow and numpy on distinct ones; only parts that are new go to the library.
     """
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
@@ -56,12 +58,18 @@ class Pieces:
         vocabulary = self.library.get_vocab()
         self.spaced = np.zeros(1 + max(vocabulary.values()), bool)
         self.spaced[[i for t, i in vocabulary.items() if t.startswith(_SPACE)]] = True
+        # letters, with a space before them or not, are one match of the pattern, so the library's model takes them as they are
+        self.model = self.library.model
+        self.letters = re.compile("(?!)" if any(_LETTERS.search(t["content"]) and not _MARK.search(t["content"]) for t in spec["added_tokens"]) else _LETTERS.pattern)
+        write = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.bytes = {i: write(chr(i))[0][0] for i in range(256) if chr(i) == " " or _LETTERS.fullmatch(chr(i))}
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[str, int] = {}
+        # codes of parts as they are, and of parts with a space before them
+        self.known: tuple[dict[str, int], dict[str, int]] = ({"": 0}, {})
         self.start, self.size, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
-        self.codes = self.used = self.chars = 0
+        self.codes, self.used, self.chars = 1, 0, 0
 
     def _add(self, sizes: np.ndarray, ids: np.ndarray) -> None:
         """The ids of the next codes, one after the other."""
@@ -74,91 +82,138 @@ class Pieces:
         self.start[self.codes : self.codes + len(sizes)] = self.used + np.cumsum(sizes) - sizes
         self.codes, self.used = self.codes + len(sizes), self.used + len(ids)
 
-    def _ids(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Sizes of the codes, and their ids one after the other."""
-        sizes = self.size[codes]
-        upto = np.cumsum(sizes)
-        total = int(upto[-1]) if len(upto) else 0
-        return sizes, self.flat[np.repeat(self.start[codes] - (upto - sizes), sizes) + np.arange(total)]
-
-    def _learn(self, pieces: list[str]) -> dict[str, int]:
-        """Codes of pieces. Pieces of several parts are put together for this call only; parts are remembered."""
-        known = self.known
-        split = {p: _parts(p) for p in pieces if p not in known}
-        new = list(dict.fromkeys(x for xs in split.values() for x in xs if x not in known))
-        # pieces that begin with their only space are encoded as one text: the tokens that begin with a space tell where they start
-        run = [x for x in new if x.rfind(" ") == 0 and 1 < len(x) < 100 and not x[1].isspace() and not x[-1].isspace()]
-        alone = list(dict.fromkeys(new).keys() - set(run))
-        for group, joint in ((run, True), (alone, False)):
+    def _learn(self, new: list[str], spaced: bool) -> None:
+        """Codes of new parts. Those of letters go to the library's model, the others through the library."""
+        texts = [" " + x for x in new] if spaced else new
+        known, match = self.known[spaced], self.letters.fullmatch
+        plain, run, alone = [], [], []
+        for k, x in zip(new, texts, strict=True):
+            if match(k):
+                plain.append((k, x))
+            # pieces that begin with their only space are encoded as one text: the tokens that begin with a space tell where they start
+            elif x.rfind(" ") == 0 and 1 < len(x) < 100 and not x[1].isspace() and not x[-1].isspace():
+                run.append((k, x))
+            else:
+                alone.append((k, x))
+        for group, kind in ((plain, "plain"), (run, "run"), (alone, "alone")):
             for i in range(0, len(group), 4_096):  # the library's results are large
-                part = group[i : i + 4_096]
-                got = [e.ids for e in self.library.encode_batch_fast(["".join(part)] if joint else part, add_special_tokens=False)]
-                ids = np.array([t for x in got for t in x], np.uint32)
-                sizes = np.diff(np.append(np.flatnonzero(self.spaced[ids]), len(ids))) if joint else np.array([len(x) for x in got], np.int64)
+                keys, part = zip(*group[i : i + 4_096], strict=True)
+                if kind == "plain":
+                    take, table = self.model.tokenize, self.bytes
+                    got = [[t.id for t in take(x.translate(table))] for x in part]
+                else:
+                    got = [e.ids for e in self.library.encode_batch_fast(["".join(part)] if kind == "run" else list(part), add_special_tokens=False)]
+                ids = np.fromiter(chain.from_iterable(got), np.uint32)
+                sizes = np.diff(np.append(np.flatnonzero(self.spaced[ids]), len(ids))) if kind == "run" else np.fromiter(map(len, got), np.int64, len(got))
                 if len(sizes) != len(part):
                     raise ValueError("the tokenizer joins pieces across spaces")
-                known.update(zip(part, range(self.codes, self.codes + len(part)), strict=True))
+                known.update(zip(keys, range(self.codes, self.codes + len(part)), strict=True))
                 self._add(sizes, ids)
                 self.chars += sum(map(len, part))
-        joined = {p: xs for p, xs in split.items() if len(xs) > 1}
-        if joined:
-            parts = np.fromiter((known[x] for xs in joined.values() for x in xs), np.int64)
-            sizes, ids = self._ids(parts)
-            counts = np.fromiter(map(len, joined.values()), np.int64, len(joined))
-            codes = range(self.codes, self.codes + len(joined))
-            self._add(np.add.reduceat(sizes, np.cumsum(counts) - counts), ids)
-            return dict(zip(joined, codes, strict=True))
-        return {}
+
+    def _codes(self, parts: pa.Array, spaced: bool = False) -> np.ndarray:
+        """Codes of parts, with a space before each or as they are."""
+        each = parts.dictionary_encode()
+        keys, known = each.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known[spaced]
+        codes = list(map(known.get, keys))
+        if new := [k for k, c in zip(keys, codes, strict=True) if c is None]:
+            self._learn(new, spaced)
+            codes = [known[k] if c is None else c for k, c in zip(keys, codes, strict=True)]
+        return np.array(codes, np.int64)[each.indices.to_numpy()]
+
+    def _lined(self, words: pa.Array, spaced: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Codes of the parts of words that are _PLAIN, three for each line, and how many each word has."""
+        lines = pc.split_pattern(words, "\n")
+        starts, line = lines.offsets.to_numpy().astype(np.int64), lines.flatten()
+        starts -= starts[0]
+        inner = np.ones(len(line), bool)
+        inner[starts[:-1]] = False
+        cut = pc.extract_regex(line, _ENDING)
+        stem, marks = pc.coalesce(pc.struct_field(cut, "a"), line), pc.fill_null(pc.struct_field(cut, "b"), "")
+        codes = np.zeros((len(line), 3), np.int64)
+        if inner.any():
+            codes[inner, 0] = self._codes(pa.array(["\n"], pa.large_string()))[0]
+            codes[inner, 1] = self._codes(stem.filter(pa.array(inner)))
+        codes[~inner, 1] = self._codes(stem.filter(pa.array(~inner)), spaced)
+        codes[:, 2] = self._codes(marks)
+        return codes.ravel(), 3 * np.diff(starts)
+
+    def _cut(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same of any pieces."""
+        parts = [_parts(x) for x in pieces]
+        flat = pa.array([x for xs in parts for x in xs], pa.large_string())
+        return self._codes(flat), np.fromiter(map(len, parts), np.int64, len(parts))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, one after the other, and how many each text has. Null is the empty text."""
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
         if not len(texts):
             return np.empty(0, np.uint32), np.empty(0, np.int64)
-        if len(self.known) > REMEMBER or self.chars > CHARS:
+        if sum(map(len, self.known)) > REMEMBER or self.chars > CHARS:
             self.forget()
         split = pc.split_pattern(texts, " ")
         words, ends = split.flatten().dictionary_encode(), split.offsets.to_numpy()
         ends = ends - ends[0]
-        distinct, at = words.dictionary.to_pylist(), words.indices.to_numpy()
+        distinct, at = words.dictionary, words.indices.to_numpy()
+        plain = pc.match_substring_regex(distinct, _PLAIN).to_numpy(zero_copy_only=False)
+        rare = np.flatnonzero(~plain)
+        others = distinct.take(pa.array(rare)).to_pylist()
         # a cut is good if no white space stands beside it; else the text is cut by a pattern instead
-        odd = np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in distinct), bool, len(distinct))
+        odd = np.zeros(len(distinct), bool)
+        odd[rare] = np.fromiter((not w or w[0].isspace() or w[-1].isspace() for w in others), bool, len(others))
         bad = np.flatnonzero(np.logical_or.reduceat(odd[at], ends[:-1]))
         own = [[x if not k else " " + x for k, x in enumerate(_CUTS.split(texts[int(i)].as_py()))] for i in bad]
         firsts, back = np.unique(at[ends[:-1]], return_inverse=True)
-        rest, first = [" " + w for w in distinct], [distinct[i] for i in firsts]
-        joined = self._learn([*rest, *first, *(x for xs in own for x in xs)])
-        get = lambda xs: np.fromiter((joined[x] if x in joined else self.known[x] for x in xs), np.int64, len(xs))
-        codes, count = get(rest)[at], np.diff(ends)
-        codes[ends[:-1]] = get(first)[back]
+        lead = plain[firsts]
+        # all different pieces, by kind: words after a space, words that a text begins with, pieces of texts cut by the pattern
+        got = [
+            self._lined(distinct.filter(pa.array(plain)), True),
+            self._cut([" " + w for w in others]),
+            self._lined(distinct.take(pa.array(firsts[lead])), False),
+            self._cut(distinct.take(pa.array(firsts[~lead])).to_pylist()),
+            self._cut([x for xs in own for x in xs]),
+        ]
+        upto = np.cumsum([len(n) for _, n in got])
+        number, first = np.empty(len(distinct), np.int64), np.empty(len(firsts), np.int64)
+        number[plain], number[rare] = np.arange(upto[0]), np.arange(upto[0], upto[1])
+        first[lead], first[~lead] = np.arange(upto[1], upto[2]), np.arange(upto[2], upto[3])
+        parts, n = (np.concatenate(x) for x in zip(*got, strict=True))
+        sizes, flat = _gather(self.start, self.size, self.flat, parts)
+        sizes = np.add.reduceat(sizes, np.cumsum(n) - n)
+        start = np.cumsum(sizes) - sizes
+        codes, count = number[at], np.diff(ends)
+        codes[ends[:-1]] = first[back]
         if len(bad):
-            runs, done = [], 0
+            runs, done, mine = [], 0, int(upto[3])
             for i, xs in zip(bad, own, strict=True):
-                runs += [codes[ends[done] : ends[i]], get(xs)]
-                count[i], done = len(xs), i + 1
+                runs += [codes[ends[done] : ends[i]], np.arange(mine, mine + len(xs))]
+                count[i], done, mine = len(xs), i + 1, mine + len(xs)
             codes = np.concatenate([*runs, codes[ends[done] :]])
-        sizes, ids = self._ids(codes)
-        if joined:  # forgotten again
-            self.codes -= len(joined)
-            self.used = int(self.start[self.codes])
+        sizes, ids = _gather(start, sizes, flat, codes)
         return ids, np.add.reduceat(sizes, np.cumsum(count) - count)
 
 
+def _gather(start: np.ndarray, size: np.ndarray, flat: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of the codes, and their stretches of ``flat`` one after the other."""
+    sizes = size[codes]
+    upto = np.cumsum(sizes)
+    total = int(upto[-1]) if len(upto) else 0
+    return sizes, flat[np.repeat(start[codes] - (upto - sizes), sizes) + np.arange(total)]
+
+
 def _parts(piece: str) -> list[str]:
-    """A piece cut between its lines, and between letters and the marks that end a line: cuts that the pattern makes in any case."""
-    out = []
-    for i, line in enumerate(_LINES.split(piece) if "\n" in piece else (piece,)):
-        if i:
-            out.append("\n")
-        m = _ENDING.fullmatch(line)
-        out += m.groups() if m else (line,)
-    return out
+    """A piece cut between its lines, a cut that the pattern makes in any case."""
+    return [x for i, line in enumerate(_LINES.split(piece)) for x in (("\n", line) if i else (line,))] if "\n" in piece else [piece]
 
 
 #: How a byte-level vocabulary writes a space.
 _SPACE = "\u0120"
-#: Letters, and marks behind them that no contraction begins with.
-_ENDING = re.compile("( ?[A-Za-zß-öø-ÿ]+)([.,;:!?|]+)")
+#: Words whose lines have no white space but the ends of lines between them.
+_PLAIN = "^[!-~\u00a1-\u024f]+(\n[!-~\u00a1-\u024f]+)*$"
+#: Letters, and marks behind them that no contraction begins with: the pattern cuts between them in any case.
+_LETTERS = re.compile("[A-Za-zß-öø-ÿ]+")
+_MARK = re.compile("[^A-Za-zß-öø-ÿ]")
+_ENDING = "^(?P<a>[A-Za-zß-öø-ÿ]+)(?P<b>[.,;:!?|]*)$"
 _CUTS = re.compile(r"(?<=\S) (?=\S)")
 _LINES = re.compile(r"(?<=\S)\n(?=\S)")
 _PIECES: dict[str, Pieces] = {}
@@ -173,30 +228,71 @@ def pieces_of(path: str) -> Pieces:
 
 # --- segments ----------------------------------------------------------------------------------------------------------
 
-MAGIC = b"LTOK1\n"
-_HEAD = struct.Struct("<6sIIIIIII")
+MAGIC = b"LTOK2\n"
+_HEAD = struct.Struct("<6sIIIIIIII")
+#: Rounds in which frequent pairs of symbols become symbols, pairs of a round at most, how often one must occur, and symbols that are paired.
+ROUNDS, PAIRS, TIMES, NEAR = 2, 900, 64, 1_024
+
+
+def _paired(x: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols with the most frequent pairs of those under NEAR as new ones from ``d`` on, and these pairs. Pairs that overlap are taken from left to right."""
+    ok = np.flatnonzero((x[:-1] < NEAR) & (x[1:] < NEAR))
+    key = x[ok] * NEAR + x[ok + 1]
+    count = np.bincount(key, minlength=NEAR * NEAR)
+    picked = np.flatnonzero(count >= TIMES)
+    if len(picked) > PAIRS:
+        picked = np.sort(picked[np.argsort(-count[picked], kind="stable")[:PAIRS]])
+    number = np.full(NEAR * NEAR, -1, np.int32)
+    number[picked] = np.arange(d, d + len(picked))
+    new = number[key]
+    at, new = ok[new >= 0], new[new >= 0]
+    place = np.arange(len(at))
+    begin = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, place, 0))
+    take = (place - begin) % 2 == 0
+    at = at[take]
+    x = x.copy()
+    x[at] = new[take]
+    keep = np.ones(len(x), bool)
+    keep[at + 1] = False
+    return x[keep], np.stack([picked // NEAR, picked % NEAR], 1)
+
+
+def symbols_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Ids as fewer symbols: how many ids each symbol stands for, these one after the other, and the ids in symbols. Symbols are numbered by how often
+    they come, so what is frequent lies together in the coder's tables."""
+    if len(ids) and int(ids.max()) >= 1 << 22:
+        flat, x = np.unique(ids, return_inverse=True)
+    else:
+        flat, x = np.arange(int(ids.max()) + 1 if len(ids) else 0), ids
+    size = np.ones(len(flat), np.int64)
+    for i in range(ROUNDS + 1):
+        f = np.bincount(x, minlength=len(size))
+        order = np.argsort(-f, kind="stable")[: np.count_nonzero(f)]
+        rank = np.zeros(len(size), np.int32)
+        rank[order] = np.arange(len(order))
+        x = rank[x]
+        size, flat = _gather(np.cumsum(size) - size, size, flat, order)
+        if i < ROUNDS and len(x) > 1:
+            x, pairs = _paired(x, len(size))
+            sizes, more = _gather(np.cumsum(size) - size, size, flat, pairs.ravel())
+            size, flat = np.concatenate([size, sizes.reshape(-1, 2).sum(1)]), np.concatenate([flat, more])
+    return size, flat, x
 
 
 def pack(ids: np.ndarray, keys: list[int | None], sizes: list[int]) -> bytes:
-    """One segment: a checksummed header with its dictionary, prior, documents and blocks, then the blocks.
-
-    Ids are numbered by how often the segment has them, so what is frequent lies together in the coder's tables.
-    """
-    values, back, f = np.unique(ids, return_inverse=True, return_counts=True)
-    order = np.argsort(-f, kind="stable")
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
-    dense = rank[back]
-    prior = mixing_coder.prior_of(dense, len(values))
-    block = min(BLOCK, max(LEAST, -(-len(ids) // mixing_coder.LANES)))
-    lengths = np.full(-(-len(ids) // block), block, np.int64)
-    lengths[-1:] = len(ids) - block * (len(lengths) - 1)
-    blocks = mixing_coder.encode(dense, lengths, prior)
+    """One segment: a checksummed header with its dictionary of symbols, prior, documents and blocks, then the blocks."""
+    size, flat, x = symbols_of(ids)
+    prior = mixing_coder.prior_of(x, len(size))
+    block = min(BLOCK, max(LEAST, -(-len(x) // mixing_coder.LANES)))
+    lengths = np.full(-(-len(x) // block), block, np.int64)
+    lengths[-1:] = len(x) - block * (len(lengths) - 1)
+    blocks = mixing_coder.encode(x, lengths, prior)
     raw = np.ascontiguousarray(ids, "<u4")
-    table = np.array([[len(b), zlib.crc32(raw[i * block : (i + 1) * block])] for i, b in enumerate(blocks)], "<u4")
+    ends = np.cumsum(size[x])[np.cumsum(lengths) - 1].tolist()
+    table = np.array([[len(b), zlib.crc32(raw[i:j])] for b, i, j in zip(blocks, [0, *ends], ends, strict=False)], "<u4")
     docs = np.array([[0 if k is None else k, k is None, n] for k, n in zip(keys, sizes, strict=True)], "<i8")
-    parts = [zlib.compress(x.tobytes(), 4) for x in (values[order].astype("<u4"), prior.astype("<u4"), docs, table)]
-    head = _HEAD.pack(MAGIC, block, len(blocks), len(ids), *map(len, parts)) + b"".join(parts)
+    parts = [zlib.compress(x.tobytes(), 4) for x in (size.astype("<u4"), flat.astype("<u4"), prior.astype("<u4"), docs, table)]
+    head = _HEAD.pack(MAGIC, block, len(blocks), len(x), *map(len, parts)) + b"".join(parts)
     return head + struct.pack("<I", zlib.crc32(head)) + b"".join(blocks)
 
 
@@ -206,6 +302,7 @@ class Segment:
 
     keys: list[int | None]
     sizes: np.ndarray
+    widths: np.ndarray
     values: np.ndarray
     prior: np.ndarray
     lengths: np.ndarray
@@ -221,7 +318,7 @@ class Segment:
         if at + 4 > len(raw) or struct.unpack_from("<I", raw, at)[0] != zlib.crc32(raw[:at]):
             raise ValueError("a damaged segment header")
         ends = _HEAD.size + np.cumsum([0, *lens])
-        values, prior, docs, table = (np.frombuffer(zlib.decompress(raw[i:j]), t) for i, j, t in zip(ends, ends[1:], ("<u4", "<u4", "<i8", "<u4"), strict=False))
+        widths, values, prior, docs, table = (np.frombuffer(zlib.decompress(raw[i:j]), t) for i, j, t in zip(ends, ends[1:], ("<u4", "<u4", "<u4", "<i8", "<u4"), strict=False))
         docs, table = docs.reshape(-1, 3), table.reshape(-1, 2)
         starts = at + 4 + np.concatenate([[0], np.cumsum(table[:, 0], dtype=np.int64)])
         if starts[-1] != len(raw):
@@ -229,16 +326,18 @@ class Segment:
         lengths = np.full(n_blocks, block, np.int64)
         lengths[-1:] = n - block * (n_blocks - 1)
         keys = [None if absent else k for k, absent in docs[:, :2].tolist()]
-        return cls(keys, docs[:, 2], values, prior.astype(np.int64), lengths, table[:, 1], [raw[i:j] for i, j in zip(starts, starts[1:], strict=False)])
+        return cls(keys, docs[:, 2], widths.astype(np.int64), values, prior.astype(np.int64), lengths, table[:, 1], [raw[i:j] for i, j in zip(starts, starts[1:], strict=False)])
 
     def ids(self, only: slice = slice(None)) -> np.ndarray:
         """Ids of the blocks, or of some of them, each held against its checksum."""
         lengths = self.lengths[only]
         dense = mixing_coder.decode(self.blocks[only], lengths, self.prior)
-        out = self.values[np.minimum(dense, len(self.values) - 1)].astype("<u4") if len(self.values) else np.empty(0, "<u4")
-        ends = np.cumsum(lengths)
-        for i, (end, n) in enumerate(zip(ends, lengths, strict=True)):
-            if zlib.crc32(out[end - n : end]) != self.checks[only][i]:
+        widths = self.widths
+        sizes, out = _gather(np.cumsum(widths) - widths, widths, self.values, np.minimum(dense, max(0, len(widths) - 1)))
+        out = np.ascontiguousarray(out, "<u4")
+        upto = np.concatenate([[0], np.cumsum(sizes)])[np.concatenate([[0], np.cumsum(lengths)])].tolist()
+        for i, (start, end) in enumerate(zip(upto, upto[1:], strict=False)):
+            if zlib.crc32(out[start:end]) != self.checks[only][i]:
                 raise ValueError(f"a damaged block of token ids: {i}")
         return out
 

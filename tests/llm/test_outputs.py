@@ -102,6 +102,43 @@ def test_pieces_forget(monkeypatch):
         assert ids.tolist() == _LIBRARY.encode(text or "", add_special_tokens=False).ids
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet="aZßàÿ\u00a1\u00ad\u0100\u024f\xa0\u0301.,!|'#7 \n", max_size=60), max_size=4))
+def test_lines_and_marks_equal_the_library(texts):
+    """Words are cut before marks and between lines by Arrow; ids stay those of whole texts."""
+    ids, sizes = token_files.pieces_of(BYTES).encode(pa.array(texts, pa.string()))
+    want = [_LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == [i for w in want for i in w]
+
+
+def test_letters_need_no_pattern():
+    """New words of letters go to the library's model as they are, without its pattern; each once."""
+    text = "Walking under déjà trees,\nwalking under walls. Straße"
+    p, asked = token_files.Pieces(BYTES), []
+    p.encode(pa.array(["x. y,\nz"]))  # marks and ends of lines
+    p.library, own = None, p.model
+    p.model = type("Counted", (), {"tokenize": staticmethod(lambda x: asked.append(x) or own.tokenize(x))})
+    ids, _ = p.encode(pa.array([text, text]))
+    assert ids.tolist() == 2 * _LIBRARY.encode(text, add_special_tokens=False).ids
+    assert len(asked) == len(set(asked)) == 8  # the first word after a space too
+
+
+@pytest.mark.parametrize("top", [300, 5_000_000])
+def test_frequent_pairs_are_symbols(top):
+    """Ids that often follow each other cost one step of the coder; they come back whole, block by block."""
+    r = np.random.default_rng(top)
+    phrases = [r.integers(0, top, 4) for _ in range(20)]
+    ids = np.concatenate([phrases[i] for i in r.integers(0, 20, 4_000)] + [[top - 1] * 501]).astype(np.uint32)
+    width, flat, x = token_files.symbols_of(ids)
+    starts = np.cumsum(width) - width
+    assert [int(v) for k in x for v in flat[starts[k] : starts[k] + width[k]]] == ids.tolist()
+    assert len(x) < len(ids) / 3 and width.max() == 4
+    s = token_files.Segment.parse(token_files.pack(ids, [1], [len(ids)]))
+    assert (s.ids() == ids).all() and np.concatenate([s.ids(slice(i, i + 1)) for i in range(len(s.blocks))]).tolist() == ids.tolist()
+    for some in (ids[:0], ids[:1], ids[:2]):
+        assert token_files.Segment.parse(token_files.pack(some, [1], [len(some)])).ids().tolist() == some.tolist()
+
+
 def test_token_files(spark, odd, tmp_path):
     files = token_files.write(odd.repartition(3), BYTES, f"file://{tmp_path}/files", end=7)
     got = token_files.read(token_files.TokenFiles.open(spark, files.folder)).orderBy("start").collect()
