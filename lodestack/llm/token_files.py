@@ -23,12 +23,12 @@ from pyspark.sql import functions as F
 from . import mixing_coder
 from .base import materialize, need, new_folder, small
 
-#: Symbols of a block, at most and at least; a segment ends with the first document that brings it to SEGMENT ids.
-BLOCK, LEAST = 4_096, 512
-SEGMENT = BLOCK * mixing_coder.LANES
+#: Blocks of a segment, at most, and symbols of a block, at least; a segment ends with the first document that brings it to SEGMENT ids.
+BLOCKS, LEAST = 8, 512
+SEGMENT = 1 << 22
 #: Bytes after which a task starts a new file, and rows of text that are held decoded.
 ROLL, ROWS = 512 << 20, 2_048
-#: Pieces of text, and characters in them, that a worker remembers before it forgets all.
+#: Pieces of text, and characters in them, that a worker remembers before it forgets those it has not met since this last happened.
 REMEMBER, CHARS = 400_000, 16_000_000
 
 # --- ids of texts ------------------------------------------------------------------------------------------------------
@@ -60,12 +60,15 @@ class Pieces:
         self.spaced[[i for t, i in vocabulary.items() if t.startswith(_SPACE)]] = True
         # letters, with a space before them or not, are one match of the pattern, so the library's model takes them as they are
         self.model = self.library.model
-        self.letters = re.compile("(?!)" if any(_LETTERS.search(t["content"]) and not _MARK.search(t["content"]) for t in spec["added_tokens"]) else _LETTERS.pattern)
+        self.lettered = not any(_LETTERS.search(t["content"]) and not _MARK.search(t["content"]) for t in spec["added_tokens"])
         write = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.bytes = {i: write(chr(i))[0][0] for i in range(256) if chr(i) == " " or _LETTERS.fullmatch(chr(i))}
+        self.codes = 0
         self.forget()
 
     def forget(self) -> None:
+        """Parts that were met since the last time become the older ones, which last until the next time."""
+        self.older = (self.known, self.start, self.size, self.flat[: self.used].copy()) if self.codes else (({}, {}), *(np.zeros(0, np.int64),) * 3)
         # codes of parts as they are, and of parts with a space before them
         self.known: tuple[dict[str, int], dict[str, int]] = ({"": 0}, {})
         self.start, self.size, self.flat = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32)
@@ -84,12 +87,14 @@ class Pieces:
 
     def _learn(self, new: list[str], spaced: bool) -> None:
         """Codes of new parts. Those of letters go to the library's model, the others through the library."""
-        texts = [" " + x for x in new] if spaced else new
-        known, match = self.known[spaced], self.letters.fullmatch
+        known = self.known[spaced]
         plain, run, alone = [], [], []
-        for k, x in zip(new, texts, strict=True):
-            if match(k):
-                plain.append((k, x))
+        letters = pc.match_substring_regex(pa.array(new, pa.large_string()), f"^{_LETTERS.pattern}$").to_pylist()
+        for k, lettered in zip(new, letters, strict=True):
+            x = " " + k if spaced else k
+            if lettered and self.lettered:
+                # the letters of ASCII are written as they are
+                plain.append((k, (_SPACE + k if spaced else k) if k.isascii() else x.translate(self.bytes)))
             # pieces that begin with their only space are encoded as one text: the tokens that begin with a space tell where they start
             elif x.rfind(" ") == 0 and 1 < len(x) < 100 and not x[1].isspace() and not x[-1].isspace():
                 run.append((k, x))
@@ -99,8 +104,8 @@ class Pieces:
             for i in range(0, len(group), 4_096):  # the library's results are large
                 keys, part = zip(*group[i : i + 4_096], strict=True)
                 if kind == "plain":
-                    take, table = self.model.tokenize, self.bytes
-                    got = [[t.id for t in take(x.translate(table))] for x in part]
+                    take = self.model.tokenize
+                    got = [[t.id for t in take(x)] for x in part]
                 else:
                     got = [e.ids for e in self.library.encode_batch_fast(["".join(part)] if kind == "run" else list(part), add_special_tokens=False)]
                 ids = np.fromiter(chain.from_iterable(got), np.uint32)
@@ -117,6 +122,13 @@ class Pieces:
         keys, known = each.dictionary.to_numpy(zero_copy_only=False).tolist(), self.known[spaced]
         codes = list(map(known.get, keys))
         if new := [k for k, c in zip(keys, codes, strict=True) if c is None]:
+            words, *older = self.older
+            if back := [k for k in new if k in words[spaced]]:
+                sizes, ids = _gather(*older, np.array([words[spaced][k] for k in back], np.int64))
+                known.update(zip(back, range(self.codes, self.codes + len(back)), strict=True))
+                self._add(sizes, ids)
+                self.chars += sum(map(len, back))
+                new = [k for k in new if k not in known]
             self._learn(new, spaced)
             codes = [known[k] if c is None else c for k, c in zip(keys, codes, strict=True)]
         return np.array(codes, np.int64)[each.indices.to_numpy()]
@@ -231,21 +243,25 @@ def pieces_of(path: str) -> Pieces:
 MAGIC = b"LTOK2\n"
 _HEAD = struct.Struct("<6sIIIIIIII")
 #: Rounds in which frequent pairs of symbols become symbols, pairs of a round at most, how often one must occur, and symbols that are paired.
-ROUNDS, PAIRS, TIMES, NEAR = 2, 900, 64, 1_024
+ROUNDS, PAIRS, TIMES, NEAR = 2, 6_000, 64, 1_536
 
 
 def _paired(x: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
     """Symbols with the most frequent pairs of those under NEAR as new ones from ``d`` on, and these pairs. Pairs that overlap are taken from left to right."""
-    ok = np.flatnonzero((x[:-1] < NEAR) & (x[1:] < NEAR))
-    key = x[ok] * NEAR + x[ok + 1]
-    count = np.bincount(key, minlength=NEAR * NEAR)
+    side = NEAR + 1
+    y = np.minimum(x, NEAR)
+    key = y[:-1] * side
+    key += y[1:]
+    count = np.bincount(key, minlength=side * side)
+    count.reshape(side, side)[NEAR] = count.reshape(side, side)[:, NEAR] = 0
     picked = np.flatnonzero(count >= TIMES)
     if len(picked) > PAIRS:
         picked = np.sort(picked[np.argsort(-count[picked], kind="stable")[:PAIRS]])
-    number = np.full(NEAR * NEAR, -1, np.int32)
+    number = np.full(side * side, -1, np.int32)
     number[picked] = np.arange(d, d + len(picked))
-    new = number[key]
-    at, new = ok[new >= 0], new[new >= 0]
+    new = number.take(key)
+    at = np.flatnonzero(new >= 0)
+    new = new[at]
     place = np.arange(len(at))
     begin = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, place, 0))
     take = (place - begin) % 2 == 0
@@ -254,7 +270,7 @@ def _paired(x: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
     x[at] = new[take]
     keep = np.ones(len(x), bool)
     keep[at + 1] = False
-    return x[keep], np.stack([picked // NEAR, picked % NEAR], 1)
+    return x[keep], np.stack([picked // side, picked % side], 1)
 
 
 def symbols_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -270,7 +286,7 @@ def symbols_of(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         order = np.argsort(-f, kind="stable")[: np.count_nonzero(f)]
         rank = np.zeros(len(size), np.int32)
         rank[order] = np.arange(len(order))
-        x = rank[x]
+        x = rank.take(x)
         size, flat = _gather(np.cumsum(size) - size, size, flat, order)
         if i < ROUNDS and len(x) > 1:
             x, pairs = _paired(x, len(size))
@@ -283,7 +299,7 @@ def pack(ids: np.ndarray, keys: list[int | None], sizes: list[int]) -> bytes:
     """One segment: a checksummed header with its dictionary of symbols, prior, documents and blocks, then the blocks."""
     size, flat, x = symbols_of(ids)
     prior = mixing_coder.prior_of(x, len(size))
-    block = min(BLOCK, max(LEAST, -(-len(x) // mixing_coder.LANES)))
+    block = max(LEAST, -(-len(x) // BLOCKS))
     lengths = np.full(-(-len(x) // block), block, np.int64)
     lengths[-1:] = len(x) - block * (len(lengths) - 1)
     blocks = mixing_coder.encode(x, lengths, prior)

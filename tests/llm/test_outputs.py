@@ -65,6 +65,38 @@ def test_coder_learns():
     assert bits < 8.6
 
 
+@pytest.mark.parametrize(("k", "sizes"), [(3_000, [25_000, 25_000, 10_001]), (3_000, [25_000, 25_000, 3]), (200_000, [30_000, 30_000]), (40, [1_025, 1_024])])
+def test_lanes_share_the_model_of_a_block(monkeypatch, k, sizes):
+    """A block of many ids takes as many steps as one of its lanes has ids, and is still decoded alone."""
+    r = np.random.default_rng(k)
+    ids = np.minimum(r.zipf(1.3, sum(sizes)), k) - 1
+    ids[::3] = r.integers(0, k, len(ids[::3]))
+    asked, own = [], mixing_coder.Model.update
+    monkeypatch.setattr(mixing_coder.Model, "update", lambda *x: asked.append(1) or own(*x))
+    prior = mixing_coder.prior_of(ids, k)
+    blocks = mixing_coder.encode(ids, np.array(sizes), prior)
+    assert len(asked) <= 1_024
+    assert (mixing_coder.decode(blocks, np.array(sizes), prior) == ids).all()
+    ends = np.cumsum(sizes)
+    for b, n, end in zip(blocks, sizes, ends, strict=True):
+        assert (mixing_coder.decode([b], np.array([n]), prior) == ids[end - n : end]).all()
+
+
+def test_damaged_lanes_raise():
+    """A block that lost or gained bytes, or whose list of lanes is wrong, raises; other damage gives other ids, never another error."""
+    ids = np.random.default_rng(3).integers(0, 500, 3_000)
+    prior, n = mixing_coder.prior_of(ids, 500), np.array([3_000])
+    (raw,) = mixing_coder.encode(ids, n, prior)
+    for bad in (raw[:-1], raw + b"x", b"", raw[:9], b"\0\0\0\0" + raw[4:], b"\xff" + raw[1:], raw[:4] + b"\x01" + raw[5:]):
+        with pytest.raises(ValueError, match="damaged"):
+            mixing_coder.decode([bad], n, prior)
+    for at in range(28, len(raw), 97):
+        broken = bytearray(raw)
+        broken[at] ^= 0x5A
+        got = mixing_coder.decode([bytes(broken)], n, prior)
+        assert len(got) == 3_000 and 0 <= got.min() and got.max() < 500
+
+
 def test_segments_are_checked():
     ids = np.array([rng.randrange(60_000) for _ in range(3_000)], np.uint32)
     raw = token_files.pack(ids, [3, None, -5], [1_000, 0, 2_000])
@@ -102,6 +134,23 @@ def test_pieces_forget(monkeypatch):
         assert ids.tolist() == _LIBRARY.encode(text or "", add_special_tokens=False).ids
 
 
+def test_pieces_met_lately_are_kept(monkeypatch):
+    """When a worker forgets, what it met since it last did so is not asked of the library again, and gives the same ids."""
+    monkeypatch.setattr(token_files, "REMEMBER", 12)
+    p, asked = token_files.Pieces(BYTES), []
+    own = p.model
+    p.model = type("Counted", (), {"tokenize": staticmethod(lambda x: asked.append(x) or own.tokenize(x))})
+    new = "walking under trees walking there once more, Straße and déjà"
+    for text in ("one two three", new, new, "four five six seven eight nine ten", new, "x", new):
+        ids, _ = p.encode(pa.array([text], pa.string()))
+        assert ids.tolist() == _LIBRARY.encode(text, add_special_tokens=False).ids
+    assert len(asked) == len(set(asked))
+    size = sum(map(len, p.known)) + sum(map(len, p.older[0]))
+    for i in range(300):
+        p.encode(pa.array([f"{'ab' * (i % 7)}{chr(97 + i % 26)} {'cd' * (i % 11)}e"], pa.string()))
+        assert sum(map(len, p.known)) + sum(map(len, p.older[0])) < 60 + size
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet="aZßàÿ\u00a1\u00ad\u0100\u024f\xa0\u0301.,!|'#7 \n", max_size=60), max_size=4))
 def test_lines_and_marks_equal_the_library(texts):
