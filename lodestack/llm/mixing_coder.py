@@ -16,7 +16,7 @@ import numpy as np
 #: Lanes and blocks side by side, cells of the order-0 table that they may take together, and ids of a lane at most.
 LANES, BLOCKS, CELLS, RUN = 8_192, 64, 6_000_000, 512
 #: Contexts of order 2 that a block tells apart, steps between two tables of the counts and between two lessons (all of the first EARLY are lessons), and what an id adds to its count.
-SLOTS, EPOCH, LESSON, EARLY, GAIN = 1 << 15, 128, 8, 64, 16
+SLOTS, EPOCH, LESSON, EARLY, GAIN = 1 << 15, 128, 16, 32, 16
 #: Lanes that a lesson's mean counts for, at most, and how many ids a chance is worth when it meets a lesson's.
 WEIGHT, WORTH = 64, 48
 #: Bits of a probability and of a word. The range has up to TOP bits; while it has BOTTOM or fewer, a word is shifted out.
@@ -81,8 +81,8 @@ class Model:
             self.mixed, self.slot = self.mixed[: self.n], self.slot[:, : self.n]
 
     def _count(self) -> None:
-        for x in self.seen:
-            self.counts += GAIN * np.bincount(x, minlength=self.counts.size).reshape(self.counts.shape)
+        if self.seen:
+            self.counts += GAIN * np.bincount(np.concatenate(self.seen), minlength=self.counts.size).reshape(self.counts.shape)
         self.seen = []
 
     def _table(self) -> None:
@@ -202,8 +202,8 @@ def encode(ids: np.ndarray, lengths: np.ndarray, prior: np.ndarray) -> list[byte
     for i, j in _groups(lanes, steps, len(prior)):
         rows = []
         for k in range(i, j):
-            own = np.zeros((int(lanes[k]), int(steps[i])), np.int64)
-            flat = np.zeros(int(lanes[k] * steps[k]), np.int64)
+            own = np.zeros((int(lanes[k]), int(steps[i])), np.int32)
+            flat = np.zeros(int(lanes[k] * steps[k]), np.int32)
             flat[: lengths[k]] = ids[starts[k] : starts[k] + lengths[k]]
             own[:, : steps[k]] = flat.reshape(int(lanes[k]), -1)
             rows.append(own)
@@ -223,7 +223,7 @@ def _encode(rows: np.ndarray, lanes: np.ndarray, steps: np.ndarray, prior: np.nd
         while t < upto:
             if t % EPOCH == 0 and int(used.max()) + 2 * EPOCH > len(words):
                 words = np.concatenate([words, np.zeros_like(words)])
-            now = rows[t, : m.n]
+            now = rows[t, : m.n].astype(np.int64)
             known, p = m.predict()
             hit = known == now
             hit &= p > 0
@@ -303,7 +303,7 @@ def _decode(parsed: list[tuple[np.ndarray, np.ndarray]], lanes: np.ndarray, step
     words = ((words[:-1] & ((1 << spare) - 1)) << (WORD - spare)) | (words[1:] >> spare)
     most = len(words) - 1
     span = np.full(m.n, 1 << TOP, np.int64)
-    rows = np.zeros((int(steps[0]), m.n), np.int64)
+    rows = np.zeros((int(steps[0]), m.n), np.int32)
     t = 0
     for upto, left in _phases(lanes, steps):
         m.shrink(left)

@@ -26,8 +26,10 @@ from .base import materialize, need, new_folder, small
 #: Blocks of a segment, at most, and symbols of a block, at least; a segment ends with the first document that brings it to SEGMENT ids.
 BLOCKS, LEAST = 8, 512
 SEGMENT = 1 << 22
-#: Bytes after which a task starts a new file, and rows of text that are held decoded.
-ROLL, ROWS = 512 << 20, 2_048
+#: Bytes after which a task starts a new file, and rows and bytes of text that are cut into words at once (a longer text alone).
+ROLL, ROWS, BYTES = 512 << 20, 5_120, 8 << 20
+#: Stretches that are copied at once.
+COPIED = 1 << 17
 #: Pieces of text, and characters in them, that a worker remembers before it forgets those it has not met since this last happened.
 REMEMBER, CHARS = 400_000, 16_000_000
 
@@ -209,8 +211,26 @@ def _gather(start: np.ndarray, size: np.ndarray, flat: np.ndarray, codes: np.nda
     """Sizes of the codes, and their stretches of ``flat`` one after the other."""
     sizes = size[codes]
     upto = np.cumsum(sizes)
-    total = int(upto[-1]) if len(upto) else 0
-    return sizes, flat[np.repeat(start[codes] - (upto - sizes), sizes) + np.arange(total)]
+    out = np.empty(int(upto[-1]) if len(upto) else 0, flat.dtype)
+    done = 0
+    for i in range(0, len(codes), COPIED):
+        part = slice(i, i + COPIED)
+        ends = upto[part]
+        at = np.repeat(start[codes[part]] - (ends - sizes[part]), sizes[part])
+        at += np.arange(done, int(ends[-1]))
+        out[done : int(ends[-1])] = flat.take(at)
+        done = int(ends[-1])
+    return sizes, out
+
+
+def _slices(texts: pa.Array) -> list[tuple[int, int]]:
+    """Even stretches of rows, none of more than ROWS rows or, but for a row alone, BYTES bytes."""
+    n = len(texts)
+    size = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)
+    cost = np.cumsum(size / BYTES + 1 / ROWS)
+    parts = int(np.ceil(cost[-1])) if n else 0
+    edges = np.unique([0, *np.searchsorted(cost, np.arange(1, parts) * (cost[-1] / parts if n else 0)), n]).tolist()
+    return list(zip(edges, edges[1:], strict=False))
 
 
 def _parts(piece: str) -> list[str]:
@@ -250,24 +270,29 @@ def _paired(x: np.ndarray, d: int) -> tuple[np.ndarray, np.ndarray]:
     """Symbols with the most frequent pairs of those under NEAR as new ones from ``d`` on, and these pairs. Pairs that overlap are taken from left to right."""
     side = NEAR + 1
     y = np.minimum(x, NEAR)
-    key = y[:-1] * side
+    key = y[:-1].astype(np.int64) * side
     key += y[1:]
+    del y
     count = np.bincount(key, minlength=side * side)
     count.reshape(side, side)[NEAR] = count.reshape(side, side)[:, NEAR] = 0
     picked = np.flatnonzero(count >= TIMES)
     if len(picked) > PAIRS:
         picked = np.sort(picked[np.argsort(-count[picked], kind="stable")[:PAIRS]])
+    del count
     number = np.full(side * side, -1, np.int32)
     number[picked] = np.arange(d, d + len(picked))
     new = number.take(key)
+    del key, number
     at = np.flatnonzero(new >= 0)
     new = new[at]
     place = np.arange(len(at))
     begin = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) != 1, place, 0))
-    take = (place - begin) % 2 == 0
-    at = at[take]
+    place -= begin
+    take = place % 2 == 0
+    del place, begin
+    at, new = at[take], new[take]
     x = x.copy()
-    x[at] = new[take]
+    x[at] = new
     keep = np.ones(len(x), bool)
     keep[at + 1] = False
     return x[keep], np.stack([picked // side, picked % side], 1)
@@ -304,7 +329,7 @@ def pack(ids: np.ndarray, keys: list[int | None], sizes: list[int]) -> bytes:
     lengths[-1:] = len(x) - block * (len(lengths) - 1)
     blocks = mixing_coder.encode(x, lengths, prior)
     raw = np.ascontiguousarray(ids, "<u4")
-    ends = np.cumsum(size[x])[np.cumsum(lengths) - 1].tolist()
+    ends = np.cumsum(np.add.reduceat(size[x], np.cumsum(lengths) - lengths) if len(x) else size[:0]).tolist()
     table = np.array([[len(b), zlib.crc32(raw[i:j])] for b, i, j in zip(blocks, [0, *ends], ends, strict=False)], "<u4")
     docs = np.array([[0 if k is None else k, k is None, n] for k, n in zip(keys, sizes, strict=True)], "<i8")
     parts = [zlib.compress(x.tobytes(), 4) for x in (size.astype("<u4"), flat.astype("<u4"), prior.astype("<u4"), docs, table)]
@@ -403,17 +428,19 @@ def write(docs: DataFrame, path: str, folder: str | None = None, id_col: str = "
                     out.close()
                 name, at = f"tokens-{part:06d}-{uuid.uuid4().hex}.bin", 0
                 out = fs.open_output_stream(f"{base}/{name}", compression=None)
-            raw = pack(np.concatenate(held), keys, sizes)
+            ids = np.concatenate(held)
+            held.clear()
+            raw = pack(ids, keys, sizes)
             out.write(raw)
             row = (part, seq, name, at, len(raw), len(keys), n)
             at, seq, n = at + len(raw), seq + 1, 0
-            held.clear(), keys.clear(), sizes.clear()
+            keys.clear(), sizes.clear()
             return row
 
         rows = []
         for batch in batches:
-            for i in range(0, batch.num_rows, ROWS):
-                b = batch.slice(i, ROWS)
+            for i, j in _slices(batch.column(1)):
+                b = batch.slice(i, j - i)
                 ids, counts = pieces.encode(b.column(1))
                 ends = np.cumsum(counts)
                 ids = np.insert(ids, ends, end)

@@ -151,6 +151,17 @@ def test_pieces_met_lately_are_kept(monkeypatch):
         assert sum(map(len, p.known)) + sum(map(len, p.older[0])) < 60 + size
 
 
+def test_slices_are_bounded(monkeypatch):
+    """Rows that are cut into words at once are bounded by their number and their bytes, and no row is left out."""
+    monkeypatch.setattr(token_files, "ROWS", 10)
+    monkeypatch.setattr(token_files, "BYTES", 1_000)
+    for sizes in ([], [0], [5_000], [0] * 95, [30] * 200, [0, None, 4_000, 1, 1, 4_000, 999, None], [rng.randrange(300) for _ in range(500)]):
+        got = token_files._slices(pa.array([None if n is None else "x" * n for n in sizes], pa.string()))
+        assert [k for i, j in got for k in range(i, j)] == list(range(len(sizes)))
+        for i, j in got:
+            assert 0 < j - i <= 11 and (j - i == 1 or sum(n or 0 for n in sizes[i + 1 : j]) <= 1_000)
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.lists(st.text(alphabet="aZßàÿ\u00a1\u00ad\u0100\u024f\xa0\u0301.,!|'#7 \n", max_size=60), max_size=4))
 def test_lines_and_marks_equal_the_library(texts):
